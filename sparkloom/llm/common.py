@@ -25,6 +25,18 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Rows in an Arrow batch that carries whole texts.
+TEXT_ROWS = 1000
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Keep the Arrow batches of this session small enough for rows of whole texts:
+    Spark counts rows, not bytes, and both sides hold a batch at once."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= TEXT_ROWS:
+        spark.conf.set(key, str(TEXT_ROWS))
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/sparkloom/{name}-{uuid.uuid4().hex}"
 

@@ -40,6 +40,19 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(_documents(spark, sf_dir), shards=8)
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import near_duplicates
+
+    return near_duplicates(_documents(spark, sf_dir), shingle=3, bits=3).select("doc_id", "fingerprint", "component_id")
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import judge
+
+    out = judge(_documents(spark, sf_dir))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
+
+
 def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_store import read_documents, write_store
 
@@ -70,7 +83,7 @@ FROM keyed GROUP BY doc_id
 
 
 def queries() -> dict:
-    own = [op1_line_dedup, op2_token_counts, op4_sharding, op9_token_store, op10_packing]
+    own = [op1_line_dedup, op2_token_counts, op4_sharding, op6_simhash, op8_quality, op9_token_store, op10_packing]
     return {f.__name__: f for f in own}
 
 
