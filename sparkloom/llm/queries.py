@@ -34,6 +34,13 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import remove_repeats
+
+    out = remove_repeats(_documents(spark, sf_dir), length=400, keep="none")
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import shard_by_bytes
 
@@ -111,7 +118,7 @@ FROM docs d LEFT JOIN covered c ON d.doc_id = c.doc_id LEFT JOIN found f ON d.do
 
 
 def queries() -> dict:
-    own = [op1_line_dedup, op2_token_counts, op4_sharding, op5_decontamination, op6_simhash, op8_quality, op9_token_store, op10_packing]
+    own = [op1_line_dedup, op2_token_counts, op3_suffix_dedup, op4_sharding, op5_decontamination, op6_simhash, op8_quality, op9_token_store, op10_packing]
     return {f.__name__: f for f in own}
 
 
