@@ -10,6 +10,7 @@ character outside those blocks goes through the ``tokenizers`` library.
 from __future__ import annotations
 
 import base64
+import json
 import os
 import re
 
@@ -54,8 +55,9 @@ class ByteEncoder:
         with open(ranks, "rb") as lines:
             known = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=known, special_tokens={})
-        self.whole = LibraryEncoder(path)
-        self.special = [t.content for t in self.whole.tokenizer.get_added_tokens_decoder().values()]
+        with open(path) as f:
+            self.special = [t["content"] for t in json.load(f)["added_tokens"]]
+        self.path = path
 
     def plain(self, text: str) -> bool:
         return not _OTHER.search(text) and not any(s in text for s in self.special)
@@ -63,6 +65,7 @@ class ByteEncoder:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         out = [self.fast.encode_ordinary(t) if self.plain(t) else None for t in texts]
         rest = [i for i, x in enumerate(out) if x is None]
-        for i, ids in zip(rest, self.whole.encode([texts[i] for i in rest])):
-            out[i] = ids
+        if rest:
+            for i, ids in zip(rest, held(LibraryEncoder, self.path).encode([texts[i] for i in rest])):
+                out[i] = ids
         return [np.array(x, dtype=np.uint32) for x in out]
