@@ -62,6 +62,12 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_documents(spark, sf_dir), shingle=3, bits=3).select("doc_id", "fingerprint", "component_id")
 
 
+def op7_gru_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .gru_lm import score_documents
+
+    return score_documents(_documents(spark, sf_dir), modulus=7, held=2)
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import judge
 
@@ -118,7 +124,7 @@ FROM docs d LEFT JOIN covered c ON d.doc_id = c.doc_id LEFT JOIN found f ON d.do
 
 
 def queries() -> dict:
-    own = [op1_line_dedup, op2_token_counts, op3_suffix_dedup, op4_sharding, op5_decontamination, op6_simhash, op8_quality, op9_token_store, op10_packing]
+    own = [op1_line_dedup, op2_token_counts, op3_suffix_dedup, op4_sharding, op5_decontamination, op6_simhash, op7_gru_lm, op8_quality, op9_token_store, op10_packing]
     return {f.__name__: f for f in own}
 
 
