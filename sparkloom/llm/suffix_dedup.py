@@ -108,6 +108,8 @@ def suffix_order(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.
     """Starts in the order of their ``length`` bytes, and whether each shares all of
     them with the one before it.  Prefix doubling from 8 bytes."""
     n = len(data)
+    if not len(starts):
+        return starts, np.zeros(0, bool)
     padded = np.zeros(n + 8, np.uint8)
     padded[:n] = data
     word = np.zeros(n, U)
@@ -120,7 +122,7 @@ def suffix_order(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.
         rank, size = np.unique(rank * (n + 1) + tail, return_inverse=True)[1].astype(np.int64), 2 * size
     key = rank[starts] * (n + 1) + rank[np.minimum(starts + length - size, n - 1)]
     order = np.argsort(key)
-    same = np.append(False, key[order[1:]] == key[order[:-1]]) if len(order) else np.zeros(0, bool)
+    same = np.append(False, key[order[1:]] == key[order[:-1]])
     return starts[order], same
 
 
