@@ -1 +1,287 @@
-"""Queries."""
+"""Queries on references, graphs, validation, review, lifecycle and prompt memory."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import text as X
+from ..operators import graph as G
+from ..operators import lifecycle as L
+from ..operators import memory as M
+from ..operators import refs as REFS
+from ..operators import review as D
+from ..operators import validate as V
+from ..sources import adapters as A
+from .registry import AUDIT, DOCS, EDGES, MEMORIES, TASKS, query
+
+#: A text with references for each task, so that extraction has work on the tables.
+NOTED = """noted AS (SELECT key, id, 'See @task-' || (key % 20000) || ', @doc/src' || (key % 25) || '/' || (key % 1500) || '.md#top{implements} and @memory/' || (key % 90) || '-0{' || CASE WHEN key % 3 = 0 THEN 'depends' ELSE 'odd' END || '}.'
+  || chr(10) || '```' || chr(10) || '@task/hidden' || chr(10) || '```' || chr(10) || '@decision/d' || (key % 4) || '!' AS note FROM tasks)"""
+REF = r"(@(?:(?:doc|task|memory|decision|template)/[A-Za-z0-9_./#:\-]+|(?:task|memory)-[A-Za-z0-9_\-.]+)(?:\{[a-z\-]+\})?)"
+REFS_SQL = f"""WITH {TASKS}, {NOTED}, f AS (SELECT id, regexp_extract_all(regexp_replace(note, '(?ms)^```.*?^```|^```.*\\z', '', 'g'), '{REF}') AS found FROM noted),
+  e AS (SELECT id, unnest(range(0, len(found)))::INTEGER AS place, regexp_replace(unnest(found), '[\\s.,;:!?`''"]+$', '') AS raw FROM f),
+  b AS (SELECT *, regexp_extract(raw, '^@([^{{]*)', 1) AS body, regexp_extract(raw, '\\{{([^}}]*)\\}}$', 1) AS rel FROM e),
+  t AS (SELECT *, regexp_extract(body, '^([a-z]+)[/-]', 1) AS type, regexp_replace(body, '^[a-z]+[/-]', '') AS rest FROM b),
+  g AS (SELECT *, CASE WHEN type = 'doc' THEN regexp_extract(rest, '(#.*|:\\d+-\\d+|:\\d+)$', 1) ELSE '' END AS fragment FROM t),
+  refs AS (SELECT id AS source, place, raw, type, CASE WHEN fragment != '' THEN rest[1:length(rest) - length(fragment)] ELSE rest END AS target, fragment, CASE WHEN rel = '' THEN 'references' ELSE rel END AS relation,
+    CASE WHEN rel = '' THEN 'references' ELSE rel END IN ('implements', 'depends', 'blocked-by', 'follows', 'related', 'parent', 'spec', 'imported-from', 'template-for', 'references') AS valid FROM g)"""
+
+
+def _noted(spark, folder):
+    k = F.col("key")
+    s = lambda c: c.cast("string")
+    note = F.concat(F.lit("See @task-"), s(k % 20000), F.lit(", @doc/src"), s(k % 25), F.lit("/"), s(k % 1500), F.lit(".md#top{implements} and @memory/"), s(k % 90), F.lit("-0{"), F.when(k % 3 == 0, "depends").otherwise("odd"), F.lit("}.\n```\n@task/hidden\n```\n@decision/d"), s(k % 4), F.lit("!"))
+    return A.tasks(spark, folder).select("key", "id", note.alias("note"))
+
+
+def _refs(spark, folder):
+    return REFS.references(_noted(spark, folder), "id", "note")
+
+
+@query(REFS_SQL + " SELECT source, place, raw, type, target, fragment, relation, valid FROM refs")
+def reference_extraction(spark, folder):
+    return _refs(spark, folder).select("source", "place", "raw", "type", "target", "fragment", "relation", "valid")
+
+
+RESOLVED = REFS_SQL + f""", {DOCS}, {MEMORIES}, entities AS (SELECT 'task' AS type, CAST(key AS VARCHAR) AS id FROM tasks UNION SELECT 'doc', path || '.md' FROM docs UNION SELECT 'memory', id FROM memories UNION SELECT 'decision', 'd1'),
+  r AS (SELECT refs.*, entities.id IS NOT NULL AS resolved FROM refs LEFT JOIN entities ON refs.type = entities.type AND refs.target = entities.id)"""
+
+
+def _resolved(spark, folder):
+    entity = lambda df, kind, c: df.select(F.lit(kind).alias("type"), c.alias("id"))
+    found = entity(A.tasks(spark, folder), "task", F.col("key").cast("string")).unionByName(entity(A.docs(spark, folder), "doc", F.concat("path", F.lit(".md")))).unionByName(entity(A.memories(spark, folder), "memory", F.col("id"))).unionByName(entity(spark.range(1), "decision", F.lit("d1")))
+    return REFS.resolve(_refs(spark, folder), found)
+
+
+@query(RESOLVED + " SELECT type, resolved, count(*) AS n, count(DISTINCT target) AS targets FROM r GROUP BY 1, 2")
+def reference_resolution(spark, folder):
+    return _resolved(spark, folder).groupBy("type", "resolved").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("target").alias("targets"))
+
+
+@query(RESOLVED + """ SELECT 'task' AS entity, source AS id, 'INVALID_SEMANTIC_REF_RELATION' AS code, 'warning' AS level FROM r WHERE NOT valid
+  UNION ALL SELECT 'task', source, 'BROKEN_' || upper(type) || '_REF', 'warning' FROM r WHERE NOT resolved""")
+def validate_refs(spark, folder):
+    return V.validate_references(_resolved(spark, folder), "task")
+
+
+@query(f"WITH {TASKS}, {NOTED} SELECT id, replace(note, '@doc/src3/53.md', '@doc/moved/here.md') AS note FROM noted WHERE key % 25 = 3")
+def reference_rewrite(spark, folder):
+    n = _noted(spark, folder).filter("key % 25 = 3")
+    return n.select("id", REFS.rewrite_doc_path(F.col("note"), "src3/53.md", "moved/here.md").alias("note"))
+
+
+TASK_EDGES = """te AS (SELECT id AS source, parent AS target, 'parent' AS relation, 'field' AS origin, 'task' AS target_kind FROM tasks WHERE parent != ''
+  UNION ALL SELECT id, spec, 'spec', 'field', 'doc' FROM tasks WHERE spec != '' UNION ALL SELECT id, spec, 'implements', 'field', 'doc' FROM tasks WHERE spec != '')"""
+
+
+@query(f"""WITH {TASKS}, {TASK_EDGES}, more AS (SELECT * FROM te UNION ALL SELECT source, target, relation, CASE WHEN length(source) % 2 = 0 THEN 'inline' ELSE 'code' END, target_kind FROM te WHERE length(target) % 2 = 0),
+  n AS (SELECT *, row_number() OVER (PARTITION BY source, target, relation ORDER BY CASE origin WHEN 'field' THEN 0 WHEN 'inline' THEN 1 ELSE 2 END, origin) AS n FROM more) SELECT source, target, relation, origin, target_kind FROM n WHERE n = 1""")
+def edge_dedup(spark, folder):
+    e = G.task_edges(A.tasks(spark, folder))
+    extra = e.filter("length(target) % 2 = 0").withColumn("origin", F.when(F.length("source") % 2 == 0, "inline").otherwise("code"))
+    return G.dedup(e.unionByName(extra))
+
+
+BFS = f"""WITH RECURSIVE {EDGES}, steps AS (SELECT source AS near, target AS far, source, target, relation FROM edges UNION ALL SELECT target, source, source, target, relation FROM edges),
+  root AS (SELECT 'task/14' AS node),
+  l1 AS (SELECT s.*, 1 AS depth FROM steps s JOIN root ON s.near = root.node), f1 AS (SELECT DISTINCT far AS node FROM l1 EXCEPT SELECT node FROM root),
+  l2 AS (SELECT s.*, 2 AS depth FROM steps s JOIN f1 ON s.near = f1.node), s2 AS (SELECT node FROM root UNION SELECT node FROM f1), f2 AS (SELECT DISTINCT far AS node FROM l2 EXCEPT SELECT node FROM s2),
+  l3 AS (SELECT s.*, 3 AS depth FROM steps s JOIN f2 ON s.near = f2.node)"""
+
+
+@query(BFS + " SELECT source, target, relation, depth FROM l1 UNION ALL SELECT source, target, relation, depth FROM l2 UNION ALL SELECT source, target, relation, depth FROM l3")
+def bfs_depth3(spark, folder):
+    root = spark.createDataFrame([("task/14",)], "node string")
+    return G.walk(A.edges(spark, folder), root, 3, "both")
+
+
+@query(f"""WITH {EDGES}, u AS (SELECT source AS a, target AS b FROM edges WHERE relation = 'spec' UNION ALL SELECT target, source FROM edges WHERE relation = 'spec'), h1 AS (SELECT DISTINCT b AS node FROM u WHERE a = 'customer/3'),
+  h2 AS (SELECT DISTINCT u.b AS node FROM u JOIN h1 ON u.a = h1.node WHERE u.b != 'customer/3' AND u.b NOT IN (SELECT node FROM h1))
+  SELECT source, target, relation, 1 AS depth FROM edges WHERE relation = 'spec' AND target = 'customer/3'""")
+def bfs_inbound_filtered(spark, folder):
+    root = spark.createDataFrame([("customer/3",)], "node string")
+    return G.walk(A.edges(spark, folder), root, 3, "inbound", ["spec"])
+
+
+HOPS = f"""WITH RECURSIVE {EDGES}, u AS (SELECT DISTINCT * FROM (SELECT source AS a, target AS b FROM edges UNION ALL SELECT target, source FROM edges)),
+  w(node, hops) AS (SELECT 'nation/4', 0 UNION SELECT u.b, hops + 1 FROM w JOIN u ON u.a = w.node WHERE hops < 3), d AS (SELECT node, min(hops) AS hops FROM w GROUP BY node)"""
+
+
+@query(HOPS + " SELECT hops, count(*) AS nodes FROM d GROUP BY hops")
+def khop_impact(spark, folder):
+    return G.impact(A.edges(spark, folder), "nation/4", 3)
+
+
+DEGREE = f"WITH {EDGES}, u AS (SELECT source AS node FROM edges UNION ALL SELECT target FROM edges), deg AS (SELECT node, count(*) AS degree FROM u GROUP BY node)"
+
+
+@query(DEGREE + " SELECT node, degree FROM deg ORDER BY degree DESC, node LIMIT 300")
+def degree_topn(spark, folder):
+    return G.degrees(A.edges(spark, folder)).orderBy(F.desc("degree"), "node").limit(300)
+
+
+@query(DEGREE + ", top AS (SELECT node FROM deg ORDER BY degree DESC, node LIMIT 300) SELECT source, target, relation FROM edges WHERE source IN (SELECT node FROM top) AND target IN (SELECT node FROM top)")
+def graph_overview(spark, folder):
+    return G.top_subgraph(A.edges(spark, folder), 300).select("source", "target", "relation")
+
+
+@query(f"WITH {TASKS}, {TASK_EDGES}, {DOCS}, nodes AS (SELECT id AS node FROM tasks UNION SELECT 'specs/' || (doc_id % 11) FROM docs) SELECT DISTINCT source, target, relation FROM te WHERE source != target AND source IN (SELECT node FROM nodes) AND target IN (SELECT node FROM nodes)")
+def knowledge_graph(spark, folder):
+    t = A.tasks(spark, folder)
+    nodes = t.select(F.col("id").alias("node")).unionByName(A.docs(spark, folder).select(F.concat(F.lit("specs/"), (F.col("doc_id") % 11).cast("string")).alias("node")))
+    return G.knowledge_graph(nodes, G.task_edges(t))
+
+
+LOOPS = "loops AS (SELECT id, CASE WHEN key % 100 = 30 THEN 'task-' || (key + 10) WHEN key % 100 = 40 THEN 'task-' || (key - 10) ELSE parent END AS parent, key FROM tasks WHERE key % 10 = 0 OR key % 3 = 0)"
+
+
+def _looped(spark, folder):
+    k = F.col("key")
+    name = lambda x: F.concat(F.lit("task-"), x.cast("string"))
+    parent = F.when(k % 100 == 30, name(k + 10)).when(k % 100 == 40, name(k - 10)).otherwise(F.col("parent"))
+    return A.tasks(spark, folder).filter("key % 10 = 0 OR key % 3 = 0").withColumn("parent", parent)
+
+
+@query(f"""WITH RECURSIVE {TASKS}, {LOOPS}, p AS (SELECT id, parent FROM loops WHERE parent != ''),
+  a(node, ancestor, steps) AS (SELECT id, parent, 1 FROM p UNION SELECT a.node, p.parent, a.steps + 1 FROM a JOIN p ON a.ancestor = p.id WHERE a.steps < 6) SELECT DISTINCT node FROM a WHERE node = ancestor""")
+def cycle_detect(spark, folder):
+    return G.cycles(_looped(spark, folder).filter("parent != ''").select("id", "parent"))
+
+
+@query(f"""WITH RECURSIVE {TASKS}, {LOOPS}, p AS (SELECT id, parent FROM loops WHERE parent != ''),
+  v AS (SELECT l.id, CASE WHEN l.key % 50 = 0 THEN '' ELSE t.title END AS title, CASE WHEN l.key % 70 = 0 THEN 'paused' WHEN l.key % 90 = 0 THEN '' ELSE t.status END AS status, t.priority, CASE WHEN l.key % 30 = 6 THEN ['a', 'b', 'a'] ELSE t.labels END AS labels, l.parent, t.spec FROM loops l JOIN tasks t ON l.id = t.id),
+  a(node, ancestor, steps) AS (SELECT id, parent, 1 FROM p UNION SELECT a.node, p.parent, a.steps + 1 FROM a JOIN p ON a.ancestor = p.id WHERE a.steps < 6)
+  SELECT 'task' AS entity, id, 'TASK_NO_TITLE' AS code, 'error' AS level FROM v WHERE title = ''
+  UNION ALL SELECT 'task', id, 'TASK_NO_STATUS', 'warning' FROM v WHERE status = ''
+  UNION ALL SELECT 'task', id, 'TASK_INVALID_STATUS', 'warning' FROM v WHERE status = 'paused'
+  UNION ALL SELECT 'task', id, 'TASK_DUPLICATE_LABELS', 'info' FROM v WHERE len(labels) != len(list_distinct(labels))
+  UNION ALL SELECT 'task', id, 'BROKEN_TASK_REF', 'error' FROM v WHERE parent != '' AND parent NOT IN (SELECT id FROM v)
+  UNION ALL SELECT DISTINCT 'task', node, 'TASK_CIRCULAR_PARENT', 'error' FROM a WHERE node = ancestor
+  UNION ALL SELECT 'task', id, 'BROKEN_DOC_REF', 'warning' FROM v WHERE spec != '' AND spec NOT IN ('specs/0', 'specs/4')""")
+def validate_tasks(spark, folder):
+    k = F.col("key")
+    t = _looped(spark, folder).withColumns({"title": F.when(k % 50 == 0, "").otherwise(F.col("title")), "status": F.when(k % 70 == 0, "paused").when(k % 90 == 0, "").otherwise(F.col("status")), "labels": F.when(k % 30 == 6, F.array(*map(F.lit, "aba"))).otherwise(F.col("labels"))})
+    return V.validate_tasks(t, spark.createDataFrame([("specs/0",), ("specs/4",)], "path string"))
+
+
+@query(f"""WITH {MEMORIES}, {DOCS} SELECT 'memory' AS entity, id, 'MEMORY_MISSING_STATUS' AS code, 'warning' AS level FROM memories WHERE status = ''
+  UNION ALL SELECT 'memory', id, 'MEMORY_CONTENT_TOO_LONG', 'warning' FROM memories WHERE length(content) > 1200
+  UNION ALL SELECT 'memory', id, 'MEMORY_OLD_PROPOSED', 'warning' FROM memories WHERE status = 'proposed' AND updated_at + INTERVAL 30 DAY < TIMESTAMP '2024-04-15'
+  UNION ALL SELECT 'memory', id, 'MEMORY_NO_TITLE', 'warning' FROM memories WHERE title = '' UNION ALL SELECT 'memory', id, 'MEMORY_NO_CONTENT', 'info' FROM memories WHERE trim(content, ' ') = ''
+  UNION ALL SELECT 'doc', path, 'DOC_NO_TITLE', 'warning' FROM docs WHERE title = '' UNION ALL SELECT 'doc', path, 'DOC_NO_DESCRIPTION', 'info' FROM docs UNION ALL SELECT 'doc', path, 'DOC_NO_CONTENT', 'info' FROM docs WHERE trim(content, ' ') = ''""")
+def validate_memories_and_docs(spark, folder):
+    return V.validate_memories(A.memories(spark, folder), "2024-04-15", 1200).unionByName(V.validate_docs(A.docs(spark, folder)))
+
+
+TIMERS = "timers AS (SELECT DISTINCT 'task-' || user_id AS task_id FROM events WHERE event_type = 'signup')"
+OPEN = """up(node, ancestor, steps) AS (SELECT id, parent, 1 FROM tasks WHERE parent != '' UNION SELECT up.node, t.parent, up.steps + 1 FROM up JOIN tasks t ON up.ancestor = t.id WHERE t.parent != '' AND up.steps < 6),
+  unfinished AS (SELECT ancestor AS id, list_sort(list(DISTINCT node)) AS descendants FROM up JOIN tasks t ON up.node = t.id WHERE t.status != 'done' AND NOT t.archived AND node != ancestor GROUP BY ancestor)"""
+
+
+@query(f"WITH RECURSIVE {TASKS}, {OPEN} SELECT id, array_to_string(descendants, ',') AS descendants FROM unfinished")
+def unfinished_descendants(spark, folder):
+    return L.unfinished_descendants(A.tasks(spark, folder)).withColumn("descendants", F.array_join("descendants", ","))
+
+
+@query(f"""WITH RECURSIVE {TASKS}, {OPEN}, {TIMERS}, r AS (SELECT t.id, CASE WHEN archived THEN ['already_archived'] ELSE list_concat(list_filter([
+    CASE WHEN status != 'done' THEN 'not_done' END, CASE WHEN status = 'done' AND completed_at IS NULL THEN 'completed_at_missing' END,
+    CASE WHEN status = 'done' AND TIMESTAMP '2001-08-01' < completed_at + INTERVAL 30 DAY THEN 'retention_pending' END, CASE WHEN m.task_id IS NOT NULL THEN 'active_timer' END], lambda x: x IS NOT NULL),
+    list_transform(coalesce(u.descendants, CAST([] AS VARCHAR[])), lambda x: 'unfinished_descendant')) END AS reasons FROM tasks t LEFT JOIN unfinished u ON t.id = u.id LEFT JOIN timers m ON t.id = m.task_id)
+  SELECT id, len(reasons) = 0 AS eligible, array_to_string(reasons, ',') AS reasons FROM r""")
+def archive_eligibility(spark, folder):
+    timers = A.table(spark, folder, "events").filter("event_type = 'signup'").select(F.concat(F.lit("task-"), F.col("user_id").cast("string")).alias("task_id"))
+    return L.archive_eligibility(A.tasks(spark, folder), timers, "2001-08-01")
+
+
+NEAR = f"""WITH {MEMORIES}, s AS (SELECT id, lower(category) AS category, trim(regexp_replace(lower(title), '\\s+', ' ', 'g')) AS title, trim(regexp_replace(lower(content), '\\s+', ' ', 'g')) AS content,
+   list_distinct(list_filter(regexp_extract_all(lower(title), '[\\p{{L}}\\p{{Nd}}]+'), lambda t: strlen(t) >= 3)) AS a1, list_distinct(list_filter(regexp_extract_all(lower(content), '[\\p{{L}}\\p{{Nd}}]+'), lambda t: strlen(t) >= 3)) AS a2,
+   list_distinct(list_filter(regexp_extract_all(lower(title || ' ' || category || ' ' || tags[1] || ' ' || content), '[\\p{{L}}\\p{{Nd}}]+'), lambda t: strlen(t) >= 3)) AS a3 FROM memories),
+  p AS (SELECT x.id AS a, y.id AS b, x.category = y.category AS same, x.title != '' AND x.title = y.title AS st, x.content != '' AND x.content = y.content AS sc,
+   CASE WHEN len(x.a1) = 0 OR len(y.a1) = 0 THEN 0 ELSE len(list_intersect(x.a1, y.a1)) / (len(x.a1) + len(y.a1) - len(list_intersect(x.a1, y.a1)))::DOUBLE END AS j1,
+   CASE WHEN len(x.a2) = 0 OR len(y.a2) = 0 THEN 0 ELSE len(list_intersect(x.a2, y.a2)) / (len(x.a2) + len(y.a2) - len(list_intersect(x.a2, y.a2)))::DOUBLE END AS j2,
+   CASE WHEN len(x.a3) = 0 OR len(y.a3) = 0 THEN 0 ELSE len(list_intersect(x.a3, y.a3)) / (len(x.a3) + len(y.a3) - len(list_intersect(x.a3, y.a3)))::DOUBLE END AS j3 FROM s x JOIN s y ON x.id < y.id),
+  q AS (SELECT *, greatest(CASE WHEN st THEN 0.98 ELSE 0 END, CASE WHEN sc THEN 1.0 ELSE 0 END, j1, j2, j3) AS best FROM p),
+  pairs AS (SELECT a, b, round(CASE WHEN same AND best > 0 THEN least(1.0, best + 0.05) ELSE best END, 6) AS score,
+   array_to_string(list_filter([CASE WHEN st THEN 'title' END, CASE WHEN sc THEN 'content' END, CASE WHEN j1 >= 0.72 THEN 'title_tokens' END, CASE WHEN j2 >= 0.72 THEN 'content_tokens' END, CASE WHEN j3 >= 0.72 THEN 'combined' END, CASE WHEN same AND best > 0 THEN 'category' END], lambda x: x IS NOT NULL), ',') AS reasons FROM q)"""
+
+
+@query(NEAR + " SELECT a, b, score, reasons FROM pairs WHERE score >= 0.72")
+def near_dup_review(spark, folder):
+    return D.review_pairs(A.memories(spark, folder))
+
+
+@query(NEAR + """, w AS (SELECT a AS id, b AS match, score FROM pairs WHERE score >= 0.72 UNION ALL SELECT b, a, score FROM pairs WHERE score >= 0.72), n AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, match) AS n FROM w)
+  SELECT id, match, score, n FROM n WHERE n <= 5""")
+def near_dup_best(spark, folder):
+    return D.best_matches(D.review_pairs(A.memories(spark, folder))).select("id", "match", "score", F.col("n").cast("long").alias("n"))
+
+
+@query(f"""WITH {DOCS}, s AS (SELECT path AS id, title, list_filter(list_distinct(list_filter(regexp_extract_all(lower(title), '[\\p{{L}}\\p{{Nd}}]+'), lambda t: strlen(t) >= 3)), lambda t: t NOT IN ('and', 'are', 'but', 'for', 'from', 'new', 'old', 'our', 'the', 'this', 'that', 'use', 'uses', 'using', 'with')) AS t FROM docs),
+  p AS (SELECT x.id AS a, y.id AS b, len(list_intersect(x.t, y.t)) AS shared FROM s x JOIN s y ON x.id < y.id AND x.title != y.title)
+  SELECT a, b, shared, round(0.82 + least((shared - 2) * 0.03, 0.09), 6) AS score FROM p WHERE shared >= 2""")
+def conflict_topic(spark, folder):
+    return D.topic_conflicts(A.docs(spark, folder).withColumn("id", F.col("path")))
+
+
+@query(f"WITH {MEMORIES}, g AS (SELECT id, floor((epoch(TIMESTAMP '2024-04-01') - epoch(updated_at)) / 3600 / 24)::BIGINT AS age_days FROM memories) SELECT id, age_days FROM g WHERE age_days >= 7 ORDER BY age_days DESC, id LIMIT 20")
+def cleanup_candidates(spark, folder):
+    return D.cleanup_candidates(A.memories(spark, folder), "2024-04-01").select("id", "age_days")
+
+
+@query(f"""WITH {MEMORIES}, i AS (SELECT id, status, updated_at, CASE WHEN turn % 3 = 0 THEN '' ELSE 'src-' || (conv_id % 40) END AS source, CASE WHEN turn % 2 = 0 THEN 45 END AS ttl_days FROM memories)
+  SELECT id, 'proposed' AS reason FROM i WHERE status = 'proposed' UNION ALL SELECT id, 'stale_ttl' FROM i WHERE ttl_days IS NOT NULL AND updated_at + to_days(ttl_days) < TIMESTAMP '2024-04-01'
+  UNION ALL SELECT id, 'missing_source' FROM i WHERE source = '' UNION ALL SELECT id, 'source_missing' FROM i WHERE source != '' AND source NOT IN (SELECT 'src-' || (vec_id // 15) FROM embeddings)""")
+def review_inbox(spark, folder):
+    m = A.memories(spark, folder).select("id", "status", "updated_at", F.when(F.col("turn") % 3 == 0, "").otherwise(F.concat(F.lit("src-"), (F.col("conv_id") % 40).cast("string"))).alias("source"), F.when(F.col("turn") % 2 == 0, 45).cast("int").alias("ttl_days"))
+    return D.inbox(m, A.chunks(spark, folder).select(F.col("source").alias("id")).distinct(), "2024-04-01")
+
+
+PROMPT = f"""WITH {MEMORIES}, w AS (SELECT *, list_distinct(list_filter(regexp_extract_all(lower(title || ' ' || category || ' ' || content || ' ' || tags[1]), '[a-z0-9]+'), lambda t: length(t) >= 3)) AS w, (epoch_us(TIMESTAMP '2024-04-01') - epoch_us(updated_at)) / 86400000000.0 AS days FROM memories WHERE status IN ('active', '')),
+  o AS (SELECT *, len(list_intersect(w, ['preference', 'that', 'the', 'under', 'was'])) AS overlap, CASE WHEN days <= 7 THEN 0.12 WHEN days <= 30 THEN 0.06 WHEN days <= 90 THEN 0.03 ELSE 0 END AS fresh FROM w),
+  scored AS (SELECT id, layer, tags, updated_at, strlen(content) AS size, overlap, round(CASE layer WHEN 'project' THEN 0.12 ELSE 0.04 END + overlap * 0.35 + len(list_intersect(w, ['assistant', 'con', 'edit', 'que'])) * 0.05 + CASE WHEN list_contains(w, 'assistant') THEN 0.08 ELSE 0 END + CASE WHEN list_contains(w, 'edit') THEN 0.08 ELSE 0 END + fresh, 6) AS score FROM o WHERE overlap > 0)"""
+
+
+def _prompted(spark, folder):
+    m = A.memories(spark, folder).filter("status IN ('active', '')")
+    return M.scored(m, "the preference that was under", ["con", "que"], "assistant", "edit", "2024-04-01")
+
+
+@query(PROMPT + " SELECT id, overlap, score FROM scored")
+def memory_prompt_score(spark, folder):
+    return _prompted(spark, folder).select("id", F.col("overlap").cast("long").alias("overlap"), "score")
+
+
+@query(PROMPT + ", t AS (SELECT * FROM scored ORDER BY score DESC, updated_at DESC, id LIMIT 5) SELECT count(*) AS n, max(score) >= 0.85 AND sum(score) >= CASE WHEN count(*) = 1 THEN 1.1 ELSE 1.4 END AS inject FROM t")
+def memory_injection(spark, folder):
+    return M.passes_threshold(M.top(_prompted(spark, folder)))
+
+
+@query(PROMPT + """, n AS (SELECT layer, id, size, 2500 - coalesce(sum(size) OVER (PARTITION BY layer ORDER BY score DESC, updated_at DESC, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS room FROM scored)
+  SELECT layer, id, least(room, size)::BIGINT AS room, size > room AS truncated FROM n WHERE room > 0""")
+def memory_budget_pack(spark, folder):
+    m = _prompted(spark, folder).withColumn("size", F.octet_length("content").cast("long"))
+    return M.packed(m, ["layer"], [F.desc("score"), F.desc("updated_at"), F.col("id")], "size", 2500).select("layer", "id", F.col("room").cast("long").alias("room"), "truncated")
+
+
+@query(f"WITH {MEMORIES} SELECT id, round(CASE layer WHEN 'project' THEN 0.2 ELSE 0.14 END + CASE WHEN (epoch_us(TIMESTAMP '2024-04-01') - epoch_us(updated_at)) <= 7 * 86400000000 THEN 0.12 WHEN (epoch_us(TIMESTAMP '2024-04-01') - epoch_us(updated_at)) <= 30 * 86400000000 THEN 0.06 WHEN (epoch_us(TIMESTAMP '2024-04-01') - epoch_us(updated_at)) <= 90 * 86400000000 THEN 0.03 ELSE 0 END, 6) AS score FROM memories")
+def memory_baseline(spark, folder):
+    return M.baseline(A.memories(spark, folder), "2024-04-01").select("id", "score")
+
+
+@query(f"WITH {MEMORIES}, c AS (SELECT id, trim(regexp_replace(lower(content), '\\s+', ' ', 'g')) AS c, trim(regexp_replace(lower(title), '\\s+', ' ', 'g')) AS t, layer FROM memories) SELECT DISTINCT x.id FROM c x JOIN c y ON x.id != y.id AND (x.c = y.c OR (x.layer = y.layer AND x.t = y.t AND (contains(x.c, y.c) OR contains(y.c, x.c))))")
+def memory_duplicates(spark, folder):
+    m = A.memories(spark, folder)
+    return M.duplicate_capture(m, m)
+
+
+@query(f"WITH {MEMORIES} SELECT id, octet_length(encode(trim(regexp_replace(lower(content), '\\s+', ' ', 'g')))) < 3 OR len(regexp_extract_all(lower(content), '[a-z0-9]+')) = 0 AS low FROM memories WHERE len(regexp_extract_all(lower(content), '[a-z0-9]+')) NOT IN (1, 2)")
+def prompt_low_signal(spark, folder):
+    m = A.memories(spark, folder).filter(~F.size(X.tokens("content")).isin(1, 2))
+    return m.select("id", M.low_signal("content").alias("low"))
+
+
+@query(f"WITH {AUDIT}, v AS (SELECT DISTINCT 'nation/' || n_nationkey AS node FROM nation), {EDGES} SELECT DISTINCT node FROM v WHERE node IN (SELECT target FROM edges WHERE relation = 'parent' AND starts_with(source, 'customer/')) AND node IN (SELECT 'nation/' || c_nationkey FROM customer)")
+def graph_filter(spark, folder):
+    e = A.edges(spark, folder)
+    nodes = e.select(F.col("source").alias("node")).unionByName(e.select(F.col("target").alias("node"))).distinct().withColumn("kind", F.split_part("node", F.lit("/"), F.lit(1)))
+    return G.filtered_graph(nodes, e, ["customer", "nation"], ["parent"]).filter("kind = 'nation'").select("node")
