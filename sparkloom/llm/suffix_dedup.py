@@ -104,23 +104,38 @@ def _anchor_rows(batches, length):
             )
 
 
+def _ranked(key: np.ndarray, bits: int) -> np.ndarray:
+    """Dense ranks of keys of ``bits`` bits.  Where a place fits beside the key in 64
+    bits, one plain sort of both does."""
+    n = len(key)
+    wide = max(1, int(n - 1).bit_length())
+    if bits + wide > 64:
+        return np.unique(key, return_inverse=True)[1].astype(U)
+    both = np.sort(key << U(wide) | np.arange(n, dtype=U))
+    place = (both & U((1 << wide) - 1)).astype(np.int64)
+    both >>= U(wide)
+    rank = np.empty(n, U)
+    rank[place] = np.cumsum(np.append(False, both[1:] != both[:-1])).astype(U)
+    return rank
+
+
 def suffix_order(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Starts in the order of their ``length`` bytes, and whether each shares all of
-    them with the one before it.  Prefix doubling from 8 bytes."""
+    them with the one before it.  Prefix doubling from 4 bytes."""
     n = len(data)
     if not len(starts):
         return starts, np.zeros(0, bool)
-    padded = np.zeros(n + 8, np.uint8)
+    padded = np.zeros(n + 4, np.uint8)
     padded[:n] = data
     word = np.zeros(n, U)
-    for k in range(8):
+    for k in range(4):
         word = (word << U(8)) | padded[k : k + n].astype(U)
-    rank, size = np.unique(word, return_inverse=True)[1].astype(np.int64), 8
+    rank, size, wide = _ranked(word, 32), 4, int(n + 1).bit_length()
     while 2 * size <= length:
-        tail = np.zeros(n, np.int64)
-        tail[: n - size] = rank[size:] + 1
-        rank, size = np.unique(rank * (n + 1) + tail, return_inverse=True)[1].astype(np.int64), 2 * size
-    key = rank[starts] * (n + 1) + rank[np.minimum(starts + length - size, n - 1)]
+        tail = np.zeros(n, U)
+        tail[: n - size] = rank[size:] + U(1)
+        rank, size = _ranked(rank << U(wide) | tail, 2 * wide), 2 * size
+    key = rank[starts] << U(wide) | rank[np.minimum(starts + length - size, n - 1)]
     order = np.argsort(key)
     same = np.append(False, key[order[1:]] == key[order[:-1]])
     return starts[order], same
@@ -150,9 +165,33 @@ def has_previous_factor(sa: np.ndarray, same: np.ndarray) -> np.ndarray:
     return out
 
 
+def _with_equal_hashes(texts: list[bytes], length: int) -> np.ndarray:
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    size = np.array([len(t) for t in texts])
+    if len(data) < length:
+        return np.zeros(len(texts), bool)
+    pre = B.prefix(data)
+    _, down = B.powers(len(pre))
+    window = (pre[length:] - pre[:-length]) * down[: len(data) - length + 1]
+    own = np.repeat(np.arange(len(texts)), size)
+    whole = np.flatnonzero(own[: len(window)] == own[length - 1 :])
+    order = np.argsort(window[whole])
+    ranked = window[whole[order]]
+    same = ranked[1:] == ranked[:-1]
+    out = np.zeros(len(texts), bool)
+    out[own[whole[order[1:][same]]]] = out[own[whole[order[:-1][same]]]] = True
+    return out
+
+
 def repeated_windows(texts: list[bytes], length: int, keep: str) -> list[np.ndarray]:
     """For each text the windows to remove, as their first bytes; texts in the order of
     their place in the corpus."""
+    if len(texts) > 1:
+        # a text none of whose windows has the hash of another needs no sorting
+        some = _with_equal_hashes(texts, length)
+        if not some.all():
+            inner = iter(repeated_windows([t for t, s in zip(texts, some) if s], length, keep) if some.any() else ())
+            return [next(inner) if s else np.zeros(0, np.int64) for s in some]
     data = np.frombuffer(b"".join(texts), np.uint8)
     size = np.array([len(t) for t in texts])
     base = np.cumsum(size) - size
@@ -315,11 +354,13 @@ def remove_repeats(docs: DataFrame, length: int = 400, keep: str = "none", crowd
     keyed = C.with_row_key(docs, "doc_id", "text")
     rows = keyed.select("doc_id", *C.KEY, "text").mapInArrow(lambda it: _anchor_rows(it, length), f"doc_id {kind}, _k1 long, _k2 long, lo long, hi long, at long, gram long, s1 long, s2 long")
     rows = C.stored(rows, "anchors")
-    again = rows.groupBy("gram").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("gram")
+    # written first, so that both sides of the join are plain exchanges and a hot gram's
+    # partition can be split
+    again = C.stored(rows.groupBy("gram").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("gram"), "shared-grams")
     rows = C.stored(rows.join(again, "gram"), "shared-anchors")
     place = F.struct("doc_id", *C.KEY, "lo")
     segments = C.stored(rows.groupBy("gram", *SEG).agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first"), F.min_by(F.struct("hi", "at"), place).alias("ends")), "segments")
-    several = segments.groupBy("gram").agg(F.count(F.lit(1)).alias("many")).filter("many > 1")
+    several = C.stored(segments.groupBy("gram").agg(F.count(F.lit(1)).alias("many")).filter("many > 1"), "open-grams")
     open_ = segments.join(several, "gram").select("gram", *SEG, "n", "many", "first.*", "ends.*")
     wanted = open_.groupBy(*C.KEY).agg(F.collect_list(F.struct("gram", *SEG, "n", "many", "lo", "hi", "at")).alias("want"))
     texts = keyed.select("doc_id", *C.KEY, "text").join(wanted, C.KEY).select("doc_id", *C.KEY, "text", "want")
