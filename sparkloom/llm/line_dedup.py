@@ -110,7 +110,10 @@ def drop_common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, b
     keyed = C.with_row_key(docs, "doc_id", "text")
     each = keyed.select(*C.KEY, F.posexplode(lines_of(F.col("text"))).alias("_pos", "_line"))
     each = each.select(*C.KEY, "_pos", line_key(F.col("_line")).alias("_key")).filter(F.length("_key") >= min_chars)
-    hits = each.select(*C.KEY, "_pos", *_hashes(F.col("_key"))).join(runs.common(), HASH, "left_semi")
+    # written first, so that both sides of the join are plain exchanges and a hot line's
+    # partition can be split
+    common = C.stored(runs.common(), "common-lines")
+    hits = each.select(*C.KEY, "_pos", *_hashes(F.col("_key"))).join(common, HASH, "left_semi")
     drops = hits.groupBy(*C.KEY).agg(F.collect_set("_pos").alias("_drop"))
     joined = keyed.join(drops, C.KEY, "left").select(*docs.columns, "_drop")
     schema = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
