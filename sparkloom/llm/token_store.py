@@ -100,6 +100,7 @@ def _blocks(batches, files, end, planes, size):
 
 
 def write_store(docs: DataFrame, path: str, files: tuple[str, str], end: int = 2, planes: str = "byte", block: int = BLOCK) -> None:
+    C.text_batches(docs.sparkSession)
     order = [F.col("doc_id"), F.xxhash64("text")]
     rows = docs.select("doc_id", "text").repartitionByRange(C.partitions(docs.sparkSession), *order).sortWithinPartitions(*order)
     rows.mapInArrow(lambda it: _blocks(it, files, end, planes, block), STORE).write.parquet(path)
@@ -130,13 +131,19 @@ def _times(matrix: list[int], vector: int) -> int:
     return out
 
 
+_zeros: list[list[int]] = []
+
+
 def crc_join(a: int, b: int, n: int) -> int:
-    """The CRC-32 of two byte strings end to end, from theirs and the second's length."""
-    power = [0xEDB88320, *[1 << i for i in range(31)]]
-    power = [_times(power, x) for x in power]
-    power = [_times(power, x) for x in power]
-    while n:
-        power = [_times(power, x) for x in power]
+    """The CRC-32 of two byte strings end to end, from theirs and the second's length:
+    a's is moved past n zero bytes, by matrices over GF(2) for 1, 2, 4, ... of them."""
+    if not _zeros:
+        power = [0xEDB88320, *[1 << i for i in range(31)]]
+        for k in range(43):
+            power = [_times(power, x) for x in power]
+            if k >= 2:
+                _zeros.append(power)
+    for power in _zeros:
         if n & 1:
             a = _times(power, a)
         n >>= 1
