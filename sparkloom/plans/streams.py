@@ -1 +1,71 @@
-"""Queries."""
+"""Queries on queues, leases, debouncing and retrieval packs."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import lexical as K
+from ..operators import retrieve as R
+from ..sources import adapters as A
+from ..streaming import queues as S
+from .registry import query
+
+
+def _sessions(key: str, gap: str) -> str:
+    return f"""WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY {key} ORDER BY ts) <= INTERVAL {gap} THEN 0 ELSE 1 END AS fresh FROM events),
+  s AS (SELECT *, sum(fresh) OVER (PARTITION BY {key} ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM g)"""
+
+
+@query(_sessions("user_id", "2 HOUR") + " SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 2 HOUR AS fires_at, count(*) AS events, max_by(event_type, {t: ts, v: event_type}) AS last FROM s GROUP BY user_id, n")
+def debounce_sessions(spark, folder):
+    e = A.table(spark, folder, "events")
+    return S.debounced(e.withColumn("ts", F.col("ts").cast("timestamp")), "user_id", "ts", "event_type", "2 hours").select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("fires_at").cast("timestamp_ntz").alias("fires_at"), "events", "last")
+
+
+@query(_sessions("event_type", "15 MINUTE") + " SELECT event_type, min(ts) AS since, max(ts) + INTERVAL 15 MINUTE AS expires, count(*) AS beats FROM s GROUP BY event_type, n")
+def lease_sessions(spark, folder):
+    e = A.table(spark, folder, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return S.leases(e, "event_type", "ts", "15 minutes").select("event_type", F.col("since").cast("timestamp_ntz").alias("since"), F.col("expires").cast("timestamp_ntz").alias("expires"), "beats")
+
+
+@query("SELECT event_id, event_type FROM events")
+def event_dedup(spark, folder):
+    e = A.table(spark, folder, "events")
+    return S.once(e.unionByName(e.filter("event_id % 3 = 0")), "event_id", "ts").select("event_id", "event_type")
+
+
+@query("""WITH j AS (SELECT event_id, event_type, user_id % 20 AS target, ts, ts + to_milliseconds(CASE event_type WHEN 'click' THEN 1000 WHEN 'error' THEN 0 ELSE 5000 END) AS run FROM events)
+  SELECT event_type AS kind, target, min_by(event_id, {t: ts, i: event_id}) AS id, max(run) AS run_after, count(*) AS requests FROM j GROUP BY 1, 2""")
+def queue_coalesce(spark, folder):
+    e = A.table(spark, folder, "events")
+    jobs = e.select(F.col("event_id").alias("id"), F.col("event_type").alias("kind"), (F.col("user_id") % 20).alias("target"), F.col("ts").alias("requested_at"), F.when(F.col("event_type") == "click", 1000).when(F.col("event_type") == "error", 0).otherwise(5000).alias("delay_ms"))
+    return S.coalesced(jobs).select("kind", "target", "id", "run_after", "requests")
+
+
+@query("SELECT event_type, date_trunc('hour', ts) AS start, count(*) AS events FROM events GROUP BY 1, 2")
+def windowed_counts(spark, folder):
+    e = A.table(spark, folder, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return S.windowed_counts(e, "event_type", "ts").withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query("SELECT event_id, ts FROM events ORDER BY ts DESC, event_id DESC LIMIT 50")
+def recent_results(spark, folder):
+    return S.recent_ring(A.table(spark, folder, "events")).select("event_id", "ts")
+
+
+def _pack_entities(spark, folder):
+    docs = A.docs(spark, folder)
+    note = F.concat("content", F.lit(" @task/"), (F.col("doc_id") % 50).cast("string"), F.lit(" @doc/"), F.lit("src1/1"))
+    d = docs.select(F.lit("doc").alias("type"), F.col("path").alias("id"), "title", note.alias("content"), F.lit("").alias("lifecycle"))
+    t = A.tasks(spark, folder)
+    life = F.when(F.col("archived"), "archived").when(F.col("status") == "done", "done").otherwise("active")
+    return d.unionByName(t.select(F.lit("task").alias("type"), F.col("key").cast("string").alias("id"), "title", F.col("description").alias("content"), life.alias("lifecycle")))
+
+
+@query()
+def retrieval_pack(spark, folder):
+    """Keyword results, one hop of references, in order, as a pack."""
+    results = K.keyword_search(K.corpus(A.docs(spark, folder), "doc"), "the token account", 10)
+    entities = _pack_entities(spark, folder)
+    direct = R.candidates(results, entities)
+    return R.pack(R.merged(direct, R.expanded(direct, entities)), 20)
