@@ -63,16 +63,17 @@ def headings(c) -> Column:
     return _headings(F.coalesce(X.col(c), F.lit("")))
 
 
-def packed(parts: Column, first: Column, again: Column, most: int) -> Column:
-    """Greedy packing: ``first`` heads the first chunk and ``again`` each later one; a
-    chunk with something in it is closed when the next part would pass ``most`` tokens.
+def packed(parts: Column, first: Column, again: Column | None, most: int, filled: bool = False) -> Column:
+    """Greedy packing: ``first`` heads the first chunk (or, if ``filled``, is its first
+    part) and ``again`` each later one, if given; a chunk with something in it is closed
+    when the next part would pass ``most`` tokens.
     A part that is too large by itself stays whole.  (content, tokens) of each."""
     kind = "array<struct<content:string,tokens:int>>"
-    start = F.struct(F.array().cast(kind).alias("done"), first.alias("text"), estimate(first).alias("tokens"), F.lit(False).alias("some"))
+    start = F.struct(F.array().cast(kind).alias("done"), first.alias("text"), estimate(first).alias("tokens"), F.lit(filled).alias("some"))
 
     def step(a, p):
         full = a["some"] & (a["tokens"] + estimate(p) > most)
-        fresh = F.concat(again, F.lit("\n\n"), p)
+        fresh = p if again is None else F.concat(again, F.lit("\n\n"), p)
         closed = F.concat(a["done"], F.array(F.struct(a["text"].alias("content"), a["tokens"].alias("tokens"))))
         return F.struct(
             F.when(full, closed).otherwise(a["done"]).alias("done"),
@@ -116,8 +117,8 @@ def field_chunks(entities: DataFrame, kind: str, fields: list[str], most: int =
         text = F.coalesce(F.col(c), F.lit(""))
         paras = paragraphs(c)
         head = F.element_at(paras, 1)
-        parts = F.when(estimate(text) > most, packed(F.slice(paras, F.lit(2), F.greatest(F.size(paras) - 1, F.lit(0))), head, F.lit(""), most)).otherwise(F.array(F.struct(text.alias("content"), estimate(text).alias("tokens"))))
-        named = F.transform(parts, lambda p, i: F.struct(F.when(i == 0, c).otherwise(F.concat(F.lit(c + ":"), (i + 1).cast("string"))).alias("part"), F.regexp_replace(p["content"], r"^\n+", "").alias("content"), estimate(p["content"]).alias("tokens")))
+        parts = F.when(estimate(text) > most, packed(F.slice(paras, F.lit(2), F.greatest(F.size(paras) - 1, F.lit(0))), head, None, most, filled=True)).otherwise(F.array(F.struct(text.alias("content"), estimate(text).alias("tokens"))))
+        named = F.transform(parts, lambda p, i: F.struct(F.when(i == 0, c).otherwise(F.concat(F.lit(c + ":"), (i + 1).cast("string"))).alias("part"), p["content"].alias("content"), p["tokens"].alias("tokens")))
         return F.when(F.trim(text) != "", named).otherwise(F.array().cast("array<struct<part:string,content:string,tokens:int>>"))
 
     rows = entities.select("id", F.explode(F.flatten(F.array(*map(one, fields)))).alias("c"))

@@ -22,7 +22,7 @@ MARKS = [("<!-- SECTION:{}:BEGIN -->", "<!-- SECTION:{}:END -->"), ("<!-- {}:BEG
 def files(spark: SparkSession, root: str, pattern: str = "*.md") -> DataFrame:
     """path below ``root`` without its ending, and text; folders are entered."""
     base = root.rstrip("/") + "/"
-    d = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(root)
+    d = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(root, wholetext=True)
     name = F.element_at(F.split(F.col("_metadata.file_path"), F.lit(base.split("://")[-1]), 2), -1)
     return d.select(F.regexp_replace(F.url_decode(name), r"\.[^./]+$", "").alias("path"), F.regexp_replace(F.regexp_replace("value", "^﻿", ""), "\r\n", "\n").alias("text"))
 
@@ -156,7 +156,7 @@ def scan_templates(spark: SparkSession, root: str) -> DataFrame:
 
 def visible_code(spark: SparkSession, root: str, endings: list[str], ignored: list[str], most: int | None = None) -> DataFrame:
     """Source files by ending, outside ignored folders; ``most`` files by path if asked."""
-    d = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(root).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    d = spark.read.option("recursiveFileLookup", True).text(root, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
     keep = F.lower(F.element_at(F.split("path", r"\."), -1)).isin(endings)
     out = d.filter(keep & ~F.exists(F.split("path", "/"), lambda p: p.isin(ignored)))
     return out.orderBy("path").limit(most) if most else out

@@ -18,7 +18,7 @@ def audit_log(spark: SparkSession, path: str) -> DataFrame:
 
 def time_entries(spark: SparkSession, path: str) -> DataFrame:
     """A map of tasks to entries as one row for each entry."""
-    d = spark.read.option("wholetext", True).text(path).select(F.from_json("value", ENTRIES).alias("m"))
+    d = spark.read.text(path, wholetext=True).select(F.from_json("value", ENTRIES).alias("m"))
     e = d.select(F.explode("m").alias("task_id", "entries")).select("task_id", F.explode("entries").alias("e"))
     return e.select("task_id", F.col("e.id").alias("id"), F.col("e.startedAt").alias("started_at"), F.col("e.endedAt").alias("ended_at"), F.col("e.duration").alias("duration"), F.col("e.note").alias("note"))
 
