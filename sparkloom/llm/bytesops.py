@@ -6,6 +6,8 @@ a few MB, so memory follows the longest document and not the batch.
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -13,7 +15,7 @@ import pyarrow.compute as pc
 U = np.uint64
 BASE = U(0x9E3779B97F4A7C15 | 1)
 INVERSE = U(pow(int(BASE), -1, 1 << 64))
-PIECE = 4 << 20
+PIECE = 2 << 20
 #: One random 64-bit value for each byte value.
 VALUES = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
 TO_LOWER = np.arange(256, dtype=np.uint8)
@@ -25,12 +27,13 @@ WORDISH = np.zeros(256, bool)
 WORDISH[0x30:0x3A] = WORDISH[0x61:0x7B] = WORDISH[0x80:] = True
 
 _powers: dict[str, np.ndarray] = {}
+_libc: list = []
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE ** j and its inverse, modulo 2 ** 64, for j up to n."""
     if len(_powers.get("up", ())) <= n:
-        m = max(n + 1, PIECE)
+        m = max(n + 1, PIECE // 2, 2 * len(_powers.get("up", ())))
         for name, b in (("up", BASE), ("down", INVERSE)):
             p = np.full(m, b, U)
             p[0] = 1
@@ -38,6 +41,15 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"], _powers["down"]
 
 
+def give_back() -> None:
+    """Return what the allocator has kept of freed arrays to the system, where it can:
+    a worker's memory then follows the block it works on, not the largest so far."""
+    if not _libc:
+        _libc.append(ctypes.CDLL(None))
+    if hasattr(_libc[0], "malloc_trim"):
+        _libc[0].malloc_trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> U(31))
     x = x * U(0xBF58476D1CE4E5B9)
