@@ -132,22 +132,29 @@ def looks_like_task_id(c: str) -> Column:
     return F.col(c).rlike(r"^[0-9A-Za-z-]{0,20}$")
 
 
+def _blanked(c: Column, pattern: str) -> Column:
+    """What matches becomes as many blanks, so that columns stay."""
+    parts = F.regexp_extract_all(c, F.lit(f"({pattern})"), 1)
+    return F.aggregate(parts, c, lambda a, q: F.replace(a, q, F.repeat(F.lit(" "), F.length(q))))
+
+
 def first_symbol(lines: DataFrame, name: str) -> DataFrame:
     """The first line of each file on which ``name`` stands outside comments and
-    strings, and its column in UTF-16 units."""
+    strings, and its column in UTF-16 units.  lines: path, number, text."""
     import re
 
     w = Window.partitionBy("path").orderBy("number")
-    bare = F.regexp_replace("text", r'"(?:[^"\\]|\\.)*"', '""')
-    opens = F.regexp_count(bare, F.lit(r"/\*")) - F.regexp_count(bare, F.lit(r"\*/"))
-    inside = F.coalesce(F.sum(opens).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) > 0
-    # strings and comments become as many blanks, so that columns stay
-    blank = F.expr(r"""regexp_replace(text, '//.*$', '')""")
-    quoted = F.regexp_extract_all(blank, F.lit(r'("(?:[^"\\]|\\.)*")'), 1)
-    code = F.aggregate(quoted, blank, lambda a, q: F.replace(a, q, F.repeat(F.lit(" "), F.length(q))))
+    code = _blanked(F.col("text"), r'"(?:[^"\\]|\\.)*"')
+    opens = F.regexp_count(code, F.lit(r"/\*")) - F.regexp_count(code, F.lit(r"\*/"))
+    rows = lines.withColumns({"_code": code, "_opens": opens})
+    inside = F.coalesce(F.sum("_opens").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) > 0
+    rows = rows.withColumn("_in", inside)
+    c = F.col("_code")
+    c = F.when(F.col("_in") & ~c.contains("*/"), "").when(F.col("_in"), _blanked(c, r"^.*?\*/")).otherwise(c)
+    c = _blanked(_blanked(_blanked(c, r"/\*.*?\*/"), r"//.*$"), r"/\*.*$")
     pattern = rf"(?<![0-9A-Za-z_]){re.escape(name)}(?![0-9A-Za-z_])"
-    before = F.regexp_extract(code, rf"^(.*?){pattern}", 1)
-    rows = lines.withColumns({"_in": inside, "_code": code}).filter(~F.col("_in") & F.col("_code").rlike(pattern))
+    hit = rows.withColumn("_code", c).filter(F.col("_code").rlike(pattern))
+    before = F.regexp_extract("_code", rf"^(.*?){pattern}", 1)
     wide = F.length(F.regexp_replace(before, r"[^\x{10000}-\x{10FFFF}]", ""))
-    at = rows.withColumn("column", F.length(before) + wide)
+    at = hit.withColumn("column", F.length(before) + wide)
     return at.groupBy("path").agg(F.min_by(F.struct("number", "column"), "number").alias("at")).select("path", "at.*")

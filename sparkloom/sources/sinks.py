@@ -23,6 +23,26 @@ def task_text() -> Column:
     return F.concat(front, F.lit("\n\n<!-- SECTION:DESCRIPTION:BEGIN -->\n"), F.coalesce("description", F.lit("")), F.lit("\n<!-- SECTION:DESCRIPTION:END -->\n"))
 
 
+def _file_text(scalars: list[str], lists: list[str], body: Column) -> Column:
+    front = F.concat_ws("\n", F.lit("---"), *[_line(n, F.col(n)) for n in scalars], *[_list(n, n) for n in lists], F.lit("---"))
+    return F.concat(front, F.lit("\n\n"), F.coalesce(body, F.lit("")), F.lit("\n"))
+
+
+def doc_text() -> Column:
+    return _file_text(["title", "description"], ["tags"], F.col("content"))
+
+
+def memory_text() -> Column:
+    return _file_text(["id", "title", "layer", "category", "status", "confidence"], ["sources", "tags"], F.col("content"))
+
+
+def decision_text() -> Column:
+    """The four parts under their headings; parts that are blank are left out."""
+    part = lambda c: F.when(F.coalesce(F.col(c), F.lit("")) != "", F.concat(F.lit(f"## {c.capitalize()}\n\n"), F.col(c)))
+    body = F.concat_ws("\n\n", *[part(c) for c in ("context", "decision", "alternatives", "consequences")])
+    return _file_text(["id", "title", "status"], ["supersedes", "superseded_by", "tags", "sources"], body)
+
+
 def write_csv(report: DataFrame, path: str) -> None:
     """Lists joined by semicolons, with a header."""
     flat = [F.array_join(c, ";").alias(c) if t.startswith("array") else F.col(c) for c, t in report.dtypes]
