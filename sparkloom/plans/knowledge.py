@@ -218,7 +218,7 @@ def near_dup_best(spark, folder):
 
 @query(f"""WITH {DOCS}, s AS (SELECT path AS id, title, list_filter(list_distinct(list_filter(regexp_extract_all(lower(title), '[\\p{{L}}\\p{{Nd}}]+'), lambda t: strlen(t) >= 3)), lambda t: t NOT IN ('and', 'are', 'but', 'for', 'from', 'new', 'old', 'our', 'the', 'this', 'that', 'use', 'uses', 'using', 'with')) AS t FROM docs),
   p AS (SELECT x.id AS a, y.id AS b, len(list_intersect(x.t, y.t)) AS shared FROM s x JOIN s y ON x.id < y.id AND x.title != y.title)
-  SELECT a, b, shared, round(0.82 + least((shared - 2) * 0.03, 0.09), 6) AS score FROM p WHERE shared >= 2""")
+  SELECT a, b, shared, round(0.82 + least((shared - 2) * 0.03, 0.09), 6)::DOUBLE AS score FROM p WHERE shared >= 2""")
 def conflict_topic(spark, folder):
     return D.topic_conflicts(A.docs(spark, folder).withColumn("id", F.col("path")))
 
@@ -238,7 +238,7 @@ def review_inbox(spark, folder):
 
 PROMPT = f"""WITH {MEMORIES}, w AS (SELECT *, list_distinct(list_filter(regexp_extract_all(lower(title || ' ' || category || ' ' || content || ' ' || tags[1]), '[a-z0-9]+'), lambda t: length(t) >= 3)) AS w, (epoch_us(TIMESTAMP '2024-04-01') - epoch_us(updated_at)) / 86400000000.0 AS days FROM memories WHERE status IN ('active', '')),
   o AS (SELECT *, len(list_intersect(w, ['preference', 'that', 'the', 'under', 'was'])) AS overlap, CASE WHEN days <= 7 THEN 0.12 WHEN days <= 30 THEN 0.06 WHEN days <= 90 THEN 0.03 ELSE 0 END AS fresh FROM w),
-  scored AS (SELECT id, layer, tags, updated_at, strlen(content) AS size, overlap, round(CASE layer WHEN 'project' THEN 0.12 ELSE 0.04 END + overlap * 0.35 + len(list_intersect(w, ['assistant', 'con', 'edit', 'que'])) * 0.05 + CASE WHEN list_contains(w, 'assistant') THEN 0.08 ELSE 0 END + CASE WHEN list_contains(w, 'edit') THEN 0.08 ELSE 0 END + fresh, 6) AS score FROM o WHERE overlap > 0)"""
+  scored AS (SELECT id, layer, tags, updated_at, strlen(content) AS size, overlap, round(CASE layer WHEN 'project' THEN 0.12 ELSE 0.04 END + overlap * 0.35 + len(list_intersect(w, ['assistant', 'con', 'edit', 'que'])) * 0.05 + CASE WHEN list_contains(w, 'assistant') THEN 0.08 ELSE 0 END + CASE WHEN list_contains(w, 'edit') THEN 0.08 ELSE 0 END + fresh, 6)::DOUBLE AS score FROM o WHERE overlap > 0)"""
 
 
 def _prompted(spark, folder):
@@ -263,7 +263,7 @@ def memory_budget_pack(spark, folder):
     return M.packed(m, ["layer"], [F.desc("score"), F.desc("updated_at"), F.col("id")], "size", 2500).select("layer", "id", F.col("room").cast("long").alias("room"), "truncated")
 
 
-@query(f"WITH {MEMORIES} SELECT id, round(CASE layer WHEN 'project' THEN 0.2 ELSE 0.14 END + CASE WHEN (epoch_us(TIMESTAMP '2024-04-01') - epoch_us(updated_at)) <= 7 * 86400000000 THEN 0.12 WHEN (epoch_us(TIMESTAMP '2024-04-01') - epoch_us(updated_at)) <= 30 * 86400000000 THEN 0.06 WHEN (epoch_us(TIMESTAMP '2024-04-01') - epoch_us(updated_at)) <= 90 * 86400000000 THEN 0.03 ELSE 0 END, 6) AS score FROM memories")
+@query(f"WITH {MEMORIES} SELECT id, round(CASE layer WHEN 'project' THEN 0.2 ELSE 0.14 END + CASE WHEN (epoch_us(TIMESTAMP '2024-04-01') - epoch_us(updated_at)) <= 7 * 86400000000 THEN 0.12 WHEN (epoch_us(TIMESTAMP '2024-04-01') - epoch_us(updated_at)) <= 30 * 86400000000 THEN 0.06 WHEN (epoch_us(TIMESTAMP '2024-04-01') - epoch_us(updated_at)) <= 90 * 86400000000 THEN 0.03 ELSE 0 END, 6)::DOUBLE AS score FROM memories")
 def memory_baseline(spark, folder):
     return M.baseline(A.memories(spark, folder), "2024-04-01").select("id", "score")
 

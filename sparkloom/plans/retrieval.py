@@ -36,7 +36,7 @@ def _bm25_sql(corpus: str, fields: dict[str, dict[str, float]], text: str, limit
     return f"""WITH {corpus}, k AS (SELECT *, {toks} FROM corpus), c AS (SELECT *, {tf} FROM k),
 s AS (SELECT count(*) AS docs, {stats} FROM c), b AS (SELECT c.*, {score} AS bm25 FROM c, s),
 r AS (SELECT type, id, title, bm25, {boost} AS boost FROM b)
-SELECT type, id, title, round(bm25, 6) AS bm25, round(boost, 6) AS boost, round(bm25 + boost, 6) AS score FROM r WHERE round(bm25 + boost, 6) > 0
+SELECT type, id, title, round(bm25, 6) AS bm25, round(boost::DOUBLE, 6) AS boost, round(bm25 + boost, 6) AS score FROM r WHERE round(bm25 + boost, 6) > 0
 ORDER BY score DESC, list_position(['doc', 'decision', 'task', 'memory'], type), title, id LIMIT {limit}"""
 
 
@@ -109,7 +109,7 @@ def heuristic_task_scores(spark, folder):
   CASE WHEN {WORD_TITLE.format('the')} THEN CASE WHEN lower(title) = 'the' THEN 100.0 ELSE 60.0 END WHEN contains(lower(title), 'the') THEN 30.0 ELSE 0.0 END
   + CASE WHEN contains(lower(path), 'the') THEN 25.0 ELSE 0.0 END
   + CASE WHEN regexp_matches(lower(content), '(^|[^0-9a-z_])the([^0-9a-z_]|$)') THEN 20.0 WHEN contains(lower(content), 'the') THEN 10.0 ELSE 0.0 END
-  + 10.0 * len(list_filter(tags, lambda x: contains(lower(x), 'the'))), 6) AS score FROM docs)
+  + 10.0 * len(list_filter(tags, lambda x: contains(lower(x), 'the'))), 6)::DOUBLE AS score FROM docs)
   SELECT path, score FROM s WHERE score > 0""")
 def heuristic_doc_scores(spark, folder):
     d = A.docs(spark, folder).withColumn("score", F.round(K.heuristic_doc_score("the"), 6))
@@ -199,8 +199,8 @@ def rerank_tasks(spark, folder):
 
 
 MIX = f"""WITH {TASKS}, mix AS (SELECT row_number() OVER (ORDER BY score DESC, type, id) AS place, * FROM (
-   SELECT 'task' AS type, id, title, (key % 13) * 1.0 AS score, CASE WHEN archived THEN 'archived' WHEN status = 'done' THEN 'done' ELSE 'active' END AS lifecycle FROM tasks WHERE key < 200
-   UNION ALL SELECT 'doc', 'doc-' || doc_id, '', (doc_id % 11) * 1.0, '' FROM documents WHERE doc_id < 100))"""
+   SELECT 'task' AS type, id, title, ((key % 13) * 1.0)::DOUBLE AS score, CASE WHEN archived THEN 'archived' WHEN status = 'done' THEN 'done' ELSE 'active' END AS lifecycle FROM tasks WHERE key < 200
+   UNION ALL SELECT 'doc', 'doc-' || doc_id, '', ((doc_id % 11) * 1.0)::DOUBLE, '' FROM documents WHERE doc_id < 100))"""
 
 
 @query(MIX + """, t AS (SELECT *, row_number() OVER (ORDER BY CASE lifecycle WHEN 'active' THEN 0 WHEN 'done' THEN 1 ELSE 2 END, score DESC, title, id) AS nth FROM mix WHERE type = 'task'),
@@ -213,5 +213,5 @@ def historical_regroup(spark, folder):
     tasks = A.tasks(spark, folder).filter("key < 200").select(F.lit("task").alias("type"), "id", "title", ((F.col("key") % 13) * 1.0).alias("score"), life.alias("lifecycle"))
     docs = A.table(spark, folder, "documents").filter("doc_id < 100").select(F.lit("doc").alias("type"), F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("id"), F.lit("").alias("title"), ((F.col("doc_id") % 11) * 1.0).alias("score"), F.lit("").alias("lifecycle"))
     mix = tasks.unionByName(docs)
-    mix = mix.withColumn("place", F.row_number().over(Window.orderBy(F.desc("score"), "type", "id"))).select("place", *mix.columns)
+    mix = mix.withColumn("place", F.row_number().over(Window.orderBy(F.desc("score"), "type", "id")).cast("long")).select("place", *mix.columns)
     return H.regroup_tasks(mix)

@@ -46,7 +46,7 @@ def live_results(spark, folder):
     return S.live(r, A.tasks(spark, folder)).select("type", "source", "score", "title", "status")
 
 
-@query(f"WITH {DOCS}, s AS (SELECT path, round(CASE WHEN contains(lower(content), 'token') THEN 0.1 ELSE 0 END + CASE WHEN contains(lower(content), 'the') THEN 0.1 ELSE 0 END, 6) AS score FROM docs) SELECT path, score FROM s WHERE score > 0")
+@query(f"WITH {DOCS}, s AS (SELECT path, round(CASE WHEN contains(lower(content), 'token') THEN 0.1 ELSE 0 END + CASE WHEN contains(lower(content), 'the') THEN 0.1 ELSE 0 END, 6)::DOUBLE AS score FROM docs) SELECT path, score FROM s WHERE score > 0")
 def code_scan(spark, folder):
     return S.code_scan(A.docs(spark, folder), "token the").select("path", "score")
 
