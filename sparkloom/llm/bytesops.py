@@ -7,6 +7,7 @@ a few MB, so memory follows the longest document and not the batch.
 from __future__ import annotations
 
 import ctypes
+import functools
 
 import numpy as np
 import pyarrow as pa
@@ -46,10 +47,23 @@ def give_back() -> None:
     a worker's memory then follows the block it works on, not the largest so far."""
     if not _libc:
         _libc.append(ctypes.CDLL(None))
+    pa.default_memory_pool().release_unused()
     if hasattr(_libc[0], "malloc_trim"):
         _libc[0].malloc_trim(0)
 
 
+def tidied(mapper):
+    """A mapper of Arrow batches that gives memory back when its task is over: its
+    worker stays, and waits for another."""
+
+    @functools.wraps(mapper)
+    def run(*args):
+        yield from mapper(*args)
+        give_back()
+
+    return run
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> U(31))
     x = x * U(0xBF58476D1CE4E5B9)

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .bytesops import tidied
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The white space of every contract: space and 0x09 to 0x0D.
 SPACES = " \t\n\x0b\x0c\r"
@@ -67,6 +69,7 @@ def with_row_key(df: DataFrame, *cols: str) -> DataFrame:
 KEY = ["_k1", "_k2"]
 
 
+@tidied
 def _numbered(rows, column):
     import pyarrow as pa
 

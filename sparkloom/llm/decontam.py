@@ -40,6 +40,7 @@ def words_of(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return B.span_hash(B.prefix(buf), starts, ends), np.searchsorted(starts, off)
 
 
+@B.tidied
 def _segments(batches, vocabulary, gap):
     import pyarrow as pa
 
@@ -106,6 +107,7 @@ def _phrases(postings, lists, windows, lens, slop):
     return live[win[keep]], start[keep], near
 
 
+@B.tidied
 def _search(batches, queries, slop):
     import pyarrow as pa
 

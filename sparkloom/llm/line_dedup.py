@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common as C
+from .bytesops import tidied
 
 HASH = ["_h1", "_h2"]
 
@@ -80,6 +81,7 @@ class LineRuns:
             level += 1
 
 
+@tidied
 def _keep(batches, at):
     import pyarrow as pa
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
-from .bytesops import pieces as byte_pieces
+from .bytesops import pieces as byte_pieces, tidied
 from .encoding import ByteEncoder, held
 
 BIG = 1 << 40
@@ -42,6 +42,7 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, first), *[(at, capacity) for at in range(first, n, capacity)]]
 
 
+@tidied
 def _pieces(batches, files, end, capacity):
     import pyarrow as pa
 
@@ -135,6 +136,7 @@ def _best_pair(fits: np.ndarray, left: np.ndarray, own: int, room: int) -> int:
     return best
 
 
+@tidied
 def _place(batches, plan):
     import pyarrow as pa
 

@@ -53,9 +53,9 @@ def features(buf: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
     word = B.span_hash(pre, starts, ends)
     out["n_distinct"] = np.zeros(docs, np.int64)
     if len(word):
-        key = np.sort(word ^ salt[own])
         # how many different words a document has: by (document, word) pairs
-        pair = np.argsort(word ^ salt[own], kind="stable")
+        pair = np.argsort(word ^ salt[own])
+        key = (word ^ salt[own])[pair]
         fresh = np.append(True, key[1:] != key[:-1])
         out["n_distinct"] = np.bincount(own[pair[fresh]], minlength=docs)
 
@@ -82,7 +82,7 @@ def features(buf: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
     a, b = a[some], b[some]
     host = B.owner(a, off)
     key = B.span_hash(pre, a, b) ^ salt[host]
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     later = np.zeros(len(key), bool)
     if len(key):
         later[order[1:]] = key[order[1:]] == key[order[:-1]]
@@ -100,6 +100,7 @@ def _repeated(key: np.ndarray) -> np.ndarray:
     return out
 
 
+@B.tidied
 def _measure(batches):
     import pyarrow as pa
 
@@ -182,7 +183,7 @@ def judge(docs: DataFrame, keep: float = 0.5, min_words: int = 50, max_repeat_pe
     C.text_batches(docs.sparkSession)
     results = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     docs = C.without(docs, *results, "base_failed", "quality", "kept")
-    votes = rules()
+    spark, votes = docs.sparkSession, rules()
     rows = measured(docs)
     small = measured(docs.select("text")).drop("text").select(*[v.cast("int").alias(k) for k, v in votes.items()])
     seen = small.groupBy(*votes).count().toPandas()
@@ -190,14 +191,12 @@ def judge(docs: DataFrame, keep: float = 0.5, min_words: int = 50, max_repeat_pe
     order = np.lexsort(patterns.T)
     patterns, counts = patterns[order], counts[order]
     shares, table = fit(patterns, counts)
-    # each class's log likelihood is a sum over rules, so the posterior is an expression
-    logs = []
-    for share, row in zip(shares.tolist(), table.tolist()):
-        terms = [F.when(v == -1, float(np.log(p))).when(v == 1, float(np.log(1 - p))).otherwise(0.0) for v, p in zip(votes.values(), row)]
-        logs.append(sum(terms, F.lit(float(np.log(share)))))
+    # the posterior of each pattern seen: at most 3 ** rules rows, so it is broadcast
+    good = np.round(posterior(patterns, shares, table)[-1], 9)
+    digits = [3**i for i in range(len(votes))]
+    known = spark.createDataFrame([(int(c), float(q)) for c, q in zip((patterns + 1) @ np.array(digits), good)], "_code int, quality double")
+    code = sum(((v.cast("int") + 1) * d for v, d in zip(votes.values(), digits)), F.lit(0))
+    rows = rows.withColumn("_code", code).join(F.broadcast(known), "_code")
     failed = (F.col("_n_words") < min_words) | (100 * F.col("_n_repeat_words") > max_repeat_percent * F.col("_n_words"))
-    rows = rows.withColumn("_logs", F.array(*logs)).withColumn("_top", F.array_max("_logs"))
-    total = F.aggregate(F.transform("_logs", lambda x: F.exp(x - F.col("_top"))), F.lit(0.0), lambda a, x: a + x)
-    rows = rows.withColumn("quality", F.round(F.exp(F.element_at("_logs", -1) - F.col("_top")) / total, 9))
     own = [F.col("_" + f).alias(f) for f in results]
     return rows.select(*docs.columns, *own, failed.alias("base_failed"), "quality", (~failed & (F.col("quality") >= keep)).alias("kept"))

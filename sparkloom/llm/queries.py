@@ -30,7 +30,8 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_counts import count_tokens
 
-    out = count_tokens(_documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"), C.scratch(spark, "token-counts"))
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    out = count_tokens(docs, tokenizer_path("word_bpe_49k.json"), C.scratch(spark, "token-counts"), texts=False)
     return out.select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 

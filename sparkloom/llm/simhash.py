@@ -154,6 +154,7 @@ def _fingerprint_piece(buf: np.ndarray, off: np.ndarray, shingle: int, seed: int
     return out
 
 
+@B.tidied
 def _fingerprints(batches, shingle, seed):
     import pyarrow as pa
 
@@ -171,6 +172,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame
     return docs.select("doc_id", "text").mapInArrow(lambda it: _fingerprints(it, shingle, seed), f"doc_id {kind}, fp long")
 
 
+@B.tidied
 def _keys(batches):
     import pyarrow as pa
 
@@ -205,6 +207,7 @@ def _spanning(stored: np.ndarray, asking: np.ndarray, bits: int) -> list[tuple[i
     return list(zip(nodes[out].tolist(), nodes[label[out]].tolist()))
 
 
+@B.tidied
 def _links(batches, bits, crowd):
     """Of rows sorted by key, the stored before the asking: (u, v, False) for links and
     (u, null, True) for fingerprints of a crowded key."""
@@ -268,6 +271,7 @@ def _masks(least: int, most: int) -> np.ndarray:
     return np.array([sum(1 << b for b in c) for c in sets], dtype=U)
 
 
+@B.tidied
 def _midpoints(batches):
     import pyarrow as pa
 

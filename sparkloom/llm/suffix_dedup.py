@@ -88,6 +88,7 @@ def _slices(batch, length):
             yield row, n, buf[a:b], off if n > 1 else np.array([0, b - a]), a
 
 
+@B.tidied
 def _anchor_rows(batches, length):
     import pyarrow as pa
 
@@ -225,6 +226,7 @@ def _span_table(rows):
     return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], kind)], ["s1", "s2", "spans"])
 
 
+@B.tidied
 def _suffix_groups(batches, length, keep, most=512 << 10):
     """Rows sorted by gram and place: whole grams are taken together until they hold
     ``most`` bytes."""
@@ -253,6 +255,7 @@ def _suffix_groups(batches, length, keep, most=512 << 10):
         yield settle(rows)
 
 
+@B.tidied
 def _cut(batches, length):
     """Text and its wanted segments to rows with the segment's bytes."""
     import pyarrow as pa
@@ -271,6 +274,7 @@ def _cut(batches, length):
         yield pa.RecordBatch.from_arrays([*[pa.array(c, k) for c, k in zip(cols, kinds)], pa.array(data, pa.binary())], [*names, "bytes"])
 
 
+@B.tidied
 def _block_rows(batches, length, size):
     """Of each (segment, range of window places before the anchor) the blocks of
     ``size`` places: digest of what all windows of a block share, and of the whole."""
@@ -321,6 +325,7 @@ def _crowded(segments: DataFrame, length: int, keep: str) -> list[DataFrame]:
         size = -(-size // 7)
 
 
+@B.tidied
 def _apply(batches, at):
     import pyarrow as pa
 
@@ -375,6 +380,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, keep: str = "none", crowd
 
     whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), (F.col("hi") - F.col("lo") + length).alias("end")))
     per = segments.join(found, SEG, "left").select(*SEG, "n", "first", "spans").filter("n > 1 OR spans IS NOT NULL")
+    per = C.stored(per, "segment-spans")
     hits = rows.join(per, SEG)
     mine = place == F.col("first")
     whole_hit = (F.col("n") > 1) if keep == "none" else ~mine

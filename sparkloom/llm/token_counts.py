@@ -5,9 +5,9 @@ tokenizer version, a digest of the vocabulary file and the library version.
 Documents are joined to it by digest; only distinct contents that it lacks are
 encoded, whole, by the ``tokenizers`` library, and appended.
 
-The normal form puts one space for each run of ASCII white space, which no
-vocabulary that drops white space can tell apart; ``spaces=False`` leaves texts as
-they are, for any other vocabulary.
+The normal form puts one space for each run of ASCII white space and none at the ends,
+which no vocabulary that drops white space can tell apart; ``spaces=False`` leaves texts
+as they are, for any other vocabulary.
 
 Cases: a null text is an empty one (0 tokens); repeated rows and copies are encoded
 once and each get their count; empty tables give empty results; columns with the
@@ -20,9 +20,10 @@ import hashlib
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common as C
-from .bytesops import pieces
+from .bytesops import pieces, tidied
 from .encoding import LibraryEncoder, held
 
 
@@ -33,6 +34,7 @@ def tokenizer_version(path: str) -> str:
         return hashlib.sha256(f.read() + tokenizers.__version__.encode()).hexdigest()[:32]
 
 
+@tidied
 def _count(batches, path):
     import pyarrow as pa
 
@@ -43,6 +45,24 @@ def _count(batches, path):
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, n), pa.array([len(x) for x in encoder.encode(texts)], pa.int64())], ["_digest", "n_tokens"])
 
 
+@tidied
+def _digested(batches, at, spaces, keep):
+    """Each text's digest and, by ``keep``, its normal form alone or all columns and the
+    bytes of the text."""
+    import pyarrow as pa
+
+    for batch in batches:
+        raw = [(t or "").encode() for t in batch.column(at).to_pylist()]
+        norm = [b" ".join(r.split()) for r in raw] if spaces else raw
+        digest = pa.array([hashlib.sha256(n).digest() for n in norm], pa.binary())
+        if keep == "norm":
+            yield pa.RecordBatch.from_arrays([digest, pa.array(norm, pa.binary()).cast(pa.string())], ["_digest", "_norm"])
+        else:
+            own = batch.columns if keep == "all" else batch.columns[:at] + batch.columns[at + 1 :]
+            names = batch.schema.names if keep == "all" else batch.schema.names[:at] + batch.schema.names[at + 1 :]
+            yield pa.RecordBatch.from_arrays([*own, pa.array([len(r) for r in raw], pa.int64()), digest], [*names, "n_bytes", "_digest"])
+
+
 def cached_counts(spark, cache: str, version: str) -> DataFrame:
     """What the cache holds for one tokenizer version; one row for each digest even
     where two writers have appended the same one."""
@@ -54,16 +74,21 @@ def cached_counts(spark, cache: str, version: str) -> DataFrame:
     return spark.read.schema(schema).parquet(where).groupBy("_digest").agg(F.max("n_tokens").alias("n_tokens"))
 
 
-def count_tokens(docs: DataFrame, tokenizer: str, cache: str, limit: int = 2048, spaces: bool = True) -> DataFrame:
-    """``docs`` with ``n_bytes``, ``n_tokens`` and ``over_limit``; fills ``cache``."""
+def count_tokens(docs: DataFrame, tokenizer: str, cache: str, limit: int = 2048, spaces: bool = True, texts: bool = True) -> DataFrame:
+    """``docs`` (without the text unless ``texts``) with ``n_bytes``, ``n_tokens`` and
+    ``over_limit``; fills ``cache``."""
     spark, version = docs.sparkSession, tokenizer_version(tokenizer)
+    C.text_batches(spark)
     docs = C.without(docs, "n_bytes", "n_tokens", "over_limit")
-    norm = F.coalesce(F.col("text"), F.lit(""))
-    norm = F.regexp_replace(norm, r"[\x20\x09-\x0D]+", " ") if spaces else norm
-    contents = docs.select(norm.alias("_norm")).select(F.unhex(F.sha2("_norm", 256)).alias("_digest"), "_norm")
+    contents = docs.select("text").mapInArrow(lambda it: _digested(it, 0, spaces, "norm"), "_digest binary, _norm string")
     known = cached_counts(spark, cache, version)
     misses = contents.join(known, "_digest", "left_anti").dropDuplicates(["_digest"])
     misses.mapInArrow(lambda it: _count(it, tokenizer), "_digest binary, n_tokens long").write.mode("append").parquet(f"{cache}/{version}")
-    sized = docs.withColumns({"n_bytes": F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"), "_digest": F.unhex(F.sha2(norm, 256))})
-    out = sized.join(cached_counts(spark, cache, version), "_digest").drop("_digest")
+    at, fields = docs.columns.index("text"), [f for f in docs.schema.fields if texts or f.name != "text"]
+    schema = T.StructType([*fields, T.StructField("n_bytes", T.LongType()), T.StructField("_digest", T.BinaryType())])
+    sized = docs.mapInArrow(lambda it: _digested(it, at, spaces, "all" if texts else "rest"), schema)
+    # written first, so that both sides of the join are plain exchanges and the partition
+    # of a content with very many copies can be split
+    counts = C.stored(cached_counts(spark, cache, version), "token-counts")
+    out = sized.join(counts, "_digest").drop("_digest")
     return out.withColumn("over_limit", F.col("n_tokens") > limit)

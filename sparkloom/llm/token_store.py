@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common as C
-from .bytesops import pieces
+from .bytesops import pieces, tidied
 from .encoding import ByteEncoder, held
 
 MAGIC, BLOCK = b"IDPL", 1 << 16
@@ -65,6 +65,7 @@ def unpack_block(block: bytes) -> np.ndarray:
     return np.ascontiguousarray(grid.T).view("<u4").reshape(-1)
 
 
+@tidied
 def _blocks(batches, files, end, planes, size):
     import pyarrow as pa
 
@@ -106,6 +107,7 @@ def write_store(docs: DataFrame, path: str, files: tuple[str, str], end: int = 2
     rows.mapInArrow(lambda it: _blocks(it, files, end, planes, block), STORE).write.parquet(path)
 
 
+@tidied
 def _read(batches):
     import pyarrow as pa
 
