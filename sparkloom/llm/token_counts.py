@@ -48,13 +48,20 @@ def _count(batches, path):
 @tidied
 def _digested(batches, at, spaces, keep):
     """Each text's digest and, by ``keep``, its normal form alone or all columns and the
-    bytes of the text."""
+    bytes of the text.  Normal forms go out once for each task, so that a content with
+    very many copies is shuffled once for each; a task keeps 32 bytes for each content."""
     import pyarrow as pa
 
+    seen = set()
     for batch in batches:
         raw = [(t or "").encode() for t in batch.column(at).to_pylist()]
         norm = [b" ".join(r.split()) for r in raw] if spaces else raw
-        digest = pa.array([hashlib.sha256(n).digest() for n in norm], pa.binary())
+        digests = [hashlib.sha256(n).digest() for n in norm]
+        if keep == "norm":
+            fresh = {d: n for d, n in zip(digests, norm) if d not in seen}
+            seen.update(fresh)
+            digests, norm = list(fresh), list(fresh.values())
+        digest = pa.array(digests, pa.binary())
         if keep == "norm":
             yield pa.RecordBatch.from_arrays([digest, pa.array(norm, pa.binary()).cast(pa.string())], ["_digest", "_norm"])
         else:
