@@ -27,6 +27,8 @@ empty table gives an empty result; extra columns do not matter.
 
 from __future__ import annotations
 
+import copy
+
 import numpy as np
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -283,7 +285,8 @@ def score(model: Model, ids: np.ndarray, lens: np.ndarray, span: int = 64, most:
 def _train_task(batches, shared, which, parts):
     import pyarrow as pa
 
-    model, tokens = shared.value, 0
+    # a broadcast value stays in a reused worker: training it in place would reach later tasks
+    model, tokens = copy.deepcopy(shared.value), 0
     for batch in batches:
         for r in batch.to_pylist():
             lens = np.array(r["lens"])

@@ -209,3 +209,23 @@ def test_training_learns_a_sequence():
     for _ in range(60):
         G.train(model, docs)
     assert G.score(model, docs[0], np.array([120])).mean() > -0.2
+
+
+def training_batch(model, docs):
+    """One block of ``docs`` (word numbers), none held out, as the training tasks read it."""
+    import pyarrow as pa
+
+    words = model.words
+    local = np.searchsorted(words, words[np.concatenate(docs)]).astype(np.uint32)
+    cells = [G._squeeze(x) for x in (local, words, np.zeros(len(words), np.uint8))]
+    return pa.RecordBatch.from_pylist([{"block": 1, "held": [False] * len(docs), "lens": [len(d) for d in docs], "tokens": cells[0], "words": cells[1], "tails": cells[2]}])
+
+
+def test_tasks_of_one_worker_start_from_the_same_weights():
+    """A reused worker hands the same broadcast value to each of its tasks."""
+    model = small_model()
+    shared, start = type("Shared", (), {"value": model}), model.flat()
+    tasks = [training_batch(model, [np.arange(10)] * n) for n in (5, 9)]
+    one_worker = [next(G._train_task(iter([t]), shared, 0, 1)).column(1)[0].as_py() for t in tasks]
+    two_workers = [next(G._train_task(iter([t]), type("Shared", (), {"value": small_model()}), 0, 1)).column(1)[0].as_py() for t in tasks]
+    assert one_worker == two_workers and (model.flat() == start).all()
