@@ -7,8 +7,8 @@ all blocks, so no hot word gathers more than a row for each block, and the total
 back to the blocks.
 
 Model.  The output softmax is factored: first a class, then the word within it.  The
-most frequent words form classes of equal size, each with a softmax of its own; all
-other words belong to tail classes (by their last byte) and share their class's
+most frequent words (more of them the larger the vocabulary, see ``head_size``) form
+classes of equal size, each with a softmax of its own; all other words belong to tail classes (by their last byte) and share their class's
 probability by add-one counts, with one place left for words never seen.  Its biases
 start at the logarithms of the corpus counts, so the start is the unigram model.  Cells
 are gated recurrent units.
@@ -16,8 +16,10 @@ are gated recurrent units.
 Training is data-parallel: in each round every task runs truncated backpropagation
 through windows of its documents (state carried from window to window) from the
 common weights, and the tasks' weights are averaged by their tokens.  Every round takes
-its own share of the training documents (1 in ``1 / share``), by hash, from all blocks
-alike.  Scoring carries the state through each whole document.
+its own share of the training documents (1 in ``rounds``), by hash, from all blocks
+alike, so that over all rounds each document trains once.  A long document trains as
+stretches side by side; each starts from the state that the text before it leaves under
+the weights of the moment.  Scoring carries the state through each whole document.
 
 Cases: a null text is an empty one (its end token only); a null doc_id counts as the
 empty string and trains; repeated rows train and are scored as often as they come;
@@ -28,6 +30,7 @@ empty table gives an empty result; extra columns do not matter.
 from __future__ import annotations
 
 import copy
+import math
 
 import numpy as np
 from pyspark import TaskContext
@@ -206,18 +209,38 @@ def _grid(ids: np.ndarray, first: np.ndarray, live: np.ndarray, a: int, b: int,
     return ids[np.where(real, first[live][None, :] + t, 0)], real
 
 
+def _entry_states(model: Model, docs: list[np.ndarray], stretch: int) -> list[np.ndarray]:
+    """[stretch][document]: the state before each stretch under the present weights;
+    ``docs`` are by falling length, and those that a stretch does not reach are not in it."""
+    long = [d for d in docs if len(d) > stretch]
+    out = [np.zeros((len(docs), model.hidden), np.float32)]
+    if not long:
+        return out
+    lens = np.array([len(d) for d in long])
+    ids, first = np.concatenate(long), np.cumsum(lens) - lens
+    h = out[0]
+    for t in range((lens[0] - 1) // stretch * stretch + 1):
+        m = int(np.searchsorted(-lens, -t, "left"))
+        h = h[:m]
+        if t and t % stretch == 0:
+            out.append(h)
+        h = model.step(model.p["table"][ids[first[:m] + t]], h)[0]
+    return out
+
+
 def train(model: Model, docs: list[np.ndarray], span: int = 32, lanes: int = 128, rate: float = 0.01, stretch: int = 512) -> int:
     """Truncated backpropagation over documents side by side, in stretches of equal
-    length so that a long one does not run alone; Adam."""
-    docs = sorted([d[a : a + stretch] for d in docs for a in range(0, len(d), stretch)], key=len, reverse=True)
+    length so that a long one does not run alone, each from its text's state; Adam."""
+    docs = sorted(docs, key=len, reverse=True)
+    entry = _entry_states(model, docs, stretch)
+    docs = sorted([(d[a : a + stretch], entry[a // stretch][i]) for i, d in enumerate(docs) for a in range(0, len(d), stretch)], key=lambda x: len(x[0]), reverse=True)
     mean, square, steps, seen = ({k: np.zeros_like(v) for k, v in model.p.items()} for _ in range(2)), None, 0, 0
     mean, square = tuple(mean)
-    k = model.hidden
     for g in range(0, len(docs), lanes):
-        group = docs[g : g + lanes]
+        group, states = zip(*docs[g : g + lanes])
         lens = np.array([len(d) for d in group])
         ids, first = np.concatenate(group), np.cumsum(lens) - lens
-        h = np.zeros((len(group), k), np.float32)
+        h = np.stack(states)
         for a in range(0, lens[0], span):
             live = np.arange(int(np.searchsorted(-lens, -a, "left")))
             grid, real = _grid(ids, first, live, a, min(a + span, lens[0]), lens)
@@ -370,7 +393,13 @@ def _score_task(batches, shared):
             yield out
 
 
-def score_documents(docs: DataFrame, modulus: int = 7, held: int = 2, hidden: int = 16, width: int = 32, head: int = 1024, rounds: int = 3, share: float = 1 / 12, block_tokens: int = 1_200_000) -> DataFrame:
+def head_size(vocabulary: int) -> int:
+    """Words with an output of their own: all of a small vocabulary, then as its square
+    root, so that the weights stay small enough to send."""
+    return max(1024, 2 * math.isqrt(vocabulary))
+
+
+def score_documents(docs: DataFrame, modulus: int = 7, held: int = 2, hidden: int = 16, width: int | None = None, head: int | None = None, rounds: int = 3, block_tokens: int = 1_200_000) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
     C.text_batches(spark)
@@ -383,6 +412,8 @@ def score_documents(docs: DataFrame, modulus: int = 7, held: int = 2, hidden: in
     known = C.stored(known, "lm-counts")
     seen = known.filter("one AND c > 0")
     n_all, v_all = (int(x or 0) for x in seen.agg(F.sum("c"), F.count(F.lit(1))).first())
+    head = head or head_size(v_all)
+    width = width or math.isqrt(head)
     top = [(r.word, r.c) for r in seen.orderBy(F.desc("c"), "word").limit(head).select("word", "c").collect()]
     tail_tokens, tail_words = np.zeros(TAILS), np.zeros(TAILS)
     names = spark.createDataFrame([(w,) for w, _ in top], "word long")
@@ -390,10 +421,10 @@ def score_documents(docs: DataFrame, modulus: int = 7, held: int = 2, hidden: in
         tail_tokens[k], tail_words[k] = n, v
 
     model = Model(top, tail_tokens, hidden, width)
-    parts, tasks = round(1 / share), blocks.rdd.getNumPartitions()
+    tasks = blocks.rdd.getNumPartitions()
     for which in range(rounds if top else 0):
         shared = spark.sparkContext.broadcast(model)
-        local = blocks.select("block", "held", "lens", "tokens", "words", "tails").mapInArrow(lambda it, s=shared, w=which: _train_task(it, s, w, parts), "tokens long, weights binary")
+        local = blocks.select("block", "held", "lens", "tokens", "words", "tails").mapInArrow(lambda it, s=shared, w=which: _train_task(it, s, w, rounds), "tokens long, weights binary")
         mean = _averaged(local, tasks)
         if mean is not None:
             model.load(mean)

@@ -229,3 +229,28 @@ def test_tasks_of_one_worker_start_from_the_same_weights():
     one_worker = [next(G._train_task(iter([t]), shared, 0, 1)).column(1)[0].as_py() for t in tasks]
     two_workers = [next(G._train_task(iter([t]), type("Shared", (), {"value": small_model()}), 0, 1)).column(1)[0].as_py() for t in tasks]
     assert one_worker == two_workers and (model.flat() == start).all()
+
+
+def test_every_training_document_moves_the_weights(spark, monkeypatch):
+    trained = []
+    monkeypatch.setattr(G, "_averaged", lambda local, tasks: trained.append(local.agg({"tokens": "sum"}).first()[0] or 0))
+    got = G.score_documents(H.documents(spark), block_tokens=20_000).collect()
+    assert sum(trained) == sum(r.n_tokens for r in got if not r.held_out)
+
+
+def test_stretches_go_on_from_the_text_before_them():
+    """With stretches of one token only the carried state tells what comes next."""
+    model, docs = small_model(), [np.array([0, 1, 2, 3] * 30) for _ in range(20)]
+    for _ in range(60):
+        G.train(model, docs, stretch=1)
+    assert G.score(model, docs[0], np.array([120])).mean() > -0.7
+    long = np.arange(1000) % 10
+    h = np.zeros((1, model.hidden), np.float32)
+    for i in long[:900]:
+        h = model.step(model.p["table"][[i]], h)[0]
+    states = G._entry_states(model, [long, long[:500], long[:30]], 300)
+    assert [len(s) for s in states] == [3, 2, 1, 1] and np.allclose(states[3], h, atol=1e-5)
+
+
+def test_head_grows_with_the_vocabulary():
+    assert G.head_size(50) == 1024 < G.head_size(10**6) < G.head_size(10**8) < 10**5
