@@ -144,7 +144,7 @@ def rules() -> dict:
     }
 
 
-def fit(patterns: np.ndarray, counts: np.ndarray, rounds: int = 300, prior: float = 0.85, false_alarm: float = 0.004, power: float = 0.5) -> tuple[np.ndarray, np.ndarray]:
+def fit(patterns: np.ndarray, counts: np.ndarray, rounds: int = 300, prior: float = 0.85, false_alarm: float = 0.004, power: float = 0.5, steady: float = 1e-6) -> tuple[np.ndarray, np.ndarray]:
     """Shares of the classes and P(vote against | class, not abstaining) as
     [class][rule], by expectation-maximisation; abstaining says nothing.
 
@@ -152,18 +152,22 @@ def fit(patterns: np.ndarray, counts: np.ndarray, rounds: int = 300, prior: floa
     class for each fault (class k: rule k's) and good is the last class.  A vote against
     is held to be wrong on at most ``false_alarm`` of good documents, and right on at
     least ``power`` of those with its fault; how often a fault comes with others, and
-    how common each is, is learnt.  A pseudo-count of the start steadies rare classes."""
+    how common each is, is learnt.  Counts become shares of their sum, so the corpus's
+    size has no say; the start, as a share of ``steady``, steadies rare classes."""
     m = patterns.shape[1]
     against, voted = (patterns == -1).astype(float), (patterns != 0).astype(float)
     start = np.full((m + 1, m), 0.1)
     start[np.arange(m), np.arange(m)], start[m] = 0.8, false_alarm
     first = np.append(np.full(m, (1 - prior) / m), prior)
     shares, table = first, start
+    if not len(counts):
+        return shares, table
+    counts = counts / counts.sum()
     for _ in range(rounds):
         weight = posterior(patterns, shares, table) * counts
         old = shares
-        shares = (weight.sum(axis=1) + first) / (counts.sum() + 1)
-        table = np.clip((weight @ against + start) / (weight @ voted + 1), 1e-4, 0.95)
+        shares = (weight.sum(axis=1) + steady * first) / (1 + steady)
+        table = np.clip((weight @ against + steady * start) / (weight @ voted + steady), 1e-4, 0.95)
         table[np.arange(m), np.arange(m)] = np.maximum(table[np.arange(m), np.arange(m)], power)
         table[m] = np.minimum(table[m], false_alarm)
         if np.abs(shares - old).max() < 1e-9:

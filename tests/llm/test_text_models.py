@@ -254,3 +254,23 @@ def test_stretches_go_on_from_the_text_before_them():
 
 def test_head_grows_with_the_vocabulary():
     assert G.head_size(50) == 1024 < G.head_size(10**6) < G.head_size(10**8) < 10**5
+
+
+def rare_fault():
+    """Votes of clean documents, of 0.1% with one clear fault that only one rule sees,
+    and of common faulty ones; and how common each is."""
+    patterns = np.ones((5, 9), int)
+    patterns[1, 1] = patterns[2, 5] = patterns[3, 7] = patterns[4, 5] = patterns[4, 7] = -1
+    return patterns, np.array([0.939, 0.001, 0.03, 0.02, 0.01])
+
+
+def test_quality_does_not_depend_on_the_size_of_the_corpus():
+    patterns, shares = rare_fault()
+    small, large = (Q.posterior(patterns, *Q.fit(patterns, shares * n))[-1] for n in (10_000, 1_000_000))
+    assert np.allclose(small, large, atol=1e-9)
+
+
+def test_quality_rejects_a_rare_fault_that_comes_alone():
+    patterns, shares = rare_fault()
+    p = Q.posterior(patterns, *Q.fit(patterns, shares * 10_000))[-1]
+    assert p[0] > 0.9 and (p[1:] < 0.5).all()
