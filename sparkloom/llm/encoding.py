@@ -3,8 +3,9 @@
 ``LibraryEncoder`` is the ``tokenizers`` library as it is.  ``ByteEncoder`` gives the
 same ids for a byte-level vocabulary that exists both as a ``.json`` file and as
 ranks: texts made of long-settled characters go through the rank form, about five
-times as fast; any text with a special string, a rare control character or a
-character outside those blocks goes through the ``tokenizers`` library.
+times as fast; any text with a special string, a rare control character, a character
+outside those blocks or a very long run of white space goes through the ``tokenizers``
+library.
 """
 
 from __future__ import annotations
@@ -19,6 +20,9 @@ import numpy as np
 _held: dict[tuple, object] = {}
 #: Characters whose letter, number and space classes all Unicode versions agree on.
 _OTHER = re.compile("[^\x00-\x1b\x20-\x84\x86-ɏΑ-ΡΣ-Ωα-ωА-я‐-‧‰-⁞一-龥가-힣]")
+#: The rank form's pattern overflows its stack at white space of about a million characters.
+_LONG = 100_000
+_BLANKS = re.compile(rf"(?<!\s)\s{{{_LONG},}}")
 
 
 def tokenizer_path(name: str) -> str:
@@ -60,6 +64,8 @@ class ByteEncoder:
         self.path = path
 
     def plain(self, text: str) -> bool:
+        if len(text) >= _LONG and _BLANKS.search(text):
+            return False
         return not _OTHER.search(text) and not any(s in text for s in self.special)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:

@@ -11,7 +11,7 @@ from sparkloom.llm import common as C
 from sparkloom.llm import packing as P
 from sparkloom.llm import sharding as L
 from sparkloom.llm import token_store as T
-from sparkloom.llm.encoding import LibraryEncoder, tokenizer_path
+from sparkloom.llm.encoding import ByteEncoder, LibraryEncoder, tokenizer_path
 
 from . import helpers as H
 
@@ -191,3 +191,10 @@ def test_packing(spark):
             at += r.length
         assert at <= 128
     assert P.pack(H.empty(spark), FILES).collect() == []
+
+
+def test_very_long_white_space_is_encoded():
+    """The rank form's library panics on it."""
+    texts = [" " * 2_000_000, "a" + "\n" * 2_000_000 + "b", ("x" + " " * 99_999) * 3]
+    got = ByteEncoder(*FILES).encode(texts)
+    assert all((a == b[:-1]).all() for a, b in zip(got, library_ids(texts, 0), strict=True))
