@@ -147,3 +147,24 @@ def smart_read(c, most: int = 2000) -> Column:
 def lines(c, first: int, last: int) -> Column:
     """Lines first..last, counted from 1."""
     return F.array_join(F.slice(F.split(X.col(c), "\n"), first, last - first + 1), "\n")
+
+
+def replace_section(df: DataFrame, text: str, wanted: str, body: str) -> DataFrame:
+    """``text`` with the first section that is named by number, by title or by a part of
+    it replaced by ``body`` (heading included); a section holds its deeper ones.  A blank
+    line at its end stays.  Adds ``replaced``: whether there was one."""
+    name = wanted.strip().lstrip("# ").strip()
+    trimmed = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
+    level = lambda x: F.length(F.regexp_extract(x, r"^(#+)(?= |\z)", 1))
+    d = df.withColumn("_l", F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1))
+    d = d.withColumn("_h", F.filter(F.transform("_l", lambda x, i: F.struct(i.alias("at"), level(x).alias("level"), trimmed(F.substr(x, level(x) + 1)).alias("title"))), lambda h: h["level"] > 0))
+    named = F.transform(F.filter("_h", lambda h: h["title"] != ""), lambda h, i: F.struct(h["at"].alias("at"), h["level"].alias("level"), h["title"].alias("title"), (i + 1).cast("string").alias("number")))
+    fits = lambda h: (h["number"] == name) | F.lower(h["title"]).contains(name.lower())
+    d = d.withColumn("_s", F.try_element_at(F.filter(named, fits), F.lit(1)))
+    after = F.filter("_h", lambda h: (h["at"] > F.col("_s.at")) & (h["level"] <= F.col("_s.level")))
+    d = d.withColumn("_e", F.coalesce(F.try_element_at(after, F.lit(1))["at"], F.size("_l")))
+    fresh = body.split("\n")
+    blank = (trimmed(F.element_at("_l", F.col("_e"))) == "") & (F.col("_e") > F.col("_s.at") + 1) & F.lit(fresh[-1].strip() != "")
+    middle = F.when(blank, F.array(*map(F.lit, [*fresh, ""]))).otherwise(F.array(*map(F.lit, fresh)))
+    whole = F.concat(F.slice("_l", F.lit(1), F.col("_s.at")), middle, F.slice("_l", F.col("_e") + 1, F.size("_l")))
+    return d.withColumns({"replaced": F.col("_s").isNotNull(), text: F.when(F.col("_s").isNotNull(), F.array_join(whole, "\n")).otherwise(F.col(text))}).drop("_l", "_h", "_s", "_e")

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import tables as T
 from ..functions import text as X
 
 K1, B = 1.2, 0.75
@@ -74,10 +75,17 @@ def preceding_comments(lines: DataFrame) -> DataFrame:
     return rows.filter("symbol IS NOT NULL AND NOT _c").join(notes, ["path", "_run"], "left").select("path", "number", "symbol", F.coalesce("comments", F.lit("")).alias("comments"))
 
 
-def flattened(symbols: DataFrame, depth: int = 4) -> DataFrame:
-    """A symbol table with ``parent`` ids to dotted containers, for a small fixed depth."""
-    s = symbols.select("id", "name", F.coalesce("parent", F.lit("")).alias("_up"), F.lit("").alias("container"))
-    up = symbols.select(F.col("id").alias("_id"), F.col("name").alias("_n"), F.coalesce("parent", F.lit("")).alias("_next"))
-    for _ in range(depth):
-        s = s.join(up, s["_up"] == up["_id"], "left").select("id", "name", F.coalesce("_next", F.lit("")).alias("_up"), F.when(F.col("_n").isNull(), F.col("container")).when(F.col("container") == "", F.col("_n")).otherwise(F.concat_ws(".", "_n", "container")).alias("container"))
+def flattened(symbols: DataFrame) -> DataFrame:
+    """A symbol table with ``parent`` ids to dotted containers, whatever the depth, by
+    pointer doubling: each round joins a symbol's names so far to those above them.  A
+    symbol whose parents go round in a circle gets those that the rounds had come to."""
+    up = symbols.select(F.col("id").alias("_up"), F.col("name").alias("container"))
+    s = symbols.select("id", "name", F.col("parent").alias("_up")).join(up, "_up", "left")
+    s = T.stored(s.select("id", "name", F.when(F.col("container").isNotNull(), F.col("_up")).alias("_up"), F.coalesce("container", F.lit("")).alias("container")), "containers")
+    open_ = None
+    while (now := s.filter("_up IS NOT NULL").count()) not in (0, open_):
+        above = s.select(F.col("id").alias("_up"), F.col("_up").alias("_next"), F.col("container").alias("_above"))
+        j = s.join(above, "_up", "left")
+        s = T.stored(j.select("id", "name", F.col("_next").alias("_up"), F.concat_ws(".", F.nullif("_above", F.lit("")), "container").alias("container")), "containers")
+        open_ = now
     return s.drop("_up")

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import tables as T
+
 #: Which origin of an edge counts when several say the same.
 ORIGIN_ORDER = ["field", "inline", "code"]
 
@@ -30,33 +32,39 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return e.unionByName(e.select(F.col("target").alias("source"), F.col("source").alias("target")))
 
 
-def walk(edges: DataFrame, roots: DataFrame, depth: int = 3, direction: str = "outbound", relations: list[str] | None = None) -> DataFrame:
+def walk(edges: DataFrame, roots: DataFrame, depth: int = 3, direction: str = "outbound", relations: list[str] | None = None, kinds: list[str] | None = None) -> DataFrame:
     """Breadth-first to a fixed small depth: edges met, with the depth at which their
-    near end is first reached.  One join for each level; visited nodes drop out."""
+    near end is first reached.  One join for each level; visited nodes drop out.
+    ``kinds`` keeps to far ends of these (what is before the slash of a node)."""
     e = edges.filter(F.col("relation").isin(relations)) if relations else edges
     out = e.select(F.col("source").alias("near"), F.col("target").alias("far"), "source", "target", "relation")
     back = e.select(F.col("target").alias("near"), F.col("source").alias("far"), "source", "target", "relation")
     steps = {"outbound": out, "inbound": back, "both": out.unionByName(back)}[direction]
+    steps = steps.filter(F.split_part("far", F.lit("/"), F.lit(1)).isin(kinds)) if kinds else steps
     front = roots.select(F.col(roots.columns[0]).alias("near")).distinct()
-    seen, found = front, []
+    seen, found = [front], []
     for level in range(1, depth + 1):
-        met = steps.join(front, "near").withColumn("depth", F.lit(level))
+        # written: the result, the next front and all later ones read it
+        met = T.stored(steps.join(front, "near").withColumn("depth", F.lit(level)), "walk")
         found.append(met.select("source", "target", "relation", "depth"))
-        front = met.select(F.col("far").alias("near")).distinct().join(seen, "near", "left_anti")
-        seen = seen.unionByName(front)
-    return reduce(lambda a, b: a.unionByName(b), found)
+        if level < depth:
+            front = T.stored(met.select(F.col("far").alias("near")).distinct().join(_union(seen), "near", "left_anti"), "front")
+            seen.append(front)
+    return _union(found)
+
+
+def _union(tables: list[DataFrame]) -> DataFrame:
+    return reduce(lambda a, b: a.unionByName(b), tables)
 
 
 def distances(edges: DataFrame, root: str, most: int) -> DataFrame:
     """Fewest undirected steps from ``root`` to every node within ``most``."""
-    steps = both_ways(edges).distinct()
-    spark = edges.sparkSession
-    seen = spark.createDataFrame([(root, 0)], "node string, hops int")
-    front = seen.select("node")
+    steps = both_ways(edges)
+    seen = [edges.sparkSession.createDataFrame([(root, 0)], "node string, hops int")]
     for hop in range(1, most + 1):
-        front = steps.join(front, steps["source"] == front["node"]).select(F.col("target").alias("node")).distinct().join(seen.select("node"), "node", "left_anti")
-        seen = seen.unionByName(front.withColumn("hops", F.lit(hop)))
-    return seen
+        met = steps.join(seen[-1].select(F.col("node").alias("source")), "source").select(F.col("target").alias("node")).distinct()
+        seen.append(T.stored(met.join(_union(seen).select("node"), "node", "left_anti").withColumn("hops", F.lit(hop)), "front"))
+    return _union(seen)
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -88,20 +96,61 @@ def filtered_graph(nodes: DataFrame, edges: DataFrame, kinds: list[str], relatio
     return some.join(both_ways(e).select(F.col("source").alias("node")).distinct(), "node", "left_semi") if hide_isolated else some
 
 
-def ancestors(parents: DataFrame, most: int = 32) -> DataFrame:
-    """(node, ancestor, steps) by doubling: after k rounds all chains of 2 ** k steps;
-    stops when nothing new turns up.  Cycles end as (node, node)."""
-    rounds = max(1, (most - 1).bit_length())
-    reach = parents.select(F.col("id").alias("node"), F.col("parent").alias("ancestor"), F.lit(1).alias("steps"))
-    for _ in range(rounds):
-        far = reach.alias("a").join(reach.alias("b"), F.col("a.ancestor") == F.col("b.node")).select("a.node", "b.ancestor", (F.col("a.steps") + F.col("b.steps")).alias("steps"))
-        reach = reach.unionByName(far).groupBy("node", "ancestor").agg(F.min("steps").alias("steps"))
-    return reach.filter(F.col("steps") <= most)
-
-
-def cycles(parents: DataFrame, most: int = 32) -> DataFrame:
-    """Nodes that are their own ancestors."""
-    return ancestors(parents, most).filter("node = ancestor").select("node")
+def ancestors(starts: DataFrame, parents: DataFrame) -> DataFrame:
+    """(node, ancestor, steps) of the ids in ``starts``, with the fewest steps, whatever
+    the length of a chain; on or above a cycle each of its nodes comes once.
+
+    By doubling: after k rounds all ancestors within 2 ** k steps are there, and ``jump``
+    leads from each node 2 ** k steps up.  A round that finds nothing new is the last:
+    either no chain is longer, or all that are go round in circles."""
+    up = parents.filter("parent != ''").select(F.col("id").alias("node"), F.col("parent").alias("to"))
+    jump = T.stored(up, "jumps")
+    found = T.stored(starts.select(F.col("id").alias("node")).distinct().join(jump, "node").select("node", F.col("to").alias("ancestor"), F.lit(1).cast("long").alias("steps")), "ancestors")
+    size, far = found.count(), 1
+    while True:
+        hop = jump.select(F.col("node").alias("ancestor"), F.col("to").alias("_next"))
+        more = found.join(hop, "ancestor").select("node", F.col("_next").alias("ancestor"), (F.col("steps") + far).alias("steps"))
+        found = T.stored(found.unionByName(more).groupBy("node", "ancestor").agg(F.min("steps").alias("steps")), "ancestors")
+        now = found.count()
+        if now == size:
+            return found
+        size, far, jump = now, 2 * far, _doubled(jump)
+
+
+def _doubled(jump: DataFrame) -> DataFrame:
+    """Twice as far, for the nodes whose chain goes that far."""
+    hop = jump.select(F.col("node").alias("to"), F.col("to").alias("_next"))
+    return T.stored(jump.join(hop, "to").select("node", F.col("_next").alias("to")), "jumps")
+
+
+def cycles(parents: DataFrame) -> DataFrame:
+    """Nodes whose chain of parents never ends: those on a cycle and those that lead into
+    one.  One row a node, and the table only shrinks: chains that end drop out, those of
+    2 ** (k - 1) to 2 ** k steps in round k, so a round without loss is the last."""
+    jump = T.stored(parents.filter("parent != ''").select(F.col("id").alias("node"), F.col("parent").alias("to")), "jumps")
+    size = jump.count()
+    while size:
+        jump = _doubled(jump)
+        now = jump.count()
+        if now == size:
+            break
+        size = now
+    return jump.select("node").distinct()
+
+
+def roots(parents: DataFrame) -> DataFrame:
+    """(node, root, depth) of every node with a parent: the end of its chain and the steps
+    to it, one row a node by pointer doubling.  Chains that never end have no root."""
+    up = parents.filter("parent != ''").select(F.col("id").alias("node"), F.col("parent").alias("root"), F.lit(1).cast("long").alias("depth"))
+    state, open_ = T.stored(up, "roots"), None
+    while True:
+        hop = state.select(F.col("node").alias("root"), F.col("root").alias("_next"), F.col("depth").alias("_more"))
+        moved = state.join(hop, "root", "left")
+        now = moved.filter("_next IS NOT NULL").count()
+        if now in (0, open_):
+            return moved.filter("_next IS NULL").select("node", "root", "depth")
+        open_ = now
+        state = T.stored(moved.select("node", F.coalesce("_next", "root").alias("root"), (F.col("depth") + F.coalesce("_more", F.lit(0))).alias("depth")), "roots")
 
 
 def impact(edges: DataFrame, root: str, most: int) -> DataFrame:

@@ -33,12 +33,13 @@ def state_at(changes: DataFrame, version: int | None = None) -> DataFrame:
 
 def replay(changes: DataFrame, revisions: DataFrame | None = None) -> DataFrame:
     """The same for every revision (by default those that change something): each
-    field's last value so far, in one window."""
+    field's last value so far, in one window (a null is no value)."""
     versions = (changes if revisions is None else revisions).select("entity", "version").distinct()
-    w = Window.partitionBy("entity", "field").orderBy("version")
-    spans = changes.select("entity", "field", F.col("version").alias("since"), F.lead("version").over(w).alias("until"), F.col("new").alias("value"))
-    j = versions.join(spans, "entity").filter((F.col("version") >= F.col("since")) & (F.col("until").isNull() | (F.col("version") < F.col("until"))))
-    return j.filter("value != ''").select("entity", "version", "field", "value")
+    # a row for each version and field of an entity, which the result has too
+    grid = versions.join(changes.select("entity", "field").distinct(), "entity").select("entity", "version", "field", F.lit(True).alias("_asked"), F.lit(None).cast(changes.schema["new"].dataType).alias("value"))
+    rows = grid.unionByName(changes.select("entity", "version", "field", F.lit(False).alias("_asked"), F.col("new").alias("value")))
+    so_far = Window.partitionBy("entity", "field").orderBy("version", "_asked").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return rows.withColumn("value", F.last("value", ignorenulls=True).over(so_far)).filter("_asked AND value != ''").select("entity", "version", "field", "value")
 
 
 def retained(revisions: DataFrame, as_of: str, most: int | None = None, days: int | None = None) -> DataFrame:
@@ -87,9 +88,7 @@ def appended(revisions: DataFrame) -> DataFrame:
 def identities(paths: DataFrame) -> DataFrame:
     """(path, history) across renames: every path of a chain of renames (old, new) has
     the history of the last one."""
-    from .graph import ancestors
+    from .graph import roots
 
-    reach = ancestors(paths.select(F.col("old").alias("id"), F.col("new").alias("parent")))
-    ends = reach.join(paths.select(F.col("old").alias("ancestor")), "ancestor", "left_anti")
-    own = ends.groupBy(F.col("node").alias("path")).agg(F.max_by("ancestor", "steps").alias("history"))
+    own = roots(paths.select(F.col("old").alias("id"), F.col("new").alias("parent"))).select(F.col("node").alias("path"), F.col("root").alias("history"))
     return own.unionByName(own.select(F.col("history").alias("path"), "history").distinct())

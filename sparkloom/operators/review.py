@@ -14,6 +14,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import tables as T
 from ..functions import text as X
 
 THRESHOLD, CATEGORY_BONUS = 0.72, 0.05
@@ -50,21 +51,33 @@ def prefix_pairs(sets: DataFrame, column: str, threshold: float) -> DataFrame:
     return _pairs_on_rare(sets, column, keep, near)
 
 
-def equal_pairs(sets: DataFrame, column: str) -> DataFrame:
-    some = sets.filter(F.col(column) != "").select("id", column)
+def with_heads(sets: DataFrame) -> DataFrame:
+    """``head``: the smallest id of the entries that say the same (in normal form)."""
+    say = ["category", "title", "content", F.array_sort("s_all").alias("_words")]
+    rows = sets.select("*", F.xxhash64(*say).alias("_k1"), F.xxhash64(F.lit(7), *say).alias("_k2"))
+    heads = rows.groupBy("_k1", "_k2").agg(F.min("id").alias("head"))
+    return rows.join(heads, ["_k1", "_k2"]).drop("_k1", "_k2")
+
+
+def equal_pairs(heads: DataFrame, column: str) -> DataFrame:
+    some = heads.filter(F.col(column) != "").select("id", column)
     a, b = some.alias("a"), some.alias("b")
     return a.join(b, (F.col(f"a.{column}") == F.col(f"b.{column}")) & (F.col("a.id") < F.col("b.id"))).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
 
 
 def review_pairs(entries: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """a, b, score, reasons of all pairs at ``threshold`` or more."""
-    sets = prepared(entries)
+    """a, b, score, reasons of all pairs at ``threshold`` or more.  Entries that say the
+    same are one class: pairs are between the heads of classes, and between a head and
+    each other member, so copies are not expanded into all their pairs."""
+    sets = T.stored(with_heads(prepared(entries)), "review-sets")
     least = threshold - CATEGORY_BONUS
-    pairs = equal_pairs(sets, "title").unionByName(equal_pairs(sets, "content"))
+    heads = sets.filter("id = head")
+    pairs = equal_pairs(heads, "title").unionByName(equal_pairs(heads, "content"))
     for c in ("s_title", "s_content", "s_all"):
-        pairs = pairs.unionByName(prefix_pairs(sets, c, least))
-    side = lambda s: sets.select([F.col(c).alias(f"{s}_{c}") if c != "id" else F.col("id").alias(s) for c in sets.columns])
-    rows = pairs.distinct().join(side("a"), "a").join(side("b"), "b")
+        pairs = pairs.unionByName(prefix_pairs(heads, c, least))
+    pairs = pairs.distinct().unionByName(sets.filter("id != head").select(F.col("head").alias("a"), F.col("id").alias("b")))
+    side = lambda s: sets.drop("head").select([F.col(c).alias(f"{s}_{c}") if c != "id" else F.col("id").alias(s) for c in sets.columns if c != "head"])
+    rows = pairs.join(side("a"), "a").join(side("b"), "b")
     title, content, all_ = (jaccard(F.col(f"a_{c}"), F.col(f"b_{c}")) for c in ("s_title", "s_content", "s_all"))
     same_title = (F.col("a_title") != "") & (F.col("a_title") == F.col("b_title"))
     same_content = (F.col("a_content") != "") & (F.col("a_content") == F.col("b_content"))

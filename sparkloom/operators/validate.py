@@ -29,32 +29,45 @@ def _blank(c: str):
     return F.trim(F.coalesce(F.col(c), F.lit(""))) == ""
 
 
-def _checks(df: DataFrame, entity: str, rules: list[tuple]) -> list[DataFrame]:
-    """(columns, condition, code, level) of the rules whose columns are there."""
-    return [_rule(df, entity, when(), code, level) for needs, when, code, level in rules if set(needs) <= set(df.columns)]
+def _size(c: str):
+    return F.greatest(F.size(c), F.lit(0))
 
 
-def validate_tasks(tasks: DataFrame, docs: DataFrame) -> DataFrame:
-    """acceptance (array of struct with completed) and fulfills (array) may be absent."""
+def _checks(df: DataFrame, entity: str, rules: list[tuple]) -> DataFrame:
+    """(columns, condition, code, level) of the rules whose columns are there, in one
+    pass over the rows."""
+    found = [F.when(when(), F.struct(F.lit(code).alias("code"), F.lit(level).alias("level"))) for needs, when, code, level in rules if set(needs) <= set(df.columns)]
+    return df.select(F.lit(entity).alias("entity"), "id", F.explode(F.array_compact(F.array(*found))).alias("_i")).select("entity", "id", "_i.code", "_i.level")
+
+
+def in_scope(entity: str, scope: str = "all") -> bool:
+    """Whether a scope of a validation covers an entity: all, tasks, docs, memory,
+    templates, or sdd, which is tasks and docs."""
+    return scope == "all" or {"task": ("tasks", "sdd"), "doc": ("docs", "sdd"), "memory": ("memory",), "template": ("templates",)}[entity].count(scope) > 0
+
+
+def validate_tasks(tasks: DataFrame, docs: DataFrame, scope: str = "all") -> DataFrame:
+    """acceptance (array of struct with completed) and fulfills (array) may be absent;
+    missing acceptance criteria of a task with a spec count in scope sdd only."""
     ids, paths = tasks.select(F.col("id").alias("parent")), docs.select(F.col("path").alias("spec"))
     orphan = tasks.filter(~_blank("parent")).join(ids, "parent", "left_anti")
     unspecified = tasks.filter(~_blank("spec")).join(paths, "spec", "left_anti")
-    loops = G.cycles(tasks.filter(~_blank("parent")).select("id", "parent")).select(F.col("node").alias("id"))
-    size = lambda c: F.greatest(F.size(c), F.lit(0))
+    loops = G.cycles(tasks.select("id", "parent")).select(F.col("node").alias("id"))
     rules = [
         (["title"], lambda: _blank("title"), "TASK_NO_TITLE", "error"),
         (["status"], lambda: _blank("status"), "TASK_NO_STATUS", "warning"),
         (["status"], lambda: ~_blank("status") & ~F.col("status").isin(STATUSES), "TASK_INVALID_STATUS", "warning"),
         (["priority"], lambda: _blank("priority"), "TASK_NO_PRIORITY", "info"),
         (["priority"], lambda: ~_blank("priority") & ~F.col("priority").isin(PRIORITIES), "TASK_INVALID_PRIORITY", "warning"),
-        (["labels"], lambda: size("labels") != size(F.array_distinct("labels")), "TASK_DUPLICATE_LABELS", "info"),
-        (["fulfills", "spec"], lambda: (size("fulfills") > 0) & _blank("spec"), "TASK_FULFILLS_NO_SPEC", "warning"),
+        (["labels"], lambda: _size("labels") != F.greatest(F.size(F.array_distinct("labels")), F.lit(0)), "TASK_DUPLICATE_LABELS", "info"),
+        (["fulfills", "spec"], lambda: (_size("fulfills") > 0) & _blank("spec"), "TASK_FULFILLS_NO_SPEC", "warning"),
         (["acceptance"], lambda: (F.col("status") == "done") & F.exists("acceptance", lambda x: ~x["completed"]), "TASK_DONE_UNCHECKED_AC", "warning"),
-        (["acceptance", "spec"], lambda: ~_blank("spec") & (size("acceptance") == 0), "SDD_NO_AC", "warning"),
     ]
+    if scope == "sdd":
+        rules.append((["acceptance", "spec"], lambda: ~_blank("spec") & (_size("acceptance") == 0), "SDD_NO_AC", "warning"))
     every = F.lit(True)
     return _all([
-        *_checks(tasks, "task", rules),
+        _checks(tasks, "task", rules),
         _rule(orphan, "task", every, "BROKEN_TASK_REF", "error"),
         _rule(tasks.join(loops, "id", "left_semi"), "task", every, "TASK_CIRCULAR_PARENT", "error"),
         _rule(unspecified, "task", every, "BROKEN_DOC_REF", "warning"),
@@ -62,19 +75,27 @@ def validate_tasks(tasks: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def validate_docs(docs: DataFrame) -> DataFrame:
+    """``imported`` (boolean) and ``parse_error`` (null: none) may be absent.  Imported
+    docs are not looked at; of one that cannot be parsed nothing else is said."""
+    d = docs.withColumn("id", F.col("path"))
+    d = d.filter(~F.coalesce("imported", F.lit(False))) if "imported" in d.columns else d
+    failed = F.col("parse_error").isNotNull() if "parse_error" in d.columns else F.lit(False)
     rules = [
-        (["title"], lambda: _blank("title"), "DOC_NO_TITLE", "warning"),
-        (["description"], lambda: _blank("description"), "DOC_NO_DESCRIPTION", "info"),
-        (["content"], lambda: _blank("content"), "DOC_NO_CONTENT", "info"),
+        ([], lambda: failed, "DOC_PARSE_ERROR", "error"),
+        (["title"], lambda: ~failed & _blank("title"), "DOC_NO_TITLE", "warning"),
+        (["description"], lambda: ~failed & _blank("description"), "DOC_NO_DESCRIPTION", "info"),
+        (["content"], lambda: ~failed & _blank("content"), "DOC_NO_CONTENT", "info"),
     ]
-    return _all(_checks(docs.withColumn("id", F.col("path")), "doc", rules))
+    return _checks(d, "doc", rules)
 
 
 def validate_memories(memories: DataFrame, as_of: str, most: int = 12000, waiting_days: int = 30) -> DataFrame:
-    """confidence, ttl_days, sources, merged_into and rejected_reason may be absent."""
+    """confidence, ttl_days, last_verified, sources, merged_into and rejected_reason may
+    be absent; trust metadata (all of them but the last two, and the status) are missed
+    where all its columns are there."""
     now = F.lit(as_of).cast("timestamp")
-    updated = F.col("updated_at").cast("timestamp") if "updated_at" in memories.columns else F.lit(None)
-    after = lambda days: F.unix_micros(updated) + days * 86_400_000_000 < F.unix_micros(now)
+    passed = lambda c, days: F.unix_micros(F.col(c).cast("timestamp")) + days * 86_400_000_000 < F.unix_micros(now)
+    trust = ["status", "confidence", "last_verified", "ttl_days", "sources"]
     rules = [
         (["title"], lambda: _blank("title"), "MEMORY_NO_TITLE", "warning"),
         (["content"], lambda: _blank("content"), "MEMORY_NO_CONTENT", "info"),
@@ -82,22 +103,65 @@ def validate_memories(memories: DataFrame, as_of: str, most: int = 12000, waitin
         (["status"], lambda: _blank("status"), "MEMORY_MISSING_STATUS", "warning"),
         (["status"], lambda: ~_blank("status") & ~F.col("status").isin(MEMORY_STATUSES), "MEMORY_INVALID_STATUS", "warning"),
         (["confidence"], lambda: ~_blank("confidence") & ~F.col("confidence").isin(CONFIDENCES), "MEMORY_INVALID_CONFIDENCE", "warning"),
-        (["ttl_days", "updated_at"], lambda: (F.col("ttl_days") > 0) & after(F.col("ttl_days")), "MEMORY_TTL_EXPIRED", "warning"),
-        (["sources"], lambda: F.greatest(F.size("sources"), F.lit(0)) == 0, "MEMORY_MISSING_SOURCE", "warning"),
+        (trust, lambda: _blank("status") | _blank("confidence") | F.col("last_verified").isNull() | (F.coalesce("ttl_days", F.lit(0)) <= 0) | (_size("sources") == 0), "MEMORY_MISSING_TRUST_METADATA", "warning"),
+        (["ttl_days", "last_verified"], lambda: (F.col("ttl_days") > 0) & passed("last_verified", F.col("ttl_days")), "MEMORY_TTL_EXPIRED", "warning"),
+        (["sources"], lambda: _size("sources") == 0, "MEMORY_MISSING_SOURCE", "warning"),
         (["content"], lambda: F.length("content") > most, "MEMORY_CONTENT_TOO_LONG", "warning"),
-        (["status", "updated_at"], lambda: (F.col("status") == "proposed") & after(F.lit(waiting_days)), "MEMORY_OLD_PROPOSED", "warning"),
+        (["status", "updated_at"], lambda: (F.col("status") == "proposed") & passed("updated_at", F.lit(waiting_days)), "MEMORY_OLD_PROPOSED", "warning"),
         (["status", "merged_into"], lambda: (F.col("status") == "merged") & _blank("merged_into"), "MEMORY_MERGED_MISSING_TARGET", "warning"),
         (["status", "rejected_reason"], lambda: (F.col("status") == "rejected") & _blank("rejected_reason"), "MEMORY_REJECTED_MISSING_REASON", "warning"),
     ]
-    return _all(_checks(memories, "memory", rules))
+    return _checks(memories, "memory", rules)
+
+
+def validate_memory_sources(memories: DataFrame, tasks: DataFrame, docs: DataFrame, decisions: DataFrame) -> DataFrame:
+    """References among a memory's ``sources`` whose target is not there, or is a decision
+    that others have superseded.  A memory may name itself; other texts are no
+    references."""
+    s = memories.select("id", F.explode("sources").alias("_s")).withColumn("_s", F.trim("_s"))
+    s = s.select("id", F.regexp_extract("_s", r"^@(task|doc|memory|decision)[-/]", 1).alias("type"), F.rtrim(F.regexp_replace(F.regexp_replace("_s", r"^@(?:task|doc|memory|decision)[-/]", ""), r"[#{:].*$", ""), F.lit(".,;) ")).alias("target"))
+    s = s.filter("type != '' AND target != ''")
+    there = _all([
+        tasks.select(F.lit("task").alias("type"), F.col("id").alias("target"), F.lit(False).alias("_old")),
+        docs.select(F.lit("doc").alias("type"), F.col("path").alias("target"), F.lit(False).alias("_old")),
+        memories.select(F.lit("memory").alias("type"), F.col("id").alias("target"), F.lit(False).alias("_old")),
+        decisions.select(F.lit("decision").alias("type"), F.col("id").alias("target"), ((F.col("status") == "superseded") | (_size("superseded_by") > 0)).alias("_old")),
+    ])
+    j = s.join(there, ["type", "target"], "left")
+    return _all([
+        _rule(j, "memory", F.col("_old").isNull(), "MEMORY_BROKEN_SOURCE_REF", "warning"),
+        _rule(j, "memory", F.col("_old"), "MEMORY_SOURCE_DECISION_SUPERSEDED", "warning"),
+    ])
+
+
+def _unbalanced(c):
+    """Whether a template's double braces or its blocks do not match."""
+    opened, closed = F.regexp_count(c, F.lit(r"\{\{")), F.regexp_count(c, F.lit(r"\}\}"))
+    blocks = lambda mark: F.array_sort(F.regexp_extract_all(c, F.lit(r"\{\{" + mark + r"\s*(\w+)"), 1))
+    return F.coalesce((opened != closed) | (blocks("#") != blocks("/")), F.lit(False))
 
 
-def validate_templates(templates: DataFrame) -> DataFrame:
+def validate_templates(templates: DataFrame, files: DataFrame | None = None, docs: DataFrame | None = None, fix: bool = False) -> DataFrame:
+    """``actions``: an array, of structs with ``template`` and ``path`` where ``files``
+    (template id, name and content of what is there) is given; ``doc``: a linked doc."""
     rules = [
         (["name"], lambda: _blank("name"), "TEMPLATE_NO_NAME", "error"),
-        (["actions"], lambda: F.greatest(F.size("actions"), F.lit(0)) == 0, "TEMPLATE_NO_ACTIONS", "warning"),
+        (["actions"], lambda: _size("actions") == 0, "TEMPLATE_NO_ACTIONS", "warning"),
     ]
-    return _all(_checks(templates, "template", rules))
+    out, every = [_checks(templates, "template", rules)], F.lit(True)
+    if files is not None:
+        steps = templates.select("id", F.explode("actions").alias("_a")).select("id", F.col("_a.template").alias("_file"), F.col("_a.path").alias("_path"))
+        found = files.select(F.col("id"), F.col("name").alias("_file"), F.coalesce("content", F.lit("")).alias("_content"))
+        held = steps.filter(~_blank("_file")).join(found, ["id", "_file"], "left")
+        out += [
+            _rule(held, "template", F.col("_content").isNull(), "TEMPLATE_FILE_MISSING", "error"),
+            _rule(held, "template", _unbalanced(F.col("_content")), "TEMPLATE_PARSE_ERROR", "error"),
+            _rule(steps, "template", _unbalanced(F.col("_path")), "TEMPLATE_PATH_ERROR", "error"),
+        ]
+    if docs is not None and "doc" in templates.columns:
+        gone = templates.filter(~_blank("doc")).join(docs.select(F.col("path").alias("doc")), "doc", "left_anti")
+        out.append(_rule(gone, "template", every, "BROKEN_DOC_REF", "info" if fix else "warning"))
+    return _all(out)
 
 
 def validate_references(refs: DataFrame, owner: str) -> DataFrame:

@@ -54,10 +54,10 @@ def time_windows(entries: DataFrame, now: str) -> DataFrame:
     return entries.agg(total(on == day).alias("today"), total((on >= sunday) & (on <= day)).alias("week"), total(F.lit(True)).alias("total"))
 
 
-def task_tree(tasks: DataFrame, most: int = 16) -> DataFrame:
-    """id, depth and root of every task under its parents; roots have depth 0."""
-    up = G.ancestors(tasks.filter("parent != ''").select("id", "parent"), most).filter("node != ancestor")
-    top = up.groupBy(F.col("node").alias("id")).agg(F.max("steps").alias("depth"), F.max_by("ancestor", "steps").alias("root"))
+def task_tree(tasks: DataFrame) -> DataFrame:
+    """id, depth and root of every task under its parents; roots, and tasks whose chain
+    of parents never ends, have depth 0 and are their own root."""
+    top = G.roots(tasks.select("id", "parent")).withColumnRenamed("node", "id")
     return tasks.select("id").join(top, "id", "left").select("id", F.coalesce("depth", F.lit(0)).alias("depth"), F.coalesce("root", "id").alias("root"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sparkloom.functions import text as X
 from sparkloom.operators import chunking as C
 from sparkloom.operators import codesearch as Q
+from sparkloom.operators import embed as EMBED
 from sparkloom.operators import fusion as H
 from sparkloom.operators import graph as G
 from sparkloom.operators import history as V
@@ -184,20 +185,78 @@ def test_walks(spark):
 
 def test_cycles_and_descendants(spark):
     p = spark.createDataFrame([("a", "b"), ("b", "a"), ("c", "a"), ("d", "d"), ("e", "f")], "id string, parent string")
-    assert {r.node for r in G.cycles(p).collect()} == {"a", "b", "d"}
+    assert {r.node for r in G.cycles(p).collect()} == {"a", "b", "c", "d"}
     t = spark.createDataFrame([("r", "", "done", False), ("k", "r", "done", False), ("g", "k", "todo", False), ("h", "k", "todo", True)], "id string, parent string, status string, archived boolean")
     assert {r.id: r.descendants for r in L.unfinished_descendants(t).collect()} == {"r": ["g"], "k": ["g"]}
 
 
+def test_chains_of_any_length(spark):
+    ring = [(f"r{i}", f"r{(i + 1) % 40}") for i in range(40)]
+    chain = [(f"c{i}", f"c{i + 1}") for i in range(100)]
+    tail = [("t2", "t1"), ("t1", "r7")]
+    p = spark.createDataFrame(ring + chain + tail + [("self", "self")], "id string, parent string")
+    assert {r.node for r in G.cycles(p).collect()} == {x for x, _ in ring + tail} | {"self"}
+    up = {(r.node, r.ancestor): r.steps for r in G.ancestors(p.filter("id IN ('c0', 'c99', 't2')"), p).collect()}
+    assert {k: v for k, v in up.items() if k[0] == "c0"} == {("c0", f"c{i}"): i for i in range(1, 101)} and up["c99", "c100"] == 1
+    assert {a for n, a in up if n == "t2"} == {"t1"} | {x for x, _ in ring} and up["t2", "r6"] == 41
+    roots = {r.node: (r.root, r.depth) for r in G.roots(p).collect()}
+    assert roots == {f"c{i}": ("c100", 100 - i) for i in range(100)}
+    assert G.cycles(p.limit(0)).collect() == [] and G.roots(p.limit(0)).collect() == [] and G.ancestors(p.limit(0), p.limit(0)).collect() == []
+    t = spark.createDataFrame([(f"c{i}", f"c{i + 1}" if i < 100 else "", "todo" if i == 0 else "done", False) for i in range(101)], "id string, parent string, status string, archived boolean")
+    assert {r.id: r.descendants for r in L.unfinished_descendants(t).collect()} == {f"c{i}": ["c0"] for i in range(1, 101)}
+
+
+def test_batches_of_the_lifecycle(spark):
+    rows = [("a", "", "done", False, at(1)), ("b", "", "todo", False, None), ("c", "", "done", True, at(1)), ("p", "", "done", False, at(1)), ("k", "p", "todo", False, None)]
+    t = spark.createDataFrame(rows, "id string, parent string, status string, archived boolean, completed_at timestamp")
+    none = spark.createDataFrame([], "task_id string")
+    look = {r.id: (r.eligible, r.changed, r.before, r.after, r.reasons) for r in L.archived_batch(t, none, "2024-06-01").collect()}
+    assert look["a"] == (True, False, "done", "done", "") and look["b"] == (False, False, "active", "active", "not_done")
+    assert look["c"] == (False, False, "archived", "archived", "already_archived") and look["p"][4] == "unfinished_descendant"
+    done = {r.id: (r.eligible, r.changed, r.after, r.archived_at is None) for r in L.archived_batch(t, none, "2024-06-01", execute=True).collect()}
+    assert done["a"] == (True, True, "archived", False) and done["c"] == (True, True, "archived", False) and done["b"] == (False, False, "active", True)
+    ids = spark.createDataFrame([("a",), ("a",), ("b",), ("c",), ("x",)], "id string")
+    back = {r.id: (r.eligible, r.changed, r.after, r.status, r.reasons) for r in L.reopened_batch(t, ids, True, "done").collect()}
+    assert back == {"a": (True, True, "active", "todo", ""), "b": (False, False, "active", "todo", "already_active"), "c": (True, True, "active", "todo", ""), "x": (False, False, None, None, "not_found")}
+    stones = spark.createDataFrame([("a", "me", "old"), ("gone", "me", "spam")], "id string, actor string, reason string")
+    ids = spark.createDataFrame([("a",), ("b",), ("gone",), ("x",)], "id string")
+    dead = {r.id: (r.eligible, r.changed, r.before, r.after, r.reasons) for r in L.deleted_batch(t, stones, ids, "me", " spam ", True, True).collect()}
+    assert dead == {"a": (False, False, "done", "done", "tombstone_conflict"), "b": (True, True, "active", "archived", ""), "gone": (True, False, "archived", "archived", "already_deleted"), "x": (False, False, None, None, "not_found")}
+    assert {r.reasons for r in L.deleted_batch(t, stones, ids, "me", " ", False).collect()} == {"confirmation_required,delete_reason_required"}
+
+
+def test_section_replace(spark):
+    text = "# One\nbody\n\n## Notes here\nold\n### Deep\nx\n\n\n## Later\nend\n##not\n#\nlast"
+    d = spark.createDataFrame([(1, text), (2, "no heading"), (3, None)], "i int, t string")
+    got = lambda w, b: [(r.t, r.replaced) for r in C.replace_section(d, "t", w, b).orderBy("i").collect()]
+    assert got("## notes", "## Notes\nnew") == [("# One\nbody\n\n## Notes\nnew\n\n## Later\nend\n##not\n#\nlast", True), ("no heading", False), (None, False)]
+    assert got("4", "## Z\n")[0][0] == text.replace("## Later\nend\n##not\n#\nlast", "## Z\n\n#\nlast")
+    assert got("one", "# One")[0][0] == "# One\n#\nlast"
+
+
 def test_validation_codes(spark):
     t = spark.createDataFrame([("1", "", "odd", "", ["a", "a"], "9", "s", [], [("x", False)]), ("2", "t", "done", "low", [], "", "", ["s1"], [("x", False)]), ("3", "t", "todo", "low", [], "3", "doc", [], [])], "id string, title string, status string, priority string, labels array<string>, parent string, spec string, fulfills array<string>, acceptance array<struct<text:string,completed:boolean>>")
     got = {(r.id, r.code) for r in CHECK.validate_tasks(t, spark.createDataFrame([("doc",)], "path string")).collect()}
-    assert got == {("1", c) for c in ("TASK_NO_TITLE", "TASK_INVALID_STATUS", "TASK_NO_PRIORITY", "TASK_DUPLICATE_LABELS", "BROKEN_TASK_REF", "BROKEN_DOC_REF")} | {("2", "TASK_FULFILLS_NO_SPEC"), ("2", "TASK_DONE_UNCHECKED_AC"), ("3", "TASK_CIRCULAR_PARENT"), ("3", "SDD_NO_AC")}
-    m = spark.createDataFrame([("1", "t", "c", "odd", "merged", "sure", 5, [], "", "", at(1)), ("2", "t", "c", "project", "rejected", "", 0, ["s"], "", "", at(1))], "id string, title string, content string, layer string, status string, confidence string, ttl_days int, sources array<string>, merged_into string, rejected_reason string, updated_at timestamp")
+    assert got == {("1", c) for c in ("TASK_NO_TITLE", "TASK_INVALID_STATUS", "TASK_NO_PRIORITY", "TASK_DUPLICATE_LABELS", "BROKEN_TASK_REF", "BROKEN_DOC_REF")} | {("2", "TASK_FULFILLS_NO_SPEC"), ("2", "TASK_DONE_UNCHECKED_AC"), ("3", "TASK_CIRCULAR_PARENT")}
+    sdd = {(r.id, r.code) for r in CHECK.validate_tasks(t, spark.createDataFrame([("doc",)], "path string"), "sdd").collect()}
+    assert sdd - got == {("3", "SDD_NO_AC")} and [CHECK.in_scope("task", s) for s in ("all", "sdd", "docs")] == [True, True, False]
+    m = spark.createDataFrame([("1", "t", "c", "odd", "merged", "sure", 5, [], "", "", at(1)), ("2", "t", "c", "project", "rejected", "", 0, ["s"], "", "", at(1))], "id string, title string, content string, layer string, status string, confidence string, ttl_days int, sources array<string>, merged_into string, rejected_reason string, last_verified timestamp")
     got = {(r.id, r.code) for r in CHECK.validate_memories(m, "2024-02-01").collect()}
-    assert got == {("1", c) for c in ("MEMORY_INVALID_LAYER", "MEMORY_INVALID_CONFIDENCE", "MEMORY_TTL_EXPIRED", "MEMORY_MISSING_SOURCE", "MEMORY_MERGED_MISSING_TARGET")} | {("2", "MEMORY_REJECTED_MISSING_REASON")}
+    assert got == {("1", c) for c in ("MEMORY_INVALID_LAYER", "MEMORY_INVALID_CONFIDENCE", "MEMORY_TTL_EXPIRED", "MEMORY_MISSING_SOURCE", "MEMORY_MISSING_TRUST_METADATA", "MEMORY_MERGED_MISSING_TARGET")} | {("2", "MEMORY_REJECTED_MISSING_REASON"), ("2", "MEMORY_MISSING_TRUST_METADATA")}
+    m = spark.createDataFrame([("m1", ["@task/t1", "@task-t9", "@doc/a/b#top", "@doc/z", "@memory/m1", "@memory/m7", "@decision/d1.", "@decision/d2", "@decision/d9", "a talk", ""]), ("m2", [])], "id string, sources array<string>")
+    tasks, docs = spark.createDataFrame([("t1",)], "id string"), spark.createDataFrame([("a/b",)], "path string")
+    decisions = spark.createDataFrame([("d1", "accepted", []), ("d2", "accepted", ["d1"])], "id string, status string, superseded_by array<string>")
+    got = sorted((r.id, r.code) for r in CHECK.validate_memory_sources(m, tasks, docs, decisions).collect())
+    assert got == [("m1", "MEMORY_BROKEN_SOURCE_REF")] * 4 + [("m1", "MEMORY_SOURCE_DECISION_SUPERSEDED")]
+    d = spark.createDataFrame([("a", "", "", "", False, None), ("b", "", "", "", True, None), ("c", "", "", "", False, "bad")], "path string, title string, description string, content string, imported boolean, parse_error string")
+    assert sorted((r.id, r.code) for r in CHECK.validate_docs(d).collect()) == [("a", "DOC_NO_CONTENT"), ("a", "DOC_NO_DESCRIPTION"), ("a", "DOC_NO_TITLE"), ("c", "DOC_PARSE_ERROR")]
+    kinds = "id string, name string, doc string, actions array<struct<template:string,path:string>>"
+    tp = spark.createDataFrame([("p1", "one", "a", [("ok.hbs", "src/{{name}}.py"), ("bad.hbs", "x/{{name"), ("gone.hbs", "")]), ("p2", "two", "zz", [("", "y")])], kinds)
+    files = spark.createDataFrame([("p1", "ok.hbs", "{{#if a}}{{b}}{{/if}}"), ("p1", "bad.hbs", "{{#if a}}{{b}}")], "id string, name string, content string")
+    got = sorted((r.id, r.code, r.level) for r in CHECK.validate_templates(tp, files, docs.unionByName(spark.createDataFrame([("a",)], "path string")), fix=True).collect())
+    assert got == [("p1", "TEMPLATE_FILE_MISSING", "error"), ("p1", "TEMPLATE_PARSE_ERROR", "error"), ("p1", "TEMPLATE_PATH_ERROR", "error"), ("p2", "BROKEN_DOC_REF", "info")]
     assert {r.code for r in CHECK.validate_templates(spark.createDataFrame([("", [])], "name string, actions array<string>").withColumn("id", F.col("name"))).collect()} == {"TEMPLATE_NO_NAME", "TEMPLATE_NO_ACTIONS"}
-    assert {(r.level, r.n) for r in CHECK.summary(CHECK.validate_tasks(t, spark.createDataFrame([("doc",)], "path string")), strict=True).collect()} == {("error", 8), ("info", 2)}
+    assert {(r.level, r.n) for r in CHECK.summary(CHECK.validate_tasks(t, spark.createDataFrame([("doc",)], "path string")), strict=True).collect()} == {("error", 7), ("info", 2)}
 
 
 def test_review(spark):
@@ -295,3 +354,18 @@ def test_policy(spark):
     assert [r.x for r in d.select(P.decide({"read": "allow", "write": "confirm"}, "a", "d").alias("x")).collect()] == ["allow", "confirm", "allow", "deny"]
     m = spark.range(1).select(P.argument_summary(F.create_map(F.lit("body"), F.lit("x" * 500), F.lit("q"), F.lit("y" * 150)), ["body"]).alias("m")).first().m
     assert m["body"] == "<500 chars>" and m["q"] == "y" * 100 + "..."
+
+
+def flaky(texts):
+    """Fails on more than two texts at once and always on a bad one."""
+    if len(texts) > 2 or any("bad" in t for t in texts):
+        raise OSError("busy")
+    return [[float(len(t)), 1.0] for t in texts]
+
+
+def test_embedding_falls_back_to_single_texts(spark):
+    assert EMBED.vectors_of(flaky, ["aaa", "bad", "a", "aa"], 3, 2, 0) == [[3.0, 1.0], None, [1.0, 1.0], [2.0, 1.0]]
+    d = spark.createDataFrame([(1, "one two"), (2, None), (3, "one two")], "i int, t string")
+    got = {r.i: r.embedding for r in EMBED.embedded(d, "t", EMBED.hashing_provider(384), "multilingual-e5-small", query=True).collect()}
+    assert len(got) == 3 and got[1] == got[3] != got[2] and len(got[1]) == 384 and sum(map(abs, got[2])) == 1
+    assert EMBED.embedded(d, "t", EMBED.hashing_provider(5), "gte-base").count() == 0
