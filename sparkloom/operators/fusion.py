@@ -2,20 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..tables import numbered
 
 RANK_CONSTANT = 60
 
 
 def reciprocal_rank_fusion(semantic: DataFrame, keyword: DataFrame, keys: list[str]) -> DataFrame:
-    """Sum of 1 / (60 + rank) over both lists, divided by the largest; ``matched_by``."""
+    """Sum of 1 / (60 + rank) over both whole lists, divided by the largest;
+    ``matched_by``."""
 
     def ranked(df, name):
-        order = Window.orderBy(F.desc("score"), *keys)
-        return df.select(*keys, F.row_number().over(order).alias(name))
+        return numbered(df.select(*keys, "score"), [F.desc("score"), *keys], name).drop("score")
 
     both = ranked(semantic, "s").join(ranked(keyword, "k"), keys, "full")
     part = lambda c: F.coalesce(1.0 / (RANK_CONSTANT + F.col(c)), F.lit(0.0))
@@ -66,6 +67,6 @@ def regroup_tasks(results: DataFrame) -> DataFrame:
     title, score, lifecycle."""
     life = F.when(F.col("lifecycle") == "active", 0).when(F.col("lifecycle") == "done", 1).otherwise(2)
     tasks = results.filter("type = 'task'")
-    slots = tasks.select("place", F.row_number().over(Window.orderBy("place")).alias("nth"))
-    sorted_ = tasks.drop("place").withColumn("nth", F.row_number().over(Window.orderBy(life, F.desc("score"), "title", "id")))
+    slots = numbered(tasks.select("place"), ["place"], "nth")
+    sorted_ = numbered(tasks.drop("place"), [life, F.desc("score"), "title", "id"], "nth")
     return results.filter("type != 'task'").unionByName(sorted_.join(slots, "nth").select(*results.columns))

@@ -14,6 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import tables as T
 from ..functions import text as X
 
 K1, B = 1.2, 0.75
@@ -57,7 +58,8 @@ def union_corpus(parts: list[DataFrame]) -> DataFrame:
 
 
 def _fields(df: DataFrame) -> list[str]:
-    return [c[2:] for c in df.columns if c.startswith("f_")]
+    """Names of the fields of a corpus, or of its counts."""
+    return [c[2:] for c in df.columns if c.startswith("f_")] or [c[2:] for c in df.columns if c.startswith("n_")]
 
 
 def _weight(name: str) -> Column:
@@ -68,10 +70,6 @@ def _weight(name: str) -> Column:
     return out
 
 
-def _equals(term: str):
-    return lambda x: x == term
-
-
 def counted(df: DataFrame, terms: list[str]) -> DataFrame:
     """Each field's length in tokens ``n_<field>`` and count of each term
     ``t<i>_<field>``; a field that is null has length null."""
@@ -79,7 +77,7 @@ def counted(df: DataFrame, terms: list[str]) -> DataFrame:
     df = df.withColumns({f"k_{n}": F.when(F.col(f"f_{n}").isNotNull(), X.tokens(f"f_{n}")) for n in names})
     out = {f"n_{n}": F.when(F.col(f"k_{n}").isNotNull(), F.size(f"k_{n}")) for n in names}
     for i, t in enumerate(terms):
-        out |= {f"t{i}_{n}": F.coalesce(F.size(F.filter(f"k_{n}", _equals(t))), F.lit(0)) for n in names}
+        out |= {f"t{i}_{n}": F.coalesce(F.size(f"k_{n}") - F.size(F.array_remove(f"k_{n}", t)), F.lit(0)) for n in names}
     return df.withColumns(out).drop(*[f"k_{n}" for n in names])
 
 
@@ -123,19 +121,26 @@ def boosts(query: str, terms: list[str]) -> Column:
     return out
 
 
-def keyword_search(rows: DataFrame, query: str, limit: int = 20) -> DataFrame:
-    """type, id, title, bm25, boost, score of the best matches.  Blank queries and
-    queries without a token match nothing."""
+def keyword_scores(rows: DataFrame, query: str) -> DataFrame:
+    """type, id, title, bm25, boost, score of all matches.  Blank queries and queries
+    without a token match nothing."""
     every = X.query_tokens(query)
     terms = list(dict.fromkeys(every))
     if not terms:
         return rows.select("type", "id", "title", *[F.lit(0.0).alias(c) for c in ("bm25", "boost", "score")]).limit(0)
-    scored = bm25(counted(rows, terms), terms)
+    # each text is cut into tokens once: statistics and scores read the written counts
+    counts = T.stored(counted(rows, terms).drop(*[f"f_{n}" for n in _fields(rows)]), "term-counts")
+    scored = bm25(counts, terms)
     by_type = reduce(lambda a, k: a.when(F.col("type") == k, TYPE_BOOST[k]), list(TYPE_BOOST)[1:], F.when(F.col("type") == "doc", TYPE_BOOST["doc"])).otherwise(0.0)
     scored = scored.withColumn("boost", boosts(query, every) + F.when(F.col("bm25") > 0, by_type).otherwise(0.0))
     scored = scored.withColumns({"score": F.round(F.col("bm25") + F.col("boost"), 6), "bm25": F.round("bm25", 6), "boost": F.round("boost", 6)})
+    return scored.filter("score > 0").select("type", "id", "title", "bm25", "boost", "score")
+
+
+def keyword_search(rows: DataFrame, query: str, limit: int = 20) -> DataFrame:
+    """The best of keyword_scores()."""
     place = F.array_position(F.array(*map(F.lit, TYPE_ORDER)), F.col("type"))
-    return scored.filter("score > 0").orderBy(F.desc("score"), place, "title", "id").limit(limit).select("type", "id", "title", "bm25", "boost", "score")
+    return keyword_scores(rows, query).orderBy(F.desc("score"), place, "title", "id").limit(limit)
 
 
 def heuristic_task_score(query: str) -> Column:

@@ -56,8 +56,9 @@ def corpora(docs: DataFrame, tasks: DataFrame, memories: DataFrame, decisions: D
     return K.union_corpus(parts)
 
 
-def semantic_results(chunks: DataFrame, query_vector: list[float], query: str, k: int, kind: str | None = None) -> DataFrame:
-    """Sources by their chunks: type, source, score."""
+def semantic_results(chunks: DataFrame, query_vector: list[float], query: str, k: int | None, kind: str | None = None) -> DataFrame:
+    """Sources by their k best chunks (None: by all over the threshold): type, source,
+    score."""
     scored = V.top_k(chunks, query_vector, k, V.THRESHOLD, kind)
     return V.roll_up(scored.withColumn("score", F.col("score") + V.header_boost(query)))
 
@@ -77,19 +78,22 @@ def vectors_ready(chunks: DataFrame, metadata: dict, model: str, dimensions: int
 
 def search(corpus: DataFrame, chunks: DataFrame | None, query: str, query_vector: list[float] | None, mode: str = "hybrid", kind: str = "all", limit: int = LIMIT) -> DataFrame:
     """type, source, score, matched_by.  Blank queries match nothing; without vectors,
-    or for an unknown mode, the search is by keyword; the type filter comes before the
-    limit."""
+    or for an unknown mode, the search is by keyword.  The type filter comes before any
+    limit, on the keyword side after the statistics of the whole corpus.  Where tasks may
+    turn up, all chunks over the threshold count, else the 2 * limit best; a hybrid
+    search takes all keyword matches."""
     if mode not in ("semantic", "hybrid") or chunks is None or query_vector is None:
         mode = "keyword"
-    words = K.keyword_search(corpus, query, 10_000 if mode == "hybrid" else limit if kind == "all" else 10_000).select("type", F.col("id").alias("source"), "score")
+    of_kind = lambda df: df.filter(F.col("type") == kind) if kind != "all" else df
+    words = of_kind(K.keyword_scores(corpus, query)).select("type", F.col("id").alias("source"), "score")
     if not query.strip():
         return words.limit(0).withColumn("matched_by", F.lit("keyword"))
     if mode == "keyword":
         out = words.withColumn("matched_by", F.lit("keyword"))
     else:
-        near = semantic_results(chunks, query_vector, query, 2 * limit, None if kind == "all" else kind)
-        out = near.select("type", "source", "score").withColumn("matched_by", F.lit("semantic")) if mode == "semantic" else H.reciprocal_rank_fusion(near, words, ["type", "source"])
-    out = out.filter(F.col("type") == kind) if kind != "all" else out
+        near = semantic_results(chunks, query_vector, query, None if kind in ("all", "task") else 2 * limit, None if kind == "all" else kind)
+        near = near.select("type", "source", "score")
+        out = near.withColumn("matched_by", F.lit("semantic")) if mode == "semantic" else H.reciprocal_rank_fusion(near, words, ["type", "source"])
     return out.orderBy(F.desc("score"), "type", "source").limit(limit)
 
 

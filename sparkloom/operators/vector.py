@@ -28,13 +28,14 @@ def normalised(a) -> Column:
     return F.when(n > 0, F.transform(a, lambda x: x.cast("double") / n)).otherwise(F.transform(a, lambda x: x.cast("double")))
 
 
-def top_k(chunks: DataFrame, query: list[float], k: int = TOP, threshold: float = THRESHOLD, kind: str | None = None) -> DataFrame:
-    """The k chunks most like ``query``.  The vector is a literal, so this is a scan, a
-    filter and a top-k; no join."""
+def top_k(chunks: DataFrame, query: list[float], k: int | None = TOP, threshold: float = THRESHOLD, kind: str | None = None) -> DataFrame:
+    """The k chunks most like ``query``, or all over the threshold (k None).  The vector
+    is a literal, so this is a scan, a filter and a top-k; no join."""
     rows = chunks.filter(F.col("type") == kind) if kind else chunks
     q = F.array(*[F.lit(float(x)) for x in query])
     rows = rows.withColumn("score", F.round(cosine(F.col("embedding"), q), 6))
-    return rows.filter(F.col("score") >= threshold).orderBy(F.desc("score"), "vec_id").limit(k)
+    rows = rows.filter(F.col("score") >= threshold)
+    return rows if k is None else rows.orderBy(F.desc("score"), "vec_id").limit(k)
 
 
 def query_of(chunks: DataFrame, vec_id: int) -> list[float]:
