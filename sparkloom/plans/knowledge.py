@@ -64,10 +64,9 @@ def validate_refs(spark, folder):
     return V.validate_references(_resolved(spark, folder), "task")
 
 
-@query(f"WITH {TASKS}, {NOTED} SELECT id, replace(note, '@doc/src3/53.md', '@doc/moved/here.md') AS note FROM noted WHERE key % 25 = 3")
+@query(f"WITH {TASKS}, {NOTED} SELECT id, replace(note, '@doc/src3/53.md', '@doc/moved/here.md') AS note FROM noted")
 def reference_rewrite(spark, folder):
-    n = _noted(spark, folder).filter("key % 25 = 3")
-    return n.select("id", REFS.rewrite_doc_path(F.col("note"), "src3/53.md", "moved/here.md").alias("note"))
+    return _noted(spark, folder).select("id", REFS.rewrite_doc_path(F.col("note"), "src3/53.md", "moved/here.md").alias("note"))
 
 
 TASK_EDGES = """te AS (SELECT id AS source, parent AS target, 'parent' AS relation, 'field' AS origin, 'task' AS target_kind FROM tasks WHERE parent != ''
@@ -82,11 +81,11 @@ def edge_dedup(spark, folder):
     return G.dedup(e.unionByName(extra))
 
 
-BFS = f"""WITH RECURSIVE {EDGES}, steps AS (SELECT source AS near, target AS far, source, target, relation FROM edges UNION ALL SELECT target, source, source, target, relation FROM edges),
+BFS = f"""WITH {EDGES.replace('edges AS (', 'edges AS MATERIALIZED (', 1)}, steps AS MATERIALIZED (SELECT source AS near, target AS far, source, target, relation FROM edges UNION ALL SELECT target, source, source, target, relation FROM edges),
   root AS (SELECT 'task/14' AS node),
-  l1 AS (SELECT s.*, 1 AS depth FROM steps s JOIN root ON s.near = root.node), f1 AS (SELECT DISTINCT far AS node FROM l1 EXCEPT SELECT node FROM root),
-  l2 AS (SELECT s.*, 2 AS depth FROM steps s JOIN f1 ON s.near = f1.node), s2 AS (SELECT node FROM root UNION SELECT node FROM f1), f2 AS (SELECT DISTINCT far AS node FROM l2 EXCEPT SELECT node FROM s2),
-  l3 AS (SELECT s.*, 3 AS depth FROM steps s JOIN f2 ON s.near = f2.node)"""
+  l1 AS MATERIALIZED (SELECT s.*, 1 AS depth FROM steps s JOIN root ON s.near = root.node), f1 AS MATERIALIZED (SELECT DISTINCT far AS node FROM l1 EXCEPT SELECT node FROM root),
+  l2 AS MATERIALIZED (SELECT s.*, 2 AS depth FROM steps s JOIN f1 ON s.near = f1.node), s2 AS (SELECT node FROM root UNION SELECT node FROM f1), f2 AS MATERIALIZED (SELECT DISTINCT far AS node FROM l2 EXCEPT SELECT node FROM s2),
+  l3 AS MATERIALIZED (SELECT s.*, 3 AS depth FROM steps s JOIN f2 ON s.near = f2.node)"""
 
 
 @query(BFS + " SELECT source, target, relation, depth FROM l1 UNION ALL SELECT source, target, relation, depth FROM l2 UNION ALL SELECT source, target, relation, depth FROM l3")
@@ -132,31 +131,33 @@ def knowledge_graph(spark, folder):
     return G.knowledge_graph(nodes, G.task_edges(t))
 
 
-LOOPS = "loops AS (SELECT id, CASE WHEN key % 100 = 30 THEN 'task-' || (key + 10) WHEN key % 100 = 40 THEN 'task-' || (key - 10) ELSE parent END AS parent, key FROM tasks WHERE key % 10 = 0 OR key % 3 = 0)"
+LOOPS = "loops AS (SELECT id, CASE WHEN key % 100 = 30 THEN 'task-' || (key + 10) WHEN key % 100 = 40 THEN 'task-' || (key - 10) ELSE parent END AS parent, key FROM tasks)"
 
 
 def _looped(spark, folder):
     k = F.col("key")
     name = lambda x: F.concat(F.lit("task-"), x.cast("string"))
     parent = F.when(k % 100 == 30, name(k + 10)).when(k % 100 == 40, name(k - 10)).otherwise(F.col("parent"))
-    return A.tasks(spark, folder).filter("key % 10 = 0 OR key % 3 = 0").withColumn("parent", parent)
+    return A.tasks(spark, folder).withColumn("parent", parent)
 
 
 @query(f"""WITH RECURSIVE {TASKS}, {LOOPS}, p AS (SELECT id, parent FROM loops WHERE parent != ''),
-  a(node, ancestor, steps) AS (SELECT id, parent, 1 FROM p UNION SELECT a.node, p.parent, a.steps + 1 FROM a JOIN p ON a.ancestor = p.id WHERE a.steps < 6) SELECT DISTINCT node FROM a WHERE node = ancestor""")
+  a(node, ancestor) AS (SELECT id, parent FROM p UNION SELECT a.node, p.parent FROM a JOIN p ON a.ancestor = p.id),
+  endless AS (SELECT node FROM a WHERE node = ancestor UNION SELECT node FROM a WHERE ancestor IN (SELECT node FROM a WHERE node = ancestor)) SELECT node FROM endless""")
 def cycle_detect(spark, folder):
     return G.cycles(_looped(spark, folder).filter("parent != ''").select("id", "parent"))
 
 
 @query(f"""WITH RECURSIVE {TASKS}, {LOOPS}, p AS (SELECT id, parent FROM loops WHERE parent != ''),
   v AS (SELECT l.id, CASE WHEN l.key % 50 = 0 THEN '' ELSE t.title END AS title, CASE WHEN l.key % 70 = 0 THEN 'paused' WHEN l.key % 90 = 0 THEN '' ELSE t.status END AS status, t.priority, CASE WHEN l.key % 30 = 6 THEN ['a', 'b', 'a'] ELSE t.labels END AS labels, l.parent, t.spec FROM loops l JOIN tasks t ON l.id = t.id),
-  a(node, ancestor, steps) AS (SELECT id, parent, 1 FROM p UNION SELECT a.node, p.parent, a.steps + 1 FROM a JOIN p ON a.ancestor = p.id WHERE a.steps < 6)
+  a(node, ancestor) AS (SELECT id, parent FROM p UNION SELECT a.node, p.parent FROM a JOIN p ON a.ancestor = p.id),
+  endless AS (SELECT node FROM a WHERE node = ancestor UNION SELECT node FROM a WHERE ancestor IN (SELECT node FROM a WHERE node = ancestor))
   SELECT 'task' AS entity, id, 'TASK_NO_TITLE' AS code, 'error' AS level FROM v WHERE title = ''
   UNION ALL SELECT 'task', id, 'TASK_NO_STATUS', 'warning' FROM v WHERE status = ''
   UNION ALL SELECT 'task', id, 'TASK_INVALID_STATUS', 'warning' FROM v WHERE status = 'paused'
   UNION ALL SELECT 'task', id, 'TASK_DUPLICATE_LABELS', 'info' FROM v WHERE len(labels) != len(list_distinct(labels))
   UNION ALL SELECT 'task', id, 'BROKEN_TASK_REF', 'error' FROM v WHERE parent != '' AND parent NOT IN (SELECT id FROM v)
-  UNION ALL SELECT DISTINCT 'task', node, 'TASK_CIRCULAR_PARENT', 'error' FROM a WHERE node = ancestor
+  UNION ALL SELECT 'task', node, 'TASK_CIRCULAR_PARENT', 'error' FROM endless
   UNION ALL SELECT 'task', id, 'BROKEN_DOC_REF', 'warning' FROM v WHERE spec != '' AND spec NOT IN ('specs/0', 'specs/4')""")
 def validate_tasks(spark, folder):
     k = F.col("key")
@@ -174,7 +175,7 @@ def validate_memories_and_docs(spark, folder):
 
 
 TIMERS = "timers AS (SELECT DISTINCT 'task-' || user_id AS task_id FROM events WHERE event_type = 'signup')"
-OPEN = """up(node, ancestor, steps) AS (SELECT id, parent, 1 FROM tasks WHERE parent != '' UNION SELECT up.node, t.parent, up.steps + 1 FROM up JOIN tasks t ON up.ancestor = t.id WHERE t.parent != '' AND up.steps < 6),
+OPEN = """up(node, ancestor) AS (SELECT id, parent FROM tasks WHERE parent != '' UNION SELECT up.node, t.parent FROM up JOIN tasks t ON up.ancestor = t.id WHERE t.parent != ''),
   unfinished AS (SELECT ancestor AS id, list_sort(list(DISTINCT node)) AS descendants FROM up JOIN tasks t ON up.node = t.id WHERE t.status != 'done' AND NOT t.archived AND node != ancestor GROUP BY ancestor)"""
 
 
@@ -193,13 +194,76 @@ def archive_eligibility(spark, folder):
     return L.archive_eligibility(A.tasks(spark, folder), timers, "2001-08-01")
 
 
+@query(f"""WITH RECURSIVE {TASKS}, {OPEN}, {TIMERS}, r AS (SELECT t.id, t.archived, CASE WHEN archived THEN 'archived' WHEN status = 'done' THEN 'done' ELSE 'active' END AS before, CASE WHEN archived THEN ['already_archived'] ELSE list_concat(list_filter([
+    CASE WHEN status != 'done' THEN 'not_done' END, CASE WHEN m.task_id IS NOT NULL THEN 'active_timer' END], lambda x: x IS NOT NULL),
+    list_transform(coalesce(u.descendants, CAST([] AS VARCHAR[])), lambda x: 'unfinished_descendant')) END AS reasons FROM tasks t LEFT JOIN unfinished u ON t.id = u.id LEFT JOIN timers m ON t.id = m.task_id)
+  SELECT id, 'archive' AS operation, archived OR len(reasons) = 0 AS eligible, archived OR len(reasons) = 0 AS changed, before, CASE WHEN archived OR len(reasons) = 0 THEN 'archived' ELSE before END AS after, array_to_string(reasons, ',') AS reasons FROM r""")
+def archive_batch(spark, folder):
+    """Carried out; archived tasks have no time here, which they get."""
+    timers = A.table(spark, folder, "events").filter("event_type = 'signup'").select(F.concat(F.lit("task-"), F.col("user_id").cast("string")).alias("task_id"))
+    return L.archived_batch(A.tasks(spark, folder), timers, "2001-08-01", execute=True).drop("archived_at")
+
+
+@query(f"""WITH {TASKS}, ids AS (SELECT DISTINCT 'task-' || user_id AS id FROM events), j AS (SELECT i.id, t.status AS s, CASE WHEN archived THEN 'archived' WHEN status = 'done' THEN 'done' WHEN t.id IS NOT NULL THEN 'active' END AS before FROM ids i LEFT JOIN tasks t ON i.id = t.id)
+  SELECT id, 'reopen' AS operation, before IN ('done', 'archived') AND before IS NOT NULL AS eligible, before IN ('done', 'archived') AND before IS NOT NULL AS changed, before, CASE WHEN before IN ('done', 'archived') THEN 'active' ELSE before END AS after,
+    CASE WHEN before IN ('done', 'archived') THEN 'todo' ELSE s END AS status, CASE WHEN before IS NULL THEN 'not_found' WHEN before = 'active' THEN 'already_active' ELSE '' END AS reasons FROM j""")
+def reopen_batch(spark, folder):
+    ids = A.table(spark, folder, "events").select(F.concat(F.lit("task-"), F.col("user_id").cast("string")).alias("id"))
+    return L.reopened_batch(A.tasks(spark, folder), ids, execute=True)
+
+
+@query(f"""WITH {TASKS}, ids AS (SELECT DISTINCT 'task-' || user_id AS id FROM events), stones AS (SELECT DISTINCT 'task-' || user_id AS id, CASE WHEN user_id % 2 = 0 THEN 'spam' ELSE 'other' END AS reason FROM events WHERE event_type = 'error'),
+  j AS (SELECT i.id, s.reason, CASE WHEN archived THEN 'archived' WHEN status = 'done' THEN 'done' WHEN t.id IS NOT NULL THEN 'active' END AS life FROM ids i LEFT JOIN tasks t ON i.id = t.id LEFT JOIN stones s ON i.id = s.id),
+  k AS (SELECT *, CASE WHEN life IS NULL AND reason IS NULL THEN 'not_found' WHEN reason = 'other' THEN 'tombstone_conflict' WHEN life IS NULL THEN 'already_deleted' ELSE '' END AS why, CASE WHEN life IS NOT NULL OR reason IS NOT NULL THEN coalesce(life, 'archived') END AS before FROM j)
+  SELECT id, 'hard_delete' AS operation, why IN ('', 'already_deleted') AS eligible, why = '' AS changed, before, CASE WHEN why = '' THEN 'archived' ELSE before END AS after, why AS reasons FROM k""")
+def delete_batch(spark, folder):
+    e = A.table(spark, folder, "events")
+    name = F.concat(F.lit("task-"), F.col("user_id").cast("string")).alias("id")
+    stones = e.filter("event_type = 'error'").select(name, F.lit("ops").alias("actor"), F.when(F.col("user_id") % 2 == 0, "spam").otherwise("other").alias("reason")).distinct()
+    return L.deleted_batch(A.tasks(spark, folder), stones, e.select(name), "ops", "spam", confirmed=True, execute=True)
+
+
+@query(f"""WITH {MEMORIES}, {TASKS}, {DOCS}, refs AS (SELECT id, unnest(['task', 'memory', 'doc', 'decision']) AS type, unnest(['task-' || conv_id, conv_id || '-' || (turn + 1), 'src' || (turn % 20) || '/' || conv_id, 'd' || (conv_id % 5)]) AS target FROM memories),
+  there AS (SELECT 'task' AS type, id AS target, false AS old FROM tasks UNION ALL SELECT 'memory', id, false FROM memories UNION ALL SELECT 'doc', path, false FROM docs UNION ALL SELECT 'decision', 'd' || i, i = 2 FROM range(3) r(i)),
+  j AS (SELECT r.id, t.old FROM refs r LEFT JOIN there t ON r.type = t.type AND r.target = t.target)
+  SELECT 'memory' AS entity, id, CASE WHEN old IS NULL THEN 'MEMORY_BROKEN_SOURCE_REF' ELSE 'MEMORY_SOURCE_DECISION_SUPERSEDED' END AS code, 'warning' AS level FROM j WHERE old IS NULL OR old""")
+def validate_memory_sources(spark, folder):
+    text = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts])
+    conv, turn = F.col("conv_id"), F.col("turn")
+    m = A.memories(spark, folder).select("id", F.array(text("@task/task-", conv), text("@memory/", conv, "-", turn + 1), text("@doc/src", turn % 20, "/", conv), text("@decision/d", conv % 5, "."), F.lit("by word of mouth")).alias("sources"))
+    decisions = spark.createDataFrame([("d0", "accepted", []), ("d1", "accepted", []), ("d2", "superseded", ["d1"])], "id string, status string, superseded_by array<string>")
+    return V.validate_memory_sources(m, A.tasks(spark, folder), A.docs(spark, folder), decisions)
+
+
+@query(f"""WITH {DOCS}, d AS (SELECT *, doc_id % 7 = 0 AS imported, doc_id % 5 = 0 AS bad FROM docs)
+  SELECT 'doc' AS entity, path AS id, code, level FROM (SELECT path, unnest(CASE WHEN bad THEN ['DOC_PARSE_ERROR'] ELSE list_filter(['DOC_NO_DESCRIPTION', CASE WHEN title = '' THEN 'DOC_NO_TITLE' END, CASE WHEN trim(content, ' ') = '' THEN 'DOC_NO_CONTENT' END], lambda x: x IS NOT NULL) END) AS code FROM d WHERE NOT imported)
+  JOIN (VALUES ('DOC_PARSE_ERROR', 'error'), ('DOC_NO_TITLE', 'warning'), ('DOC_NO_DESCRIPTION', 'info'), ('DOC_NO_CONTENT', 'info')) v(code, level) USING (code)""")
+def validate_imported_docs(spark, folder):
+    d = A.docs(spark, folder).withColumns({"imported": F.col("doc_id") % 7 == 0, "parse_error": F.when(F.col("doc_id") % 5 == 0, "unclosed fence")})
+    return V.validate_docs(d)
+
+
+@query(f"""WITH {DOCS}, t AS (SELECT 'tpl-' || doc_id AS id, doc_id AS k, path FROM docs)
+  SELECT 'template' AS entity, id, 'TEMPLATE_NO_NAME' AS code, 'error' AS level FROM t WHERE k % 11 = 0
+  UNION ALL SELECT 'template', id, 'TEMPLATE_FILE_MISSING', 'error' FROM t WHERE k % 4 = 0 UNION ALL SELECT 'template', id, 'TEMPLATE_PARSE_ERROR', 'error' FROM t WHERE k % 4 != 0 AND k % 6 = 0
+  UNION ALL SELECT 'template', id, 'TEMPLATE_PATH_ERROR', 'error' FROM t WHERE k % 5 = 0 UNION ALL SELECT 'template', id, 'BROKEN_DOC_REF', 'warning' FROM t WHERE k % 3 = 0""")
+def validate_templates(spark, folder):
+    d, k = A.docs(spark, folder), F.col("doc_id")
+    one = F.struct(F.lit("main.hbs").alias("template"), F.when(k % 5 == 0, "src/{{name").otherwise("src/{{name}}.py").alias("path"))
+    name = F.concat(F.lit("tpl-"), k.cast("string")).alias("id")
+    t = d.select(name, F.when(k % 11 == 0, "").otherwise("t").alias("name"), F.array(one).alias("actions"), F.when(k % 3 == 0, "gone").otherwise(F.col("path")).alias("doc"))
+    files = d.filter(k % 4 != 0).select(name, F.lit("main.hbs").alias("name"), F.when(k % 6 == 0, "{{#each x}}{{y}}").otherwise("{{#if x}}{{y}}{{/if}}").alias("content"))
+    return V.validate_templates(t, files, d)
+
+
 NEAR = f"""WITH {MEMORIES}, s AS (SELECT id, lower(category) AS category, trim(regexp_replace(lower(title), '\\s+', ' ', 'g')) AS title, trim(regexp_replace(lower(content), '\\s+', ' ', 'g')) AS content,
    list_distinct(list_filter(regexp_extract_all(lower(title), '[\\p{{L}}\\p{{Nd}}]+'), lambda t: strlen(t) >= 3)) AS a1, list_distinct(list_filter(regexp_extract_all(lower(content), '[\\p{{L}}\\p{{Nd}}]+'), lambda t: strlen(t) >= 3)) AS a2,
    list_distinct(list_filter(regexp_extract_all(lower(title || ' ' || category || ' ' || tags[1] || ' ' || content), '[\\p{{L}}\\p{{Nd}}]+'), lambda t: strlen(t) >= 3)) AS a3 FROM memories),
+  h AS (SELECT *, min(id) OVER (PARTITION BY category, title, content, list_sort(a3)) AS head FROM s),
   p AS (SELECT x.id AS a, y.id AS b, x.category = y.category AS same, x.title != '' AND x.title = y.title AS st, x.content != '' AND x.content = y.content AS sc,
    CASE WHEN len(x.a1) = 0 OR len(y.a1) = 0 THEN 0 ELSE len(list_intersect(x.a1, y.a1)) / (len(x.a1) + len(y.a1) - len(list_intersect(x.a1, y.a1)))::DOUBLE END AS j1,
    CASE WHEN len(x.a2) = 0 OR len(y.a2) = 0 THEN 0 ELSE len(list_intersect(x.a2, y.a2)) / (len(x.a2) + len(y.a2) - len(list_intersect(x.a2, y.a2)))::DOUBLE END AS j2,
-   CASE WHEN len(x.a3) = 0 OR len(y.a3) = 0 THEN 0 ELSE len(list_intersect(x.a3, y.a3)) / (len(x.a3) + len(y.a3) - len(list_intersect(x.a3, y.a3)))::DOUBLE END AS j3 FROM s x JOIN s y ON x.id < y.id),
+   CASE WHEN len(x.a3) = 0 OR len(y.a3) = 0 THEN 0 ELSE len(list_intersect(x.a3, y.a3)) / (len(x.a3) + len(y.a3) - len(list_intersect(x.a3, y.a3)))::DOUBLE END AS j3 FROM h x JOIN h y ON x.id < y.id AND (x.id = x.head AND y.id = y.head OR x.id = y.head)),
   q AS (SELECT *, greatest(CASE WHEN st THEN 0.98 ELSE 0 END, CASE WHEN sc THEN 1.0 ELSE 0 END, j1, j2, j3) AS best FROM p),
   pairs AS (SELECT a, b, round(CASE WHEN same AND best > 0 THEN least(1.0, best + 0.05) ELSE best END, 6) AS score,
    array_to_string(list_filter([CASE WHEN st THEN 'title' END, CASE WHEN sc THEN 'content' END, CASE WHEN j1 >= 0.72 THEN 'title_tokens' END, CASE WHEN j2 >= 0.72 THEN 'content_tokens' END, CASE WHEN j3 >= 0.72 THEN 'combined' END, CASE WHEN same AND best > 0 THEN 'category' END], lambda x: x IS NOT NULL), ',') AS reasons FROM q)"""
@@ -274,10 +338,10 @@ def memory_duplicates(spark, folder):
     return M.duplicate_capture(m, m)
 
 
-@query(f"WITH {MEMORIES} SELECT id, octet_length(encode(trim(regexp_replace(lower(content), '\\s+', ' ', 'g')))) < 3 OR len(regexp_extract_all(lower(content), '[a-z0-9]+')) = 0 AS low FROM memories WHERE len(regexp_extract_all(lower(content), '[a-z0-9]+')) NOT IN (1, 2)")
+@query(f"""WITH {MEMORIES}, p AS (SELECT id, trim(regexp_replace(lower(content), '\\s+', ' ', 'g')) AS p, regexp_extract_all(lower(content), '[a-z0-9]+') AS w FROM memories)
+  SELECT id, octet_length(encode(p)) < 3 OR len(w) = 0 OR (len(w) <= 2 AND list_has_all({M.LOW_SIGNAL}, w)) AS low FROM p""")
 def prompt_low_signal(spark, folder):
-    m = A.memories(spark, folder).filter(~F.size(X.tokens("content")).isin(1, 2))
-    return m.select("id", M.low_signal("content").alias("low"))
+    return A.memories(spark, folder).select("id", M.low_signal("content").alias("low"))
 
 
 @query(f"WITH {AUDIT}, v AS (SELECT DISTINCT 'nation/' || n_nationkey AS node FROM nation), {EDGES} SELECT DISTINCT node FROM v WHERE node IN (SELECT target FROM edges WHERE relation = 'parent' AND starts_with(source, 'customer/')) AND node IN (SELECT 'nation/' || c_nationkey FROM customer)")

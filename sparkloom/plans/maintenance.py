@@ -46,7 +46,18 @@ def document_chunks(spark, folder):
     return C.document_chunks(pages, 256)
 
 
-@query()
+EST = "((strlen({0}) + 3) // 4)"
+
+
+@query(rf"""WITH RECURSIVE {MEMORIES}, m AS (SELECT id, title, replace(content, chr(10), chr(10) || chr(10)) AS x FROM memories),
+  b AS (SELECT id, {PARAS} AS p FROM m WHERE {EST.format("x")} > 64 AND trim(x) != ''),
+  f AS (SELECT id, p, 1 AS i, 1 AS n, p[1] AS content, {EST.format("p[1]")} AS tokens FROM b
+    UNION ALL SELECT id, p, i + 1, CASE WHEN closed THEN n + 1 ELSE n END, CASE WHEN closed THEN p[i + 1] ELSE content || chr(10) || chr(10) || p[i + 1] END, CASE WHEN closed THEN 0 ELSE tokens END + {EST.format("p[i + 1]")}
+    FROM (SELECT *, tokens + {EST.format("p[i + 1]")} > 64 AS closed FROM f WHERE i < len(p))),
+  parts AS (SELECT id, 'title' AS part, title AS content, {EST.format("title")} AS tokens FROM m WHERE trim(title) != ''
+    UNION ALL SELECT id, 'body', x, {EST.format("x")} FROM m WHERE trim(x) != '' AND {EST.format("x")} <= 64
+    UNION ALL SELECT id, CASE n WHEN 1 THEN 'body' ELSE 'body:' || n END, arg_max(content, i), arg_max(tokens, i) FROM f GROUP BY id, n)
+  SELECT 'memory:' || id || ':' || part AS chunk_id, id, part, content, tokens::INTEGER AS tokens FROM parts""")
 def memory_chunks(spark, folder):
     m = A.memories(spark, folder).withColumn("body", F.replace("content", F.lit("\n"), F.lit("\n\n")))
     return C.field_chunks(m.select("id", "title", "body"), "memory", ["title", "body"], 64)
@@ -165,3 +176,10 @@ def code_search(spark, folder):
     kind = F.lower("p_type")
     s = p.select(F.col("p_partkey").alias("id"), F.replace("p_name", F.lit(" "), F.lit("_")).alias("name"), F.when(F.col("p_size") % 2 == 0, "function").otherwise("struct").alias("kind"), kind.alias("container"), F.concat("p_name", F.lit("("), F.lower("p_brand"), F.lit(")")).alias("signature"), F.concat(F.lit("pkg/"), kind, F.lit("/file"), (F.col("p_partkey") % 50).cast("string"), F.lit(".go")).alias("path"), kind.alias("package"), F.when(F.col("p_partkey") % 9 == 0, "checks the session token").otherwise("").alias("comments"), F.when(F.col("p_partkey") % 4 == 0, "calls ring").otherwise("").alias("relationships"))
     return Q.code_search(s, "ring token", 20).select("id", "score")
+
+
+@query(f"""WITH {DOCS} SELECT path, '# ' || title || chr(10) || 'intro' || chr(10) || '## Notes' || chr(10) || 'new of all' || chr(10) || chr(10) || '## Later' || chr(10) || 'end' AS body, true AS replaced FROM docs""")
+def section_replace(spark, folder):
+    """A section with a deeper one and a blank line at its end, in every document."""
+    d = A.docs(spark, folder).select("path", F.concat_ws("\n", F.concat(F.lit("# "), "title"), F.lit("intro"), F.lit("## My notes"), F.col("path"), F.lit("### Deeper"), F.lit("x"), F.lit(""), F.lit("## Later"), F.lit("end")).alias("body"))
+    return C.replace_section(d, "body", "## notes", "## Notes\nnew of all")

@@ -105,11 +105,10 @@ def dashboard_counts(spark, folder):
 
 
 @query(f"""WITH {TASKS}, s AS (SELECT CAST(unnest(generate_series(DATE '1998-06-09', DATE '1998-06-15', INTERVAL 1 DAY)) AS DATE) AS day),
-  c AS (SELECT CAST(created_at AS DATE) AS day, count(*) AS n FROM tasks WHERE key % 100 = 1 GROUP BY 1), u AS (SELECT CAST(updated_at AS DATE) AS day, count(*) AS n FROM tasks WHERE key % 100 = 1 GROUP BY 1)
+  c AS (SELECT CAST(created_at AS DATE) AS day, count(*) AS n FROM tasks GROUP BY 1), u AS (SELECT CAST(updated_at AS DATE) AS day, count(*) AS n FROM tasks GROUP BY 1)
   SELECT strftime(s.day, '%Y-%m-%d') AS day, coalesce(c.n, 0) AS created, coalesce(u.n, 0) AS updated FROM s LEFT JOIN c ON s.day = c.day LEFT JOIN u ON s.day = u.day""")
 def dashboard_histogram(spark, folder):
-    """The tasks of one board (every hundredth key), so that some days have none."""
-    return R.day_histogram(A.tasks(spark, folder).filter("key % 100 = 1"), "1998-06-15").withColumn("day", F.col("day").cast("string"))
+    return R.day_histogram(A.tasks(spark, folder), "1998-06-15").withColumn("day", F.col("day").cast("string"))
 
 
 @query(f"WITH {ENTRIES} SELECT strftime(CAST(started_at AS DATE) - CAST(dayofweek(started_at) AS INTEGER), '%Y-%m-%d') AS week, sum(duration)::BIGINT AS seconds FROM entries GROUP BY 1")

@@ -9,11 +9,17 @@ from ..operators import fusion as H
 from ..operators import lexical as K
 from ..operators import vector as V
 from ..sources import adapters as A
+from ..tables import numbered
 from .registry import CHUNKS, DOCS, MEMORIES, TASKS, query
 
 
 def _bm25_sql(corpus: str, fields: dict[str, dict[str, float]], text: str, limit: int = 20) -> str:
-    """BM25 over a ``corpus(type, id, title, path, category, tags, f_...)``; the fields'
+    ctes, rows = bm25_parts(corpus, fields, text)
+    return f"WITH {ctes} {rows} ORDER BY score DESC, list_position(['doc', 'decision', 'task', 'memory'], type), title, id LIMIT {limit}"
+
+
+def bm25_parts(corpus: str, fields: dict[str, dict[str, float]], text: str) -> tuple[str, str]:
+    """Common tables and the query of BM25 over a ``corpus(type, id, title, path, category, tags, f_...)``; the fields'
     weights by type."""
     every = X.query_tokens(text)
     terms = list(dict.fromkeys(every))
@@ -33,11 +39,10 @@ def _bm25_sql(corpus: str, fields: dict[str, dict[str, float]], text: str, limit
     if len(every) > 1:
         boost += " + (" + " + ".join(f"CASE WHEN regexp_matches(lower(title), '{word(t)}') THEN 1 ELSE 0 END" for t in terms) + f") / {float(len(terms))} * 6.0"
     boost += " + CASE WHEN bm25 > 0 THEN CASE type WHEN 'doc' THEN 0.20 WHEN 'task' THEN 0.30 WHEN 'memory' THEN 0.05 WHEN 'decision' THEN 0.18 ELSE 0.0 END ELSE 0.0 END"
-    return f"""WITH {corpus}, k AS (SELECT *, {toks} FROM corpus), c AS (SELECT *, {tf} FROM k),
-s AS (SELECT count(*) AS docs, {stats} FROM c), b AS (SELECT c.*, {score} AS bm25 FROM c, s),
-r AS (SELECT type, id, title, bm25, {boost} AS boost FROM b)
-SELECT type, id, title, round(bm25, 6) AS bm25, round(boost::DOUBLE, 6) AS boost, round(bm25 + boost, 6) AS score FROM r WHERE round(bm25 + boost, 6) > 0
-ORDER BY score DESC, list_position(['doc', 'decision', 'task', 'memory'], type), title, id LIMIT {limit}"""
+    ctes = f"""{corpus}, k AS (SELECT *, {toks} FROM corpus), tf AS (SELECT *, {tf} FROM k),
+st AS (SELECT count(*) AS docs, {stats} FROM tf), sc AS (SELECT tf.*, {score} AS bm25 FROM tf, st),
+bo AS (SELECT type, id, title, bm25, {boost} AS boost FROM sc)"""
+    return ctes, "SELECT type, id, title, round(bm25, 6) AS bm25, round(boost::DOUBLE, 6) AS boost, round(bm25 + boost, 6) AS score FROM bo WHERE round(bm25 + boost, 6) > 0"
 
 
 DOC_CORPUS = DOCS + """, corpus AS (SELECT 'doc' AS type, path AS id, title, path, '' AS category, tags, title AS f_title, path AS f_path,
@@ -148,7 +153,7 @@ ROLLUP = COSINE + """, h AS (SELECT vec_id, type, source, score + CASE WHEN type
 
 def _rolled(spark, folder):
     c = A.chunks(spark, folder)
-    scored = V.top_k(c, V.query_of(c, 0), 1_000_000, 0.0).withColumn("score", F.col("score") + V.header_boost("part 2"))
+    scored = V.top_k(c, V.query_of(c, 0), None, 0.0).withColumn("score", F.col("score") + V.header_boost("part 2"))
     return V.roll_up(scored)
 
 
@@ -164,14 +169,14 @@ def vector_normalise(spark, folder):
 
 
 FUSED = ROLLUP + """, a AS (SELECT type, source, row_number() OVER (ORDER BY score DESC, type, source) AS s FROM rolled),
-  kw AS (SELECT type, source, max(vec_id % 97) * 1.0 AS score FROM chunks WHERE vec_id % 2 = 0 GROUP BY type, source),
+  kw AS (SELECT type, source, max(vec_id % 97) * 1.0 AS score FROM chunks GROUP BY type, source),
   b AS (SELECT type, source, row_number() OVER (ORDER BY score DESC, type, source) AS k FROM kw),
   f AS (SELECT coalesce(a.type, b.type) AS type, coalesce(a.source, b.source) AS source, s, k, coalesce(1.0 / (60 + s), 0) + coalesce(1.0 / (60 + k), 0) AS raw FROM a FULL JOIN b ON a.type = b.type AND a.source = b.source),
   fused AS (SELECT type, source, round(raw / (SELECT max(raw) FROM f), 6) AS score, CASE WHEN s IS NOT NULL AND k IS NOT NULL THEN 'semantic,keyword' WHEN s IS NOT NULL THEN 'semantic' ELSE 'keyword' END AS matched_by FROM f)"""
 
 
 def _fused(spark, folder):
-    words = A.chunks(spark, folder).filter("vec_id % 2 = 0").groupBy("type", "source").agg((F.max(F.col("vec_id") % 97) * 1.0).alias("score"))
+    words = A.chunks(spark, folder).groupBy("type", "source").agg((F.max(F.col("vec_id") % 97) * 1.0).alias("score"))
     return H.reciprocal_rank_fusion(_rolled(spark, folder), words, ["type", "source"])
 
 
@@ -199,19 +204,17 @@ def rerank_tasks(spark, folder):
 
 
 MIX = f"""WITH {TASKS}, mix AS (SELECT row_number() OVER (ORDER BY score DESC, type, id) AS place, * FROM (
-   SELECT 'task' AS type, id, title, ((key % 13) * 1.0)::DOUBLE AS score, CASE WHEN archived THEN 'archived' WHEN status = 'done' THEN 'done' ELSE 'active' END AS lifecycle FROM tasks WHERE key < 200
-   UNION ALL SELECT 'doc', 'doc-' || doc_id, '', ((doc_id % 11) * 1.0)::DOUBLE, '' FROM documents WHERE doc_id < 100))"""
+   SELECT 'task' AS type, id, title, ((key % 13) * 1.0)::DOUBLE AS score, CASE WHEN archived THEN 'archived' WHEN status = 'done' THEN 'done' ELSE 'active' END AS lifecycle FROM tasks
+   UNION ALL SELECT 'doc', 'doc-' || doc_id, '', ((doc_id % 11) * 1.0)::DOUBLE, '' FROM documents))"""
 
 
 @query(MIX + """, t AS (SELECT *, row_number() OVER (ORDER BY CASE lifecycle WHEN 'active' THEN 0 WHEN 'done' THEN 1 ELSE 2 END, score DESC, title, id) AS nth FROM mix WHERE type = 'task'),
   p AS (SELECT place, row_number() OVER (ORDER BY place) AS nth FROM mix WHERE type = 'task')
   SELECT place, type, id, title, score, lifecycle FROM mix WHERE type != 'task' UNION ALL SELECT p.place, type, id, title, score, lifecycle FROM t JOIN p ON t.nth = p.nth""")
 def historical_regroup(spark, folder):
-    from pyspark.sql import Window
-
     life = F.when(F.col("archived"), "archived").when(F.col("status") == "done", "done").otherwise("active")
-    tasks = A.tasks(spark, folder).filter("key < 200").select(F.lit("task").alias("type"), "id", "title", ((F.col("key") % 13) * 1.0).alias("score"), life.alias("lifecycle"))
-    docs = A.table(spark, folder, "documents").filter("doc_id < 100").select(F.lit("doc").alias("type"), F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("id"), F.lit("").alias("title"), ((F.col("doc_id") % 11) * 1.0).alias("score"), F.lit("").alias("lifecycle"))
+    tasks = A.tasks(spark, folder).select(F.lit("task").alias("type"), "id", "title", ((F.col("key") % 13) * 1.0).alias("score"), life.alias("lifecycle"))
+    docs = A.table(spark, folder, "documents").select(F.lit("doc").alias("type"), F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("id"), F.lit("").alias("title"), ((F.col("doc_id") % 11) * 1.0).alias("score"), F.lit("").alias("lifecycle"))
     mix = tasks.unionByName(docs)
-    mix = mix.withColumn("place", F.row_number().over(Window.orderBy(F.desc("score"), "type", "id")).cast("long")).select("place", *mix.columns)
+    mix = numbered(mix, [F.desc("score"), "type", "id"], "place").select("place", *mix.columns)
     return H.regroup_tasks(mix)

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import lexical as K
 from ..operators import search as S
 from ..operators import vector as V
 from ..operators import views as W
 from ..sources import adapters as A
+from .maintenance import DIFF
 from .registry import AUDIT, CHUNKS, DOCS, EDGES, ENTRIES, MEMORIES, TASKS, query
-from .retrieval import FUSED
+from .retrieval import COSINE, FUSED, MIXED_CORPUS, bm25_parts
 
 
 def _vectors(spark, folder):
@@ -17,7 +19,16 @@ def _vectors(spark, folder):
     return c, V.query_of(c, 0)
 
 
-@query()
+WORDS = bm25_parts(MIXED_CORPUS, {k: K.WEIGHTS[k] for k in ("doc", "task", "memory")}, "building order urgent")
+
+
+@query(f"""WITH {WORDS[0]}, kw AS (SELECT type, id AS source, score FROM ({WORDS[1]})), {COSINE.removeprefix("WITH ")},
+  n AS (SELECT *, row_number() OVER (PARTITION BY type, source ORDER BY score DESC, vec_id) AS n FROM s WHERE score >= 0.3),
+  rolled AS (SELECT type, source, round(sum(CASE WHEN n = 1 THEN score ELSE score * 0.1 END), 7) AS score FROM n WHERE n <= 3 GROUP BY type, source),
+  a AS (SELECT type, source, row_number() OVER (ORDER BY score DESC, type, source) AS s FROM rolled), b AS (SELECT type, source, row_number() OVER (ORDER BY score DESC, type, source) AS k FROM kw),
+  f AS (SELECT type, source, s, k, coalesce(1.0 / (60 + s), 0) + coalesce(1.0 / (60 + k), 0) AS raw FROM a FULL JOIN b USING (type, source)),
+  g AS (SELECT type, source, round(raw / (SELECT max(raw) FROM f), 6) AS score, CASE WHEN s IS NOT NULL AND k IS NOT NULL THEN 'semantic,keyword' WHEN s IS NOT NULL THEN 'semantic' ELSE 'keyword' END AS matched_by FROM f)
+  SELECT type, source, score, matched_by, row_number() OVER (ORDER BY score DESC, type, source)::INTEGER AS place FROM g ORDER BY score DESC, type, source LIMIT 20""")
 def hybrid_search(spark, folder):
     """Keyword and vector results of all kinds as one list."""
     c, q = _vectors(spark, folder)
@@ -125,7 +136,8 @@ def symbol_kinds(spark, folder):
     return e.select("event_id", W.symbol_kind("k").alias("kind"), W.severity("s").alias("severity"))
 
 
-@query()
+@query(f"""WITH {DIFF}, r AS (SELECT entity, field, arg_max(new, version) AS now_, coalesce(arg_max(new, version) FILTER (version <= 2), '') AS then_ FROM diff GROUP BY entity, field)
+  SELECT entity, field, now_ AS old, then_ AS new FROM r WHERE now_ != then_""")
 def restored_states(spark, folder):
     """The changes that bring every entity back to its second revision."""
     from ..operators.history import field_diff
