@@ -1,10 +1,9 @@
 """Operator 7: a gated recurrent language model in numpy, trained and applied by Spark.
 
-Counts.  Whole texts become blocks of a few million tokens: each block holds its
+Counts.  Whole texts become blocks of about a million tokens: each block holds its
 documents' tokens as numbers of the block's own sorted word list (64-bit hashes).
-Only (word, block) pairs are shuffled: a window by word sums the training counts over
-all blocks, so no hot word gathers more than a row for each block, and the totals go
-back to the blocks.
+Only (word, block) pairs are shuffled: training counts are summed by word over all
+blocks, and the totals are joined back to the blocks' words.
 
 Model.  The output softmax is factored: first a class, then the word within it.  The
 most frequent words (more of them the larger the vocabulary, see ``head_size``) form
@@ -16,10 +15,10 @@ are gated recurrent units.
 Training is data-parallel: in each round every task runs truncated backpropagation
 through windows of its documents (state carried from window to window) from the
 common weights, and the tasks' weights are averaged by their tokens.  Every round takes
-its own share of the training documents (1 in ``rounds``), by hash, from all blocks
-alike, so that over all rounds each document trains once.  A long document trains as
-stretches side by side; each starts from the state that the text before it leaves under
-the weights of the moment.  Scoring carries the state through each whole document.
+its own share of the training documents (1 in ``rounds``), by a hash of the row, from
+all blocks alike, so that over all rounds each document trains once.  A long document
+trains as stretches side by side; each starts from the state that the 64 tokens before
+it leave under the weights of the moment.  Scoring carries the state through each whole document.
 
 Cases: a null text is an empty one (its end token only); a null doc_id counts as the
 empty string and trains; repeated rows train and are scored as often as they come;
@@ -34,7 +33,7 @@ import math
 
 import numpy as np
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytesops as B
@@ -43,7 +42,9 @@ from . import common as C
 U = np.uint64
 END = U(0x5EED5EED5EED5EED)
 TAILS = 32
-BLOCK = "block long, doc_id array<{id}>, held array<boolean>, lens array<long>, tokens binary, words binary, tails binary, counts binary"
+#: Rows at a time of the class softmax, so that they stay in a core's cache.
+ROWS = 1024
+BLOCK = "block long, doc_id array<{id}>, held array<boolean>, lots array<long>, lens array<long>, tokens binary, words binary, tails binary, counts binary"
 
 
 def _squeeze(x: np.ndarray) -> bytes:
@@ -76,9 +77,10 @@ def _make_blocks(batches, most):
         train = np.repeat(~held, lens)
         counts = np.bincount(local[train], minlength=len(words)).astype(np.int64)
         ids = pa.concat_arrays([p[4] for p in parts])
-        cols = [pa.array([(pid << 32) + seq]), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), B.list_column(held, [len(held)], pa.bool_()), B.list_column(lens, [len(lens)], pa.int64())]
+        lots = np.concatenate([p[5] for p in parts])
+        cols = [pa.array([(pid << 32) + seq]), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), B.list_column(held, [len(held)], pa.bool_()), B.list_column(lots, [len(lots)], pa.int64()), B.list_column(lens, [len(lens)], pa.int64())]
         cols += [pa.array([_squeeze(x)], pa.binary()) for x in (local, words, tail[first], counts)]
-        return pa.RecordBatch.from_arrays(cols, ["block", "doc_id", "held", "lens", "tokens", "words", "tails", "counts"])
+        return pa.RecordBatch.from_arrays(cols, ["block", "doc_id", "held", "lots", "lens", "tokens", "words", "tails", "counts"])
 
     for batch in batches:
         for row, n, buf, off in B.pieces(batch):
@@ -91,7 +93,7 @@ def _make_blocks(batches, most):
             word[at] = B.span_hash(B.prefix(buf), starts, ends)
             tail[at] = buf[ends - 1] % TAILS if len(ends) else 0
             held = batch.column(1).slice(row, n).to_numpy(zero_copy_only=False).astype(bool)
-            parts.append((word, tail, lens, held, batch.column(0).slice(row, n)))
+            parts.append((word, tail, lens, held, batch.column(0).slice(row, n), batch.column(2).slice(row, n).to_numpy()))
             held_now += len(word)
             if held_now >= most:
                 done = close()
@@ -113,11 +115,36 @@ def _word_rows(batches):
             yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(np.full(n, r["block"])), pa.array(np.arange(n, dtype=np.int32)), pa.array(counts), pa.array(tails.astype(np.int32))], ["word", "block", "i", "n", "tail"])
 
 
+def _softmax(h: np.ndarray, own: np.ndarray, w: np.ndarray, b: np.ndarray, share: int | None):
+    """log P of each row's own column and, if ``share`` is given, the gradient of the
+    logits of a mean over that many rows."""
+    a, rows = h @ w, np.arange(len(own))
+    a += b
+    a -= a.max()
+    mine = a[rows, own]
+    e = np.exp(a)
+    s = e @ np.ones(e.shape[1], np.float32)
+    if s.min() < 1e-20:
+        # a row lies far below the largest: each by its own
+        shift = a.max(axis=1)
+        mine -= shift
+        e = np.exp(a - shift[:, None])
+        s = e.sum(axis=1)
+    out = mine - np.log(s)
+    if share is None:
+        return out, None
+    e *= 1 / (s[:, None] * share)
+    e[rows, own] -= 1 / share
+    return out, e
+
+
 class Model:
     """Weights by name; ``words`` are the sorted hashes of the head words."""
 
-    def __init__(self, head: list[tuple[int, int]], tails: np.ndarray, hidden: int, width: int, seed: int = 7):
-        # head: (hash, count) by falling count; tails: tokens of each tail class
+    def __init__(self, head: list[tuple[int, int]], tails: np.ndarray, hidden: int, width: int, recurrent: bool = True, seed: int = 7):
+        # head: (hash, count) by falling count; tails: tokens of each tail class; without
+        # recurrence only the last token tells what comes next
+        self.memory = np.float32(recurrent)
         rng, n = np.random.default_rng(seed), len(head)
         self.hidden, self.width, self.heads = hidden, width, -(-n // width)
         hashes, counts = np.array([h for h, _ in head], np.int64).view(U), np.array([c for _, c in head], float)
@@ -147,6 +174,7 @@ class Model:
 
     def step(self, x: np.ndarray, h: np.ndarray):
         k = self.hidden
+        h = h * self.memory
         hu = h @ self.p["u"]
         gates = 1 / (1 + np.exp(-(x[:, : 2 * k] + hu[:, : 2 * k])))
         z, r = gates[:, :k], gates[:, k:]
@@ -158,38 +186,30 @@ class Model:
         the mean loss and returns d loss / d h."""
         n, heads = len(self.words), self.heads
         cls = np.where(ids < n, ids // self.width, heads + ids - n)
-        rows = np.arange(len(ids))
-        a = h @ self.p["class_w"] + self.p["class_b"]
-        a -= a.max(axis=1, keepdims=True)
-        e = np.exp(a)
-        s = e.sum(axis=1)
-        out = (a[rows, cls] - np.log(s)).astype(np.float64)
-        dh = None
-        if grads is not None:
-            d = e / s[:, None]
-            d[rows, cls] -= 1
-            d /= len(ids)
-            grads["class_w"] += h.T @ d
-            grads["class_b"] += d.sum(axis=0)
-            dh = d @ self.p["class_w"].T
+        out, dh = np.empty(len(ids)), None if grads is None else np.empty_like(h)
+        for i in range(0, len(ids), ROWS):
+            hi, own = h[i : i + ROWS], cls[i : i + ROWS]
+            out[i : i + ROWS], d = _softmax(hi, own, self.p["class_w"], self.p["class_b"], len(ids) if grads else None)
+            if grads is not None:
+                grads["class_w"] += hi.T @ d
+                grads["class_b"] += d.sum(axis=0)
+                np.matmul(d, self.p["class_w"].T, out=dh[i : i + ROWS])
+        # words within their classes: the tokens of a class stand together
         order = np.argsort(cls.astype(np.int16), kind="stable")
         cut = np.searchsorted(cls[order], np.arange(heads + 1))
+        order = order[: cut[-1]]
+        hs, inner, back = h[order], np.empty(len(order)), np.empty((len(order), h.shape[1]), np.float32)
+        word = (ids[order] - cls[order] * self.width).astype(np.int64)
         for c in np.flatnonzero(np.diff(cut)):
-            mine = order[cut[c] : cut[c + 1]]
-            word, hm = ids[mine] - c * self.width, h[mine]
-            a = hm @ self.p["word_w"][c] + self.p["word_b"][c]
-            a -= a.max(axis=1, keepdims=True)
-            e = np.exp(a)
-            s = e.sum(axis=1)
-            own = np.arange(len(mine))
-            out[mine] += a[own, word] - np.log(s)
+            at = slice(cut[c], cut[c + 1])
+            inner[at], d = _softmax(hs[at], word[at], self.p["word_w"][c], self.p["word_b"][c], len(ids) if grads else None)
             if grads is not None:
-                d = e / s[:, None]
-                d[own, word] -= 1
-                d /= len(ids)
-                grads["word_w"][c] += hm.T @ d
+                grads["word_w"][c] += hs[at].T @ d
                 grads["word_b"][c] += d.sum(axis=0)
-                dh[mine] += d @ self.p["word_w"][c].T
+                np.matmul(d, self.p["word_w"][c].T, out=back[at])
+        out[order] += inner
+        if grads is not None:
+            dh[order] += back
         return out, dh
 
     def flat(self) -> np.ndarray:
@@ -209,77 +229,100 @@ def _grid(ids: np.ndarray, first: np.ndarray, live: np.ndarray, a: int, b: int,
     return ids[np.where(real, first[live][None, :] + t, 0)], real
 
 
-def _entry_states(model: Model, docs: list[np.ndarray], stretch: int) -> list[np.ndarray]:
-    """[stretch][document]: the state before each stretch under the present weights;
-    ``docs`` are by falling length, and those that a stretch does not reach are not in it."""
-    long = [d for d in docs if len(d) > stretch]
-    out = [np.zeros((len(docs), model.hidden), np.float32)]
-    if not long:
-        return out
-    lens = np.array([len(d) for d in long])
-    ids, first = np.concatenate(long), np.cumsum(lens) - lens
-    h = out[0]
-    for t in range((lens[0] - 1) // stretch * stretch + 1):
-        m = int(np.searchsorted(-lens, -t, "left"))
-        h = h[:m]
-        if t and t % stretch == 0:
-            out.append(h)
-        h = model.step(model.p["table"][ids[first[:m] + t]], h)[0]
+def _entry_states(model: Model, before: list[np.ndarray]) -> np.ndarray:
+    """The state that each of some short texts leaves, under the present weights."""
+    order = np.argsort([-len(x) for x in before], kind="stable")
+    lens = np.array([len(before[i]) for i in order])
+    grid = np.zeros((lens[0], len(before)), np.int64)
+    for k, i in enumerate(order):
+        grid[lens[0] - lens[k] :, k] = before[i]
+    h = np.zeros((len(before), model.hidden), np.float32)
+    for t in range(lens[0]):
+        m = int(np.searchsorted(-lens, t - lens[0], "right"))
+        h[:m] = model.step(model.p["table"][grid[t, :m]], h[:m])[0]
+    out = np.empty_like(h)
+    out[order] = h
     return out
 
 
-def train(model: Model, docs: list[np.ndarray], span: int = 32, lanes: int = 128, rate: float = 0.01, stretch: int = 512) -> int:
+def _add_rows(out: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
+    """out[rows] += values, where rows may repeat."""
+    order = np.argsort(rows, kind="stable")
+    ranked = rows[order]
+    first = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
+    out[ranked[first]] += np.add.reduceat(values[order], first)
+
+
+class Adam:
+    """Step sizes of the weights; lasts as long as a task."""
+
+    def __init__(self, model: Model, rate: float = 0.01):
+        self.rate, self.steps = rate, 0
+        self.mean, self.square = ({k: np.zeros_like(v) for k, v in model.p.items()} for _ in range(2))
+
+    def move(self, model: Model, grads: dict) -> None:
+        self.steps += 1
+        norm = math.sqrt(sum(float(np.vdot(v, v)) for v in grads.values()))
+        for k, v in grads.items():
+            v *= min(1.0, 1.0 / (norm + 1e-9))
+            mean, square = self.mean[k], self.square[k]
+            mean += 0.1 * (v - mean)
+            v *= v
+            square += 0.01 * (v - square)
+            model.p[k] -= (self.rate / (1 - 0.9**self.steps)) * mean / (np.sqrt(square / (1 - 0.99**self.steps)) + 1e-6)
+
+
+def _window(model: Model, grid: np.ndarray, real: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, dict]:
+    """The state after a window, and the gradients of its mean loss."""
+    k, steps, lanes = model.hidden, *grid.shape
+    grads = {n: np.zeros_like(v) for n, v in model.p.items()}
+    x = model.p["table"][grid]
+    past, z, r, new, hu = (np.empty((steps, lanes, k), np.float32) for _ in range(5))
+    for t in range(steps):
+        past[t] = h
+        h, z[t], r[t], new[t], hu[t] = model.step(x[t], h)
+    back = np.zeros_like(past)
+    back[real] = model.output(past[real], grid[real], grads)[1]
+    # of the state after each step: d new, d z and d r before their bends
+    to_new, to_z, to_r = (1 - z) * (1 - new * new), (past * model.memory - new) * z * (1 - z), hu * r * (1 - r)
+    dx, du = np.empty_like(x), np.empty_like(x)
+    carry, turned = np.zeros_like(h), model.p["u"].T
+    for t in range(steps - 1, -1, -1):
+        dn = dx[t, :, 2 * k :]
+        np.multiply(carry, to_new[t], out=dn)
+        np.multiply(carry, to_z[t], out=dx[t, :, :k])
+        np.multiply(dn, to_r[t], out=dx[t, :, k : 2 * k])
+        du[t, :, : 2 * k] = dx[t, :, : 2 * k]
+        np.multiply(dn, r[t], out=du[t, :, 2 * k :])
+        carry = model.memory * (carry * z[t] + du[t] @ turned) + back[t]
+    grads["u"] += model.memory * (past.reshape(-1, k).T @ du.reshape(-1, 3 * k))
+    _add_rows(grads["table"], grid[real], dx[real])
+    return h, grads
+
+
+def train(model: Model, docs: list[np.ndarray], adam: Adam | None = None, span: int = 32, lanes: int = 256, stretch: int = 512, warm: int = 64) -> int:
     """Truncated backpropagation over documents side by side, in stretches of equal
-    length so that a long one does not run alone, each from its text's state; Adam."""
-    docs = sorted(docs, key=len, reverse=True)
-    entry = _entry_states(model, docs, stretch)
-    docs = sorted([(d[a : a + stretch], entry[a // stretch][i]) for i, d in enumerate(docs) for a in range(0, len(d), stretch)], key=lambda x: len(x[0]), reverse=True)
-    mean, square, steps, seen = ({k: np.zeros_like(v) for k, v in model.p.items()} for _ in range(2)), None, 0, 0
-    mean, square = tuple(mean)
-    for g in range(0, len(docs), lanes):
-        group, states = zip(*docs[g : g + lanes])
+    length so that a long one does not run alone.  The state goes on from window to
+    window; a stretch starts from what the ``warm`` tokens before it leave."""
+    adam, seen = adam or Adam(model), 0
+    # few texts go side by side in smaller numbers, so that they make steps enough
+    items = sorted([(d[a : a + stretch], d[max(0, a - warm) : a]) for d in docs for a in range(0, len(d), stretch)], key=lambda x: len(x[0]), reverse=True)
+    lanes = min(lanes, max(16, len(items) // 3))
+    for g in range(0, len(items), lanes):
+        group, before = zip(*items[g : g + lanes])
         lens = np.array([len(d) for d in group])
         ids, first = np.concatenate(group), np.cumsum(lens) - lens
-        h = np.stack(states)
+        h = _entry_states(model, before)
         for a in range(0, lens[0], span):
             live = np.arange(int(np.searchsorted(-lens, -a, "left")))
             grid, real = _grid(ids, first, live, a, min(a + span, lens[0]), lens)
-            h = h[: len(live)]
-            grads = {n: np.zeros_like(v) for n, v in model.p.items()}
-            x = model.p["table"][grid]
-            states, saved = [], []
-            for t in range(len(grid)):
-                states.append(h)
-                h, *rest = model.step(x[t], h)
-                saved.append(rest)
-            past = np.stack(states)
-            _, dh = model.output(past[real], grid[real], grads)
-            back = np.zeros(past.shape, np.float32)
-            back[real] = dh
-            dx = np.zeros(x.shape, np.float32)
-            carry = np.zeros_like(h)
-            for t in range(len(grid) - 1, -1, -1):
-                z, r, new, hu = saved[t]
-                dn = carry * (1 - z) * (1 - new * new)
-                dz = carry * (past[t] - new) * z * (1 - z)
-                dr = dn * hu * r * (1 - r)
-                dx[t] = np.concatenate([dz, dr, dn], axis=1)
-                du = np.concatenate([dz, dr, dn * r], axis=1)
-                grads["u"] += past[t].T @ du
-                carry = carry * z + du @ model.p["u"].T + back[t]
-            np.add.at(grads["table"], grid[real], dx[real])
-            norm = np.sqrt(sum(float((v * v).sum()) for v in grads.values()))
-            steps += 1
-            for n, v in grads.items():
-                v *= min(1.0, 1.0 / (norm + 1e-9))
-                mean[n] += 0.1 * (v - mean[n])
-                square[n] += 0.01 * (v * v - square[n])
-                model.p[n] -= rate * (mean[n] / (1 - 0.9**steps)) / (np.sqrt(square[n] / (1 - 0.99**steps)) + 1e-6)
+            h, grads = _window(model, grid, real, h[: len(live)])
+            adam.move(model, grads)
             seen += int(real.sum())
     return seen
 
 
-def score(model: Model, ids: np.ndarray, lens: np.ndarray, span: int = 64, most: int = 32_768) -> np.ndarray:
+def score(model: Model, ids: np.ndarray, lens: np.ndarray, span: int = 64, most: int = 16_384) -> np.ndarray:
     """Natural-log P of each token less the tails' inner part, state carried from
     window to window through each whole document."""
     out = np.zeros(len(ids))
@@ -310,14 +353,15 @@ def _train_task(batches, shared, which, parts):
 
     # a broadcast value stays in a reused worker: training it in place would reach later tasks
     model, tokens = copy.deepcopy(shared.value), 0
+    adam = Adam(model)
     for batch in batches:
         for r in batch.to_pylist():
             lens = np.array(r["lens"])
-            pick = ~np.array(r["held"]) & (B.mix(np.arange(len(lens), dtype=U) + B.mix(np.array([r["block"]], np.int64).view(U))) % U(parts) == U(which))
+            pick = ~np.array(r["held"]) & (np.array(r["lots"]) % parts == which)
             if pick.any():
                 ids = model.ids(_loose(r["words"], U), _loose(r["tails"], np.uint8))[_loose(r["tokens"], np.uint32)]
                 cut = np.append(0, np.cumsum(lens))
-                tokens += train(model, [ids[cut[d] : cut[d + 1]] for d in np.flatnonzero(pick)])
+                tokens += train(model, [ids[cut[d] : cut[d + 1]] for d in np.flatnonzero(pick)], adam)
             B.give_back()
     if tokens:
         yield pa.RecordBatch.from_arrays([pa.array([tokens]), pa.array([model.flat().astype(np.float32).tobytes()], pa.binary())], ["tokens", "weights"])
@@ -396,21 +440,21 @@ def _score_task(batches, shared):
 def head_size(vocabulary: int) -> int:
     """Words with an output of their own: all of a small vocabulary, then as its square
     root, so that the weights stay small enough to send."""
-    return max(1024, 2 * math.isqrt(vocabulary))
+    return max(1024, math.isqrt(vocabulary))
 
 
-def score_documents(docs: DataFrame, modulus: int = 7, held: int = 2, hidden: int = 16, width: int | None = None, head: int | None = None, rounds: int = 3, block_tokens: int = 1_200_000) -> DataFrame:
+def score_documents(docs: DataFrame, modulus: int = 7, held: int = 2, hidden: int = 16, width: int | None = None, head: int | None = None, rounds: int = 3, recurrent: bool = True, block_tokens: int = 1_200_000) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
     C.text_batches(spark)
     kind = dict(docs.dtypes)["doc_id"]
     out = F.crc32(F.encode(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "UTF-8")) % modulus == held
-    blocks = C.stored(docs.select("doc_id", out.alias("held"), "text").mapInArrow(lambda it: _make_blocks(it, block_tokens), BLOCK.format(id=kind)), "lm-blocks")
+    blocks = C.stored(docs.select("doc_id", out.alias("held"), F.xxhash64("doc_id", "text").alias("lot"), "text").mapInArrow(lambda it: _make_blocks(it, block_tokens), BLOCK.format(id=kind)), "lm-blocks")
     rows = blocks.select("block", "words", "tails", "counts").mapInArrow(lambda it: _word_rows(it), "word long, block long, i int, n long, tail int")
-    word = Window.partitionBy("word")
-    known = rows.select("block", "i", "word", "tail", F.sum("n").over(word).alias("c"), (F.row_number().over(word.orderBy("block")) == 1).alias("one"))
-    known = C.stored(known, "lm-counts")
-    seen = known.filter("one AND c > 0")
+    # summed first and then joined: both sides of the join are plain exchanges, so the
+    # partition of a word that every block has can be split
+    seen = C.stored(rows.filter("n > 0").groupBy("word").agg(F.sum("n").alias("c"), F.min("tail").alias("tail")), "lm-counts")
+    known = rows.select("word", "block", "i").join(seen.select("word", "c"), "word", "left").select("block", "i", F.coalesce("c", F.lit(0)).alias("c"))
     n_all, v_all = (int(x or 0) for x in seen.agg(F.sum("c"), F.count(F.lit(1))).first())
     head = head or head_size(v_all)
     width = width or math.isqrt(head)
@@ -420,16 +464,16 @@ def score_documents(docs: DataFrame, modulus: int = 7, held: int = 2, hidden: in
     for k, n, v in seen.join(F.broadcast(names), "word", "left_anti").groupBy("tail").agg(F.sum("c"), F.count(F.lit(1))).collect():
         tail_tokens[k], tail_words[k] = n, v
 
-    model = Model(top, tail_tokens, hidden, width)
+    model = Model(top, tail_tokens, hidden, width, recurrent)
     tasks = blocks.rdd.getNumPartitions()
     for which in range(rounds if top else 0):
         shared = spark.sparkContext.broadcast(model)
-        local = blocks.select("block", "held", "lens", "tokens", "words", "tails").mapInArrow(lambda it, s=shared, w=which: _train_task(it, s, w, rounds), "tokens long, weights binary")
+        local = blocks.select("held", "lots", "lens", "tokens", "words", "tails").mapInArrow(lambda it, s=shared, w=which: _train_task(it, s, w, rounds), "tokens long, weights binary")
         mean = _averaged(local, tasks)
         if mean is not None:
             model.load(mean)
 
-    totals = known.select("block", "i", "c").repartition(C.partitions(spark), "block").sortWithinPartitions("block", "i").mapInArrow(lambda it: _gather_counts(it), "of long, totals binary")
+    totals = known.repartition(C.partitions(spark), "block").sortWithinPartitions("block", "i").mapInArrow(lambda it: _gather_counts(it), "of long, totals binary")
     shared = spark.sparkContext.broadcast((model, tail_tokens, tail_words, n_all, v_all))
     joined = blocks.select("block", "doc_id", "held", "lens", "tokens", "words", "tails").join(totals, F.col("block") == F.col("of"))
     schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
