@@ -23,14 +23,23 @@ with more than ``crowd`` stored fingerprints is not compared there: its fingerpr
 are linked through midpoints instead (x within 1 bit of z, y within 2 bits of z; any
 two within 3 bits have such a z), which is exact and linear too.
 
+similar_documents() is the same for a similarity instead of a number of bits.  Its
+fingerprints have 256 bits, of which eight segments of 23 are Golay words.  Two words
+within two bits share one of the codewords within 4 bits of either, so both sides are
+stored under all of theirs (one or six), and keys are pairs of segments: one of four
+pairs has to have both its words that close.  Words further apart often share one too.
+Fingerprints that meet are compared whole: they are linked if they differ in no more
+bits than those of texts of that similarity do on average.
+
 Cases: a null or wordless text has fingerprint zero and is linked like any other; of
 one or two words, the whole sequence is the only shingle; repeated rows and ties
-share a node; null doc_ids keep their rows and never name a component unless all are
+share a node; texts of any length are taken whole; null doc_ids keep their rows and never name a component unless all are
 null; empty tables give empty results; extra columns do not matter.
 """
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
@@ -119,9 +128,9 @@ def fuzzy_keys(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return tuple(np.concatenate([o[k] for o in out]) for k in range(3))
 
 
-def _fingerprint_piece(buf: np.ndarray, off: np.ndarray, shingle: int, seed: int) -> np.ndarray:
-    import xxhash
-
+def _shingles(buf: np.ndarray, off: np.ndarray, shingle: int):
+    """The text in its normal form and, for each document, its shingles: (bytes, start
+    and end of each shingle, number of shingles of each document)."""
     buf = B.TO_LOWER[buf]
     mask = B.NOT_SPACE[buf]
     starts, ends = B.spans(mask, off)
@@ -130,28 +139,43 @@ def _fingerprint_piece(buf: np.ndarray, off: np.ndarray, shingle: int, seed: int
     keep[1:] |= mask[:-1]
     at = np.zeros(len(buf) + 1, np.int64)
     np.cumsum(keep, out=at[1:])
-    text = np.where(mask, buf, 32).astype(np.uint8)[keep].tobytes()
+    text = np.where(mask, buf, 32).astype(np.uint8)[keep]
     starts, ends = at[starts], at[ends - 1] + 1 if len(ends) else ends
     first = np.searchsorted(np.append(starts, len(text) + 1), at[off])
     words = np.diff(first)
     n = np.where(words >= shingle, words - shingle + 1, np.minimum(words, 1))
     own = np.repeat(np.arange(len(n)), n)
-    lead = np.zeros(len(n) + 1, np.int64)
-    np.cumsum(n, out=lead[1:])
-    i = first[:-1][own] + np.arange(lead[-1]) - lead[:-1][own]
+    i = first[:-1][own] + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
     last = i + np.minimum(words[own], shingle) - 1
-    digest = xxhash.xxh64_intdigest
-    h = np.fromiter([digest(text[a:b], seed) for a, b in zip(starts[i].tolist(), ends[last].tolist())], U, len(i))
-    out = np.zeros(len(n), U)
-    full = np.flatnonzero(n)
-    for a in range(0, len(full), 256):
-        docs = full[a : a + 256]
-        bits = np.unpackbits(h[lead[docs[0]] : lead[docs[-1] + 1]].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        counts = np.zeros((len(docs), 64), np.int64)
-        for k, d in enumerate(docs):
-            counts[k] = bits[lead[d] - lead[docs[0]] : lead[d + 1] - lead[docs[0]]].sum(axis=0, dtype=np.int32)
-        out[docs] = np.packbits(2 * counts > n[docs, None], axis=1, bitorder="little").view(U).reshape(-1)
-    return out
+    return text, starts[i], ends[last], n
+
+
+def _majority(words: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Bits set in over half of a document's rows of 64-bit ``words``.  Counts of up to
+    255 rows are added in bytes, eight at a time; a long document comes in parts."""
+    lead = np.cumsum(n) - n
+    parts = -(-n // 255)
+    own = np.repeat(np.arange(len(n)), parts)
+    begin = lead[own] + 255 * (np.arange(len(own)) - np.repeat(np.cumsum(parts) - parts, parts))
+    end = np.minimum(begin + 255, (lead + n)[own])
+    counts = np.zeros((len(n), 64 * words.shape[1]), np.int64)
+    for a in range(0, len(own), 400):
+        lo, hi = begin[a], end[min(a + 400, len(own)) - 1]
+        bits = np.unpackbits(np.ascontiguousarray(words[lo:hi]).view(np.uint8), axis=1, bitorder="little")
+        some = np.add.reduceat(bits.view(U), begin[a : a + 400] - lo, axis=0).view(np.uint8)
+        docs = own[a : a + 400]
+        first = np.flatnonzero(np.append(True, docs[1:] != docs[:-1]))
+        counts[docs[first]] += np.add.reduceat(some, first, axis=0, dtype=np.int64)
+    return np.packbits(2 * counts > n[:, None], axis=1, bitorder="little").view(U)
+
+
+def _fingerprint_piece(buf: np.ndarray, off: np.ndarray, shingle: int, seed: int) -> np.ndarray:
+    import xxhash
+
+    text, starts, ends, n = _shingles(buf, off, shingle)
+    text, digest = text.tobytes(), xxhash.xxh64_intdigest
+    h = np.fromiter([digest(text[a:b], seed) for a, b in zip(starts.tolist(), ends.tolist())], U, len(starts))
+    return _majority(h[:, None], n)[:, 0]
 
 
 @B.tidied
@@ -306,15 +330,216 @@ def link_fingerprints(distinct: DataFrame, bits: int = 3, crowd: int = 4096) ->
     return links
 
 
+def _components(prints: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """``prints`` with component_id; prints and nodes (with ``least``) have ``fp``."""
+    parts = connected_components(links)
+    nodes = nodes.join(parts, nodes["fp"] == parts["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("_c"))
+    names = nodes.groupBy("_c").agg(F.min("least").alias("component_id"))
+    return prints.join(nodes.join(names, "_c").select("fp", "component_id"), "fp")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 3, bits: int = 3, crowd: int = 4096) -> DataFrame:
     """doc_id, fp, fingerprint (16 hex digits), component_id for each document."""
     if bits != 3:
         raise ValueError("the keys are made for 3 bits")
     prints = C.stored(fingerprints(docs, shingle), "fingerprints")
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    parts = connected_components(link_fingerprints(nodes, bits, crowd))
-    nodes = nodes.join(parts, nodes["fp"] == parts["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("_c"))
-    names = nodes.groupBy("_c").agg(F.min("least").alias("component_id"))
-    nodes = nodes.join(names, "_c").select("fp", "component_id")
-    out = prints.join(nodes, "fp")
+    out = _components(prints, nodes, link_fingerprints(nodes, bits, crowd))
     return out.select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+WIDE, PAIRS = ["f0", "f1", "f2", "f3"], 4
+
+
+def _wide_piece(buf: np.ndarray, off: np.ndarray, shingle: int) -> np.ndarray:
+    """256-bit fingerprints as [document][word]."""
+    text, starts, ends, n = _shingles(buf, off, shingle)
+    h = B.span_hash(B.prefix(text), starts, ends)
+    return _majority(np.stack([B.mix(h + U(k * int(B.BASE) % (1 << 64))) for k in range(4)], axis=1), n)
+
+
+def _node(fp: np.ndarray) -> np.ndarray:
+    """One 64-bit name of a wide fingerprint."""
+    out = B.mix(fp[:, 0])
+    for k in range(1, 4):
+        out = B.mix(out * U(3) ^ fp[:, k])
+    return out
+
+
+@B.tidied
+def _wide_fingerprints(batches, shingle):
+    import pyarrow as pa
+
+    for batch in batches:
+        fp = [_wide_piece(buf, off, shingle) for _, _, buf, off in B.pieces(batch)]
+        fp = np.concatenate(fp) if fp else np.zeros((0, 4), U)
+        cols = [_node(fp), *fp.T]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(np.ascontiguousarray(c).view(np.int64)) for c in cols]], ["doc_id", "fp", *WIDE])
+
+
+def _segment(fp: np.ndarray, at: int) -> np.ndarray:
+    """23 bits of wide fingerprints from bit ``at``."""
+    word, low = divmod(at, 64)
+    out = fp[:, word] >> U(low)
+    if low > 41:
+        out |= fp[:, word + 1] << U(64 - low)
+    return out & U((1 << 23) - 1)
+
+
+def wide_keys(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row of the fingerprint, key) of all keys."""
+    rows, keys, every = [], [], np.arange(len(fp))
+    for pair in range(PAIRS):
+        a, b = (codewords(_segment(fp, 23 * k)) for k in (2 * pair, 2 * pair + 1))
+        for x, y in np.ndindex(6, 6):
+            ok = (a[:, x] >= 0) & (b[:, y] >= 0)
+            rows.append(every[ok])
+            keys.append(pair << 24 | a[ok, x] << 12 | b[ok, y])
+    return np.concatenate(rows), np.concatenate(keys)
+
+
+@B.tidied
+def _wide_rows(batches):
+    import pyarrow as pa
+
+    for batch in batches:
+        for a in range(0, batch.num_rows, 2000):
+            part = batch.slice(a, 2000)
+            fp = np.stack([c.to_numpy() for c in part.columns], axis=1).view(U)
+            rows, keys = wide_keys(fp)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), *[c.take(pa.array(rows)) for c in part.columns]], ["key", *WIDE])
+
+
+def _differ(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int32)
+
+
+def _forest(fp: np.ndarray, limit: int) -> list[tuple[int, int]]:
+    """Edges from the first of each component to its other members, by places in ``fp``:
+    at most one for each, whatever the number of links."""
+    near = np.empty((len(fp), len(fp)), bool)
+    for i in range(0, len(fp), 64):
+        near[i : i + 64] = _differ(fp[i : i + 64, None], fp[None]) <= limit
+    left, out = np.ones(len(fp), bool), []
+    for seed in range(len(fp)):
+        if left[seed]:
+            left[seed], front = False, np.array([seed])
+            while len(front):
+                met = np.flatnonzero(near[front].any(axis=0) & left)
+                left[met] = False
+                out += [(seed, int(x)) for x in met]
+                front = met
+    return out
+
+
+LINKS = "u long, v long, key long, f0 long, f1 long, f2 long, f3 long"
+
+
+def _settled(key: np.ndarray, fp: np.ndarray, limit: int) -> np.ndarray:
+    """Links (as [link][two nodes]) among fingerprints of equal key, which are sorted."""
+    begin = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    size = np.diff(np.append(begin, len(key)))
+    few, found = np.repeat(size <= 8, size), [np.zeros((0, 2), np.int64)]
+    for d in range(1, 8):
+        # the rows of a short run, each with the d-th after it
+        at = np.flatnonzero((key[d:] == key[:-d]) & few[d:]) if len(key) > d else np.zeros(0, np.int64)
+        at = at[_differ(fp[at], fp[at + d]) <= limit]
+        found.append(np.stack([at, at + d], axis=1))
+    for a, n in zip(begin[size > 8].tolist(), size[size > 8].tolist()):
+        found.append(a + np.array(_forest(fp[a : a + n], limit), np.int64).reshape(-1, 2))
+    pairs, names = np.concatenate(found), _node(fp)
+    out = names[pairs]
+    return out[out[:, 0] != out[:, 1]]
+
+
+@B.tidied
+def _wide_links(batches, limit, crowd):
+    """Of rows sorted by key: (u, v) of links, and (key, fingerprint) of keys with more
+    than ``crowd`` rows."""
+    import pyarrow as pa
+
+    def table(links, key, fp):
+        none = lambda n, kind=pa.int64(): pa.nulls(n, kind)
+        join = lambda a, b: pa.concat_arrays([a, b])
+        links = np.ascontiguousarray(links.view(np.int64))
+        uv = [join(pa.array(links[:, i]), none(len(key))) for i in (0, 1)]
+        rest = [join(none(len(links)), pa.array(np.ascontiguousarray(c).view(np.int64))) for c in (key, *fp.T)]
+        return pa.RecordBatch.from_arrays([*uv, *rest], ["u", "v", "key", *WIDE])
+
+    key, fp, open_ = np.zeros(0, np.int64), np.zeros((0, 4), U), None
+    for batch in batches:
+        key = np.concatenate([key, batch.column(0).to_numpy()])
+        fp = np.concatenate([fp, np.stack([c.to_numpy() for c in batch.columns[1:]], axis=1).view(U)])
+        last = int(np.searchsorted(key, key[-1])) if len(key) else 0
+        many, at = [], np.arange(last)
+        begin = np.flatnonzero(np.append(True, key[1:last] != key[: last - 1])) if last else at
+        for a, b in zip(begin, np.append(begin[1:], last)):
+            if b - a > crowd or key[a] == open_:
+                many.append(np.arange(a, b))
+        if len(key) - last > crowd or len(key) > last and key[-1] == open_:
+            open_ = key[-1]
+            many.append(np.arange(last, len(key)))
+            last = len(key)
+        out = np.concatenate(many) if many else np.zeros(0, np.int64)
+        calm = np.setdiff1d(at, out)
+        yield table(_settled(key[calm], fp[calm], limit), key[out], fp[out])
+        key, fp = key[last:], fp[last:]
+    yield table(_settled(key, fp, limit), key[:0], fp[:0])
+
+
+@B.tidied
+def _cell_links(batches, limit):
+    """Of rows sorted by cell: links within each cell."""
+    import pyarrow as pa
+
+    key, fp = np.zeros(0, np.int64), np.zeros((0, 4), U)
+
+    def table(links):
+        links = np.ascontiguousarray(links.view(np.int64))
+        return pa.RecordBatch.from_arrays([pa.array(links[:, 0]), pa.array(links[:, 1])], ["u", "v"])
+
+    for batch in batches:
+        key = np.concatenate([key, batch.column(0).to_numpy()])
+        fp = np.concatenate([fp, np.stack([c.to_numpy() for c in batch.columns[1:]], axis=1).view(U)])
+        last = int(np.searchsorted(key, key[-1])) if len(key) else 0
+        yield table(_settled(key[:last], fp[:last], limit))
+        key, fp = key[last:], fp[last:]
+    yield table(_settled(key, fp, limit))
+
+
+def wide_links(nodes: DataFrame, limit: int, crowd: int = 4096) -> DataFrame:
+    """(u, v) of nodes: links that connect all fingerprints of a key within ``limit``
+    bits.  The rows of a key with more than ``crowd`` are dealt into blocks of half as
+    many, and each two blocks meet in a task of their own."""
+    n = C.partitions(nodes.sparkSession)
+    rows = nodes.select(*WIDE).repartition(n).mapInArrow(_wide_rows, "key long, f0 long, f1 long, f2 long, f3 long")
+    rows = rows.repartition(n, "key").sortWithinPartitions("key")
+    found = C.stored(rows.mapInArrow(lambda it: _wide_links(it, limit, crowd), LINKS), "wide-links")
+    links = found.filter("u IS NOT NULL").select("u", "v").distinct()
+    crowded = found.filter("key IS NOT NULL").select("key", *WIDE)
+    if crowded.isEmpty():
+        return links
+    blocks = C.stored(crowded.groupBy("key").agg(F.ceil(F.count(F.lit(1)) * 2 / crowd).cast("int").alias("blocks")), "crowded-keys")
+    own = F.pmod(F.xxhash64(*WIDE), F.col("blocks")).cast("int")
+    cells = crowded.join(blocks, "key").withColumn("_b", own).withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = cells.select(F.xxhash64("key", F.least("_b", "_j"), F.greatest("_b", "_j")).alias("cell"), *WIDE)
+    met = cells.repartition(n, "cell").sortWithinPartitions("cell").mapInArrow(lambda it: _cell_links(it, limit), "u long, v long")
+    return links.unionByName(met).distinct()
+
+
+def bits_apart(similarity: float, bits: int = 256) -> int:
+    """How many bits the fingerprints of two texts of equal length and this similarity
+    (shared shingles over all of both) differ in, on average."""
+    return math.floor(bits * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+
+
+def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, crowd: int = 4096) -> DataFrame:
+    """doc_id, component_id for each document: components of texts whose similarity, as
+    their fingerprints tell it, is ``similarity`` or more."""
+    C.text_batches(docs.sparkSession)
+    kind = docs.select("doc_id").schema["doc_id"].dataType.simpleString()
+    prints = docs.select("doc_id", "text").mapInArrow(lambda it: _wide_fingerprints(it, shingle), f"doc_id {kind}, fp long, f0 long, f1 long, f2 long, f3 long")
+    prints = C.stored(prints, "wide-fingerprints")
+    nodes = C.stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in WIDE]), "wide-nodes")
+    links = wide_links(nodes, bits_apart(similarity), crowd)
+    return _components(prints.select("doc_id", "fp"), nodes.select("fp", "least"), links).select("doc_id", "component_id")

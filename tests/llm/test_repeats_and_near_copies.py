@@ -6,8 +6,8 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
 
+from sparkloom.llm import bytesops as B
 from sparkloom.llm import simhash as S
 from sparkloom.llm import suffix_dedup as R
 from sparkloom.llm.components import connected_components
@@ -203,4 +203,130 @@ def test_crowd_links_are_exact(spark):
     got = {r.node: r.component for r in connected_components(spark.createDataFrame([(r.u, r.v) for r in links], "u long, v long")).collect()}
     want = plain_components({x: x for x in prints})
     assert {x: got.get(x, x) for x in prints} == want
-    assert F is not None
+
+
+def plain_wide(text):
+    """A wide fingerprint by one bit after another."""
+    w = H.words((text or "").translate(H.TO_LOWER))
+    shingles = [" ".join(w[i : i + 5]).encode() for i in range(max(1, len(w) - 4))] if w else []
+    counts = np.zeros(256, int)
+    for s in shingles:
+        h = B.span_hash(B.prefix(np.frombuffer(s, np.uint8)), np.array([0]), np.array([len(s)]))
+        for k in range(4):
+            x = int(B.mix(h + np.array([k * int(B.BASE) % (1 << 64)], np.uint64))[0])
+            counts[64 * k : 64 * k + 64] += [x >> b & 1 for b in range(64)]
+    return sum(1 << b for b in range(256) if 2 * counts[b] > len(shingles))
+
+
+def plain_groups(prints, limit):
+    """Smallest id of each component of all pairs within ``limit`` bits."""
+    ids, parent = sorted(prints), {i: i for i in prints}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, a in enumerate(ids):
+        for b in ids[i + 1 :]:
+            if (prints[a] ^ prints[b]).bit_count() <= limit:
+                x, y = root(a), root(b)
+                parent[max(x, y)] = min(x, y)
+    return {i: root(i) for i in ids}
+
+
+def edited(rng, words, n):
+    out = list(words)
+    for i in rng.sample(range(len(out)), n):
+        out[i] = f"edit{rng.randrange(10**6)}"
+    return " ".join(out)
+
+
+def test_wide_fingerprints_match_plain_ones():
+    import pyarrow as pa
+
+    rng = random.Random(5)
+    texts = H.odd_texts() + [" ".join(rng.choice("abcdefgh") for _ in range(1500))]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, pa.string())], ["doc_id", "text"])
+    got = next(S._wide_fingerprints(iter([batch]), 5))
+    for i, t in enumerate(texts):
+        assert sum((got.column(2 + k)[i].as_py() & (1 << 64) - 1) << 64 * k for k in range(4)) == plain_wide(t)
+
+
+@pytest.mark.parametrize("crowd", [4096, 5])
+def test_similar_documents(spark, crowd):
+    """Near copies of all kinds of similarity, a crowd of one text among them, against
+    all pairs by brute force."""
+    rng = random.Random(12)
+    base = [[f"w{rng.randrange(5000)}" for _ in range(rng.choice([40, 200, 600]))] for _ in range(12)]
+    texts = [" ".join(b) for b in base] + [edited(rng, rng.choice(base), rng.randint(1, 4)) for _ in range(50)] + [edited(rng, base[0], 1) for _ in range(60)]
+    docs = H.frame(spark, texts + H.odd_texts())
+    prints = {i: plain_wide(t) for i, t in enumerate(texts + H.odd_texts())}
+    want, sure = plain_groups(prints, S.bits_apart(0.8)), plain_groups(prints, 26)
+    got = {r.doc_id: r.component_id for r in S.similar_documents(docs, crowd=crowd).collect()}
+    # no link is made that brute force does not make; those within 26 bits, which is a
+    # similarity of 0.9, are all found, and of the others nearly all
+    assert got.keys() == want.keys() and all(want[i] == want[c] for i, c in got.items())
+    assert all(got[i] == got[c] for i, c in sure.items())
+    assert len(set(want.values())) < len(want) - 60 and len(set(got.values())) <= len(set(want.values())) + 2
+
+
+def test_similar_documents_null_ids_and_empty(spark):
+    row = (None, "a b c d e f", "", "", 1, "", "", "")
+    got = S.similar_documents(H.frame(spark, [], [row, row, (5, "a b c d e f", "", "", 1, "", "", "")])).collect()
+    assert [r.component_id for r in got] == [5, 5, 5]
+    assert S.similar_documents(H.empty(spark)).collect() == []
+
+
+def test_runs_settle_whatever_their_length():
+    rng = np.random.default_rng(2)
+    key = np.sort(rng.integers(0, 30, 400))
+    fp = rng.integers(0, 1 << 63, (400, 4), dtype=np.uint64)
+    for i in range(0, 400, 2):
+        fp[i] = fp[rng.integers(0, 20)] ^ (np.uint64(1) << np.uint64(rng.integers(0, 64)))
+    links = {tuple(sorted(x)) for x in S._settled(key, fp, 10).tolist()}
+    names = S._node(fp).tolist()
+    parent = {n: n for n in names}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        parent[root(a)] = root(b)
+    for i in range(400):
+        for j in range(i):
+            if key[i] == key[j] and S._differ(fp[i], fp[j]) <= 10:
+                assert root(names[i]) == root(names[j])
+    near = {tuple(sorted((names[i], names[j]))) for i in range(400) for j in range(i) if S._differ(fp[i], fp[j]) <= 20}
+    assert links <= near
+
+
+def test_golay_keys_meet_within_two_bits():
+    rng = np.random.default_rng(4)
+    words = rng.integers(0, 1 << 23, 300)
+    for bits in (1, 2):
+        other = words.copy()
+        for i in range(len(other)):
+            for b in rng.choice(23, bits, replace=False):
+                other[i] ^= 1 << int(b)
+        assert all({*a[a >= 0]} & {*b[b >= 0]} for a, b in zip(S.codewords(words), S.codewords(other)))
+
+
+def test_repeats_on_documents_match_brute_force(spark):
+    """All of the sf0.01 documents: places of every 400-byte string by its hash."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
+    seen = collections.Counter()
+    for t in texts.values():
+        seen.update(hash(t[i : i + 400]) for i in range(len(t) - 399))
+    want = {}
+    for d, t in texts.items():
+        cut = bytearray(len(t))
+        for i in range(len(t) - 399):
+            if seen[hash(t[i : i + 400])] > 1:
+                cut[i : i + 400] = b"\1" * 400
+        want[d] = bytes(b for b, x in zip(t, cut) if not x)
+    got = R.remove_repeats(docs, 400, "none").select("doc_id", "n_removed", "kept").collect()
+    assert {r.doc_id: bytes(r.kept) for r in got} == want and sum(r.n_removed for r in got) > 0
