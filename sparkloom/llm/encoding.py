@@ -1,28 +1,28 @@
-"""Token ids of whole texts for the public vocabulary files.
-
-``LibraryEncoder`` is the ``tokenizers`` library as it is.  ``ByteEncoder`` gives the
-same ids for a byte-level vocabulary that exists both as a ``.json`` file and as
-ranks: texts made of long-settled characters go through the rank form, about five
-times as fast; any text with a special string, a rare control character, a character
-outside those blocks or a very long run of white space goes through the ``tokenizers``
-library.
+"""Token ids of whole texts, by the ``tokenizers`` library.
+
+``LibraryEncoder`` gives whole texts to the library.  ``ByteEncoder`` does less of the
+same work for a byte-level vocabulary: such a vocabulary cuts a text into words first
+and encodes each word by itself, so each different word goes to the library once and its
+ids are kept.  The cutting is done here for texts of long-settled characters, whose
+letter, digit and space classes are those of ``\\p{L}``, ``\\p{N}`` and ``\\s`` everywhere
+(``tests/llm`` goes through all of them); a text with any other character or with one of
+the vocabulary's special strings goes to the library whole.
 """
 
 from __future__ import annotations
 
-import base64
 import json
 import os
 import re
+from array import array
 
 import numpy as np
 
 _held: dict[tuple, object] = {}
-#: Characters whose letter, number and space classes all Unicode versions agree on.
-_OTHER = re.compile("[^\x00-\x1b\x20-\x84\x86-ɏΑ-ΡΣ-Ωα-ωА-я‐-‧‰-⁞一-龥가-힣]")
-#: The rank form's pattern overflows its stack at white space of about a million characters.
-_LONG = 100_000
-_BLANKS = re.compile(rf"(?<!\s)\s{{{_LONG},}}")
+#: Anything but characters whose classes all Unicode versions and patterns agree on.
+_OTHER = re.compile("[^\x00-\x1b\x20-\x84\x86-±´-¸º»¿-ɏΑ-ΡΣ-Ωα-ωА-я‐-‧‰-⁞一-龥가-힣]")
+#: How the library's byte-level pre-tokenizer cuts words, for all other texts.
+_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 
 
 def tokenizer_path(name: str) -> str:
@@ -51,27 +51,48 @@ class LibraryEncoder:
         return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
 
-class ByteEncoder:
-    def __init__(self, path: str, ranks: str):
-        import public_tokenizers
-        import tiktoken
+def _alphabet() -> dict[int, int]:
+    """The character for each byte in a byte-level vocabulary's words: printable Latin-1
+    stands for itself, the rest follow from U+0100 in order."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: b for b in own} | {b: 0x100 + i for i, b in enumerate(rest)}
+
+
+class _Words(dict):
+    """The ids of each word as bytes, from the library's model.  Words of more than 64
+    characters are not kept.  When it holds ``most`` words they become the older ones,
+    from which those met again come back, and the oldest go."""
+
+    def __init__(self, library: LibraryEncoder, most: int):
+        self.cut, self.most, self.older, self.bytes = library.tokenizer.model.tokenize, most, {}, _alphabet()
 
-        with open(ranks, "rb") as lines:
-            known = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=known, special_tokens={})
+    def __missing__(self, word: str) -> bytes:
+        ids = self.older.get(word)
+        if ids is None:
+            ids = array("I", [t.id for t in self.cut(word.encode().decode("latin-1").translate(self.bytes))]).tobytes()
+        if len(word) <= 64:
+            if len(self) >= self.most:
+                self.older = dict(self)
+                self.clear()
+            self[word] = ids
+        return ids
+
+
+class ByteEncoder:
+    def __init__(self, path: str, most: int = 500_000):
+        self.library = held(LibraryEncoder, path)
+        self.words = _Words(self.library, most)
         with open(path) as f:
             self.special = [t["content"] for t in json.load(f)["added_tokens"]]
-        self.path = path
 
     def plain(self, text: str) -> bool:
-        if len(text) >= _LONG and _BLANKS.search(text):
-            return False
         return not _OTHER.search(text) and not any(s in text for s in self.special)
 
+    def _ids(self, text: str) -> np.ndarray:
+        if self.plain(text):
+            return np.frombuffer(b"".join(map(self.words.__getitem__, _WORD.findall(text))), "<u4")
+        return np.array(self.library.encode([text])[0], "<u4")
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        out = [self.fast.encode_ordinary(t) if self.plain(t) else None for t in texts]
-        rest = [i for i, x in enumerate(out) if x is None]
-        if rest:
-            for i, ids in zip(rest, held(LibraryEncoder, self.path).encode([texts[i] for i in rest])):
-                out[i] = ids
-        return [np.array(x, dtype=np.uint32) for x in out]
+        return [self._ids(t) for t in texts]

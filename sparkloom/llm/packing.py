@@ -16,8 +16,9 @@ The rest is packed best-fit, largest first.  All steps move many pieces of a len
 at once.  The plan names ranks within a length; ranks come from a distributed sort.
 
 Cases: a null text is an empty one (its end id only); repeated rows and equal
-lengths are ordinary; ties in rank follow doc_id and piece; an empty table gives an
-empty result; extra columns do not matter.
+lengths are ordinary; texts of any length are cut up; ties in rank follow doc_id and
+piece; doc_ids may be of any type; an empty table gives an empty result; extra columns
+do not matter.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ from .bytesops import pieces as byte_pieces, tidied
 from .encoding import ByteEncoder, held
 
 BIG = 1 << 40
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+PIECES = "doc_id {id}, piece int, start long, length long, ids_crc32 long"
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -43,10 +44,10 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
 
 
 @tidied
-def _pieces(batches, files, end, capacity):
+def _pieces(batches, path, end, capacity):
     import pyarrow as pa
 
-    encoder = held(ByteEncoder, *files)
+    encoder = held(ByteEncoder, path)
     for batch in batches:
         for first, n, _, _ in byte_pieces(batch, "text", 1 << 20):
             ids = encoder.encode([t or "" for t in batch.column(1).slice(first, n).to_pylist()])
@@ -55,7 +56,7 @@ def _pieces(batches, files, end, capacity):
                 x = np.append(x, np.uint32(end)).astype("<u4")
                 rows += [(doc, i, at, size, zlib.crc32(x[at : at + size])) for i, (at, size) in enumerate(cut(len(x), capacity))]
             cols = list(zip(*rows))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], ["doc_id", "piece", "start", "length", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (batch.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.int64()))], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
 
 def plan_packing(counts: np.ndarray, capacity: int) -> np.ndarray:
@@ -149,15 +150,15 @@ def _place(batches, plan):
         yield pa.RecordBatch.from_arrays([*own, pa.array(row[:, 4] + nth // row[:, 3]), pa.array(row[:, 5] + nth % row[:, 3] * size)], [*batch.schema.names[:-1], "sequence_id", "offset"])
 
 
-def pack(docs: DataFrame, files: tuple[str, str], capacity: int = 2048, end: int = 0) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end: int = 0) -> DataFrame:
     """One row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
-    ``files``: the vocabulary as .json and as ranks."""
-    spark = docs.sparkSession
+    ``tokenizer``: the vocabulary file of a byte-level vocabulary."""
+    spark, kind = docs.sparkSession, PIECES.format(id=dict(docs.dtypes)["doc_id"])
     C.text_batches(docs.sparkSession)
-    cut_up = C.stored(docs.select("doc_id", "text").mapInArrow(lambda it: _pieces(it, files, end, capacity), PIECES), "pieces")
+    cut_up = C.stored(docs.select("doc_id", "text").mapInArrow(lambda it: _pieces(it, tokenizer, end, capacity), kind), "pieces")
     counts = np.zeros(capacity + 1, np.int64)
     for size, n in cut_up.groupBy("length").count().collect():
         counts[size] = n
     plan = spark.sparkContext.broadcast(plan_packing(counts, capacity))
     rows = C.ranked(cut_up, "length", ["doc_id", "piece", "start", "ids_crc32"]).select(*cut_up.columns, "rank")
-    return rows.mapInArrow(lambda it: _place(it, plan), PIECES + ", sequence_id long, offset long")
+    return rows.mapInArrow(lambda it: _place(it, plan), kind + ", sequence_id long, offset long")

@@ -9,17 +9,13 @@ from pyspark.sql import functions as F
 from . import common as C
 from .encoding import tokenizer_path
 
-BYTE_FILES = ("byte_bpe_50k.json", "byte_bpe_50k.tiktoken")
+BYTE_VOCABULARY = "byte_bpe_50k.json"
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def _byte_files() -> tuple[str, str]:
-    return tuple(map(tokenizer_path, BYTE_FILES))
-
-
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_dedup import drop_common_lines
 
@@ -72,7 +68,7 @@ def op7_gru_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import judge
 
-    out = judge(_documents(spark, sf_dir))
+    out = judge(_documents(spark, sf_dir), texts=False)
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
 
 
@@ -80,14 +76,14 @@ def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_store import read_documents, write_store
 
     path = C.scratch(spark, "token-store")
-    write_store(_documents(spark, sf_dir), path, _byte_files(), end=2)
+    write_store(_documents(spark, sf_dir), path, tokenizer_path(BYTE_VOCABULARY), end=2)
     return read_documents(spark, path)
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
-    return pack(_documents(spark, sf_dir), _byte_files(), capacity=2048, end=0)
+    return pack(_documents(spark, sf_dir), tokenizer_path(BYTE_VOCABULARY), capacity=2048, end=0)
 
 
 OP1_SQL = r"""
@@ -117,7 +113,7 @@ lens AS (SELECT DISTINCT n FROM windows),
 places AS (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS g FROM docs, lens WHERE len(w) >= n),
 hits AS (SELECT p.doc_id, p.g, p.n, x.item_id FROM (SELECT doc_id, g, n, w[g:g + n - 1] AS y FROM places) p JOIN windows x ON p.y = x.x),
 covered AS (SELECT doc_id, count(DISTINCT i) AS n_hit FROM (SELECT doc_id, unnest(range(g, g + n)) AS i FROM (SELECT DISTINCT doc_id, g, n FROM hits)) GROUP BY doc_id),
-found AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS id FROM hits) GROUP BY doc_id)
+found AS (SELECT doc_id, count(id) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS id FROM hits) GROUP BY doc_id)
 SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(c.n_hit, 0)::BIGINT AS n_hit, coalesce(f.n_items, 0)::BIGINT AS n_items,
        sha256(coalesce(f.ids, '')) AS items_sha256, coalesce(c.n_hit, 0) > 0 AS contaminated
 FROM docs d LEFT JOIN covered c ON d.doc_id = c.doc_id LEFT JOIN found f ON d.doc_id = f.doc_id

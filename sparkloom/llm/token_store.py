@@ -13,13 +13,15 @@ block by block, with no join.
 
 Cases: a null text is an empty one (its end id only); null doc_ids come first; equal
 doc_ids follow each other in an order fixed by their texts; documents of any length
-span blocks; an empty table gives an empty store; extra columns do not matter.
+span blocks, and each id is copied once whatever the length; doc_ids may be of any
+type; an empty table gives an empty store; extra columns do not matter.
 """
 
 from __future__ import annotations
 
 import struct
 import zlib
+from collections import deque
 
 import numpy as np
 from pyspark import TaskContext
@@ -31,7 +33,7 @@ from .bytesops import pieces, tidied
 from .encoding import ByteEncoder, held
 
 MAGIC, BLOCK = b"IDPL", 1 << 16
-STORE = "shard int, chunk int, first long, n_ids long, block binary, docs array<struct<doc_id: long, at: long, n_tokens: long>>"
+STORE = "shard int, chunk int, first long, n_ids long, block binary, docs array<struct<doc_id: {id}, at: long, n_tokens: long>>"
 
 
 def pack_block(ids: np.ndarray, planes: str = "byte", level: int = 3) -> bytes:
@@ -66,45 +68,53 @@ def unpack_block(block: bytes) -> np.ndarray:
 
 
 @tidied
-def _blocks(batches, files, end, planes, size):
+def _blocks(batches, path, end, planes, size):
     import pyarrow as pa
 
-    encoder, shard = held(ByteEncoder, *files), TaskContext.get().partitionId()
-    schema = pa.schema([("shard", pa.int32()), ("chunk", pa.int32()), ("first", pa.int64()), ("n_ids", pa.int64()), ("block", pa.binary()), ("docs", pa.list_(pa.struct([("doc_id", pa.int64()), ("at", pa.int64()), ("n_tokens", pa.int64())])))])
-    waiting, many, total, chunk, docs = [], 0, 0, 0, []
+    encoder, shard = held(ByteEncoder, path), TaskContext.get().partitionId()
+    waiting, many, total, chunk, docs, schema = deque(), 0, 0, 0, deque(), None
 
     def flush(n):
-        nonlocal waiting, many, chunk, docs
-        ids = np.concatenate(waiting)
-        first = total - many
-        row = {"shard": shard, "chunk": chunk, "first": first, "n_ids": n, "block": pack_block(ids[:n], planes), "docs": docs}
-        waiting, many, chunk = [ids[n:]], many - n, chunk + 1
-        docs = [d for d in docs if d["at"] + d["n_tokens"] > first + n]
+        """The first ``n`` of the waiting ids, as a block; each id is copied once."""
+        nonlocal many, chunk
+        first, parts, need = total - many, [], n
+        while need:
+            part = waiting.popleft()
+            if len(part) > need:
+                waiting.appendleft(part[need:])
+                part = part[:need]
+            parts.append(part)
+            need -= len(part)
+        own = []
+        while docs and docs[0]["at"] < first + n:
+            own.append(docs[0])
+            if docs[0]["at"] + docs[0]["n_tokens"] > first + n:
+                break
+            docs.popleft()
+        row = {"shard": shard, "chunk": chunk, "first": first, "n_ids": n, "block": pack_block(np.concatenate(parts), planes), "docs": own}
+        many, chunk = many - n, chunk + 1
         return pa.RecordBatch.from_pylist([row], schema)
 
     for batch in batches:
+        schema = schema or pa.schema([("shard", pa.int32()), ("chunk", pa.int32()), ("first", pa.int64()), ("n_ids", pa.int64()), ("block", pa.binary()), ("docs", pa.list_(pa.struct([("doc_id", batch.schema.field(0).type), ("at", pa.int64()), ("n_tokens", pa.int64())])))])
         for first, n, _, _ in pieces(batch, "text", 1 << 20):
             texts = [t or "" for t in batch.column(1).slice(first, n).to_pylist()]
             for doc, ids in zip(batch.column(0).slice(first, n).to_pylist(), encoder.encode(texts)):
-                ids = np.append(ids, np.uint32(end))
-                docs.append({"doc_id": doc, "at": total, "n_tokens": len(ids)})
-                waiting.append(ids)
-                many, total = many + len(ids), total + len(ids)
+                docs.append({"doc_id": doc, "at": total, "n_tokens": len(ids) + 1})
+                waiting.extend((ids, np.array([end], "<u4")))
+                many, total = many + len(ids) + 1, total + len(ids) + 1
                 while many >= size:
-                    # a document that starts at or after this block's end waits for the next
-                    begins, later = total - many + size, []
-                    docs, later = [d for d in docs if d["at"] < begins], [d for d in docs if d["at"] >= begins]
                     yield flush(size)
-                    docs += later
     if many:
         yield flush(many)
 
 
-def write_store(docs: DataFrame, path: str, files: tuple[str, str], end: int = 2, planes: str = "byte", block: int = BLOCK) -> None:
+def write_store(docs: DataFrame, path: str, tokenizer: str, end: int = 2, planes: str = "byte", block: int = BLOCK) -> None:
+    """``tokenizer``: the vocabulary file of a byte-level vocabulary."""
     C.text_batches(docs.sparkSession)
     order = [F.col("doc_id"), F.xxhash64("text")]
     rows = docs.select("doc_id", "text").repartitionByRange(C.partitions(docs.sparkSession), *order).sortWithinPartitions(*order)
-    rows.mapInArrow(lambda it: _blocks(it, files, end, planes, block), STORE).write.parquet(path)
+    rows.mapInArrow(lambda it: _blocks(it, tokenizer, end, planes, block), STORE.format(id=dict(docs.dtypes)["doc_id"])).write.parquet(path)
 
 
 @tidied
@@ -112,9 +122,9 @@ def _read(batches):
     import pyarrow as pa
 
     names = ["shard", "doc_id", "at", "n_tokens", "part", "n", "crc"]
-    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
     for batch in batches:
-        rows = []
+        doc_id = batch.column(batch.schema.get_field_index("docs")).type.value_type.field("doc_id").type
+        kinds, rows = [pa.int32(), doc_id, *[pa.int64()] * 5], []
         for r in batch.to_pylist():
             ids = unpack_block(r["block"])
             for d in r["docs"]:
@@ -161,9 +171,11 @@ def _whole(parts: list) -> int:
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, from the stored blocks."""
-    parts = spark.read.schema(STORE).parquet(path).mapInArrow(_read, "shard int, doc_id long, at long, n_tokens long, part long, n long, crc long")
+    blocks = spark.read.parquet(path)
+    kind = blocks.schema["docs"].dataType.elementType["doc_id"].dataType.simpleString()
+    parts = blocks.select("shard", "first", "block", "docs").mapInArrow(_read, f"shard int, doc_id {kind}, at long, n_tokens long, part long, n long, crc long")
     parts = C.stored(parts, "read-parts")
-    shards = spark.read.schema(STORE).parquet(path).groupBy("shard").agg(F.sum("n_ids").alias("_all"))
+    shards = blocks.groupBy("shard").agg(F.sum("n_ids").alias("_all"))
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     shards = shards.select("shard", F.coalesce(F.sum("_all").over(before), F.lit(0)).alias("_before"))
     one = parts.filter("n = n_tokens").select("shard", "doc_id", "at", "n_tokens", F.col("crc").alias("ids_crc32"))

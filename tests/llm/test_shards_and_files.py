@@ -11,15 +11,15 @@ from sparkloom.llm import common as C
 from sparkloom.llm import packing as P
 from sparkloom.llm import sharding as L
 from sparkloom.llm import token_store as T
-from sparkloom.llm.encoding import ByteEncoder, LibraryEncoder, tokenizer_path
+from sparkloom.llm.encoding import ByteEncoder, LibraryEncoder, held, tokenizer_path
 
 from . import helpers as H
 
-FILES = (tokenizer_path("byte_bpe_50k.json"), tokenizer_path("byte_bpe_50k.tiktoken"))
+FILE = tokenizer_path("byte_bpe_50k.json")
 
 
 def library_ids(texts, end):
-    return [np.array([*x, end], "<u4") for x in LibraryEncoder(FILES[0]).encode([t or "" for t in texts])]
+    return [np.array([*x, end], "<u4") for x in held(LibraryEncoder, FILE).encode([t or "" for t in texts])]
 
 
 @settings(max_examples=100, deadline=None)
@@ -62,6 +62,29 @@ def test_shards(spark):
     assert L.shard_by_bytes(H.empty(spark)).collect() == []
 
 
+@pytest.mark.parametrize("shards", [3, 8, 50])
+def test_coarse_classes_keep_loads_near_equal(shards):
+    """Plans with the means of classes, for groups of up to a gigabyte: against LPT on the
+    groups themselves, and each load against its plan."""
+    rng = np.random.default_rng(shards)
+    sizes = np.sort(np.exp(rng.normal(12, 2, 5000)).astype(np.int64) + 1)[::-1]
+    coarse = lambda s: s if s <= L.EXACT else s >> s.bit_length() - L.LEADING << s.bit_length() - L.LEADING
+    groups = {}
+    for s in sizes.tolist():
+        groups.setdefault(coarse(s), []).append(s)
+    plan = L.lpt([(c, sum(g) / len(g), len(g)) for c, g in sorted(groups.items(), reverse=True)], shards)
+    loads, planned, rank = [0] * shards, [0.0] * shards, {c: rng.permutation(g) for c, g in groups.items()}
+    for c, a, b, s in plan:
+        loads[s] += int(rank[c][a:b].sum())
+        planned[s] += (b - a) * sum(groups[c]) / len(groups[c])
+    heap = [0] * shards
+    for s in sizes.tolist():
+        heapq.heapreplace(heap, heap[0] + s)
+    slack = int(sizes[sizes > L.EXACT].sum()) / 2**11
+    assert sum(loads) == sizes.sum() and max(abs(x - y) for x, y in zip(loads, planned)) <= slack
+    assert max(loads) - min(loads) <= max(heap) - min(heap) + 2 * slack
+
+
 def test_size_classes_are_exact_then_coarse(spark):
     from pyspark.sql import functions as F
 
@@ -83,7 +106,7 @@ def test_ranks_are_gapless(spark):
 def test_token_store_round_trip(spark, planes, block):
     texts = H.odd_texts()
     path = C.scratch(spark, "test-store")
-    T.write_store(H.frame(spark), path, FILES, end=2, planes=planes, block=block)
+    T.write_store(H.frame(spark), path, FILE, end=2, planes=planes, block=block)
     got = T.read_documents(spark, path).orderBy("doc_id").collect()
     ids = library_ids(texts, 2)
     start = np.cumsum([0, *map(len, ids)])
@@ -95,11 +118,11 @@ def test_token_store_round_trip(spark, planes, block):
 
 def test_token_store_null_ids_and_empty(spark):
     path = C.scratch(spark, "test-store")
-    T.write_store(H.frame(spark, ["a"], [(None, "b", "", "", 1, "", "", "")] * 2), path, FILES)
+    T.write_store(H.frame(spark, ["a"], [(None, "b", "", "", 1, "", "", "")] * 2), path, FILE)
     got = T.read_documents(spark, path).collect()
     assert sorted((r.start, r.doc_id) for r in got) == [(0, None), (2, None), (4, 0)]
     path = C.scratch(spark, "test-store")
-    T.write_store(H.empty(spark), path, FILES)
+    T.write_store(H.empty(spark), path, FILE)
     assert T.read_documents(spark, path).collect() == []
 
 
@@ -178,7 +201,7 @@ def test_plans_of_many_equal_pieces(counts):
 
 def test_packing(spark):
     texts = H.odd_texts()
-    got = P.pack(H.frame(spark), FILES, capacity=128, end=0).orderBy("doc_id", "piece").collect()
+    got = P.pack(H.frame(spark), FILE, capacity=128, end=0).orderBy("doc_id", "piece").collect()
     want = []
     for doc, ids in enumerate(library_ids(texts, 0)):
         want += [(doc, i, a, n, zlib.crc32(ids[a : a + n].tobytes())) for i, (a, n) in enumerate(P.cut(len(ids), 128))]
@@ -190,11 +213,51 @@ def test_packing(spark):
             assert r.offset == at
             at += r.length
         assert at <= 128
-    assert P.pack(H.empty(spark), FILES).collect() == []
+    assert P.pack(H.empty(spark), FILE).collect() == []
 
 
-def test_very_long_white_space_is_encoded():
-    """The rank form's library panics on it."""
-    texts = [" " * 2_000_000, "a" + "\n" * 2_000_000 + "b", ("x" + " " * 99_999) * 3]
-    got = ByteEncoder(*FILES).encode(texts)
+def test_very_long_texts_are_encoded():
+    rng = random.Random(3)
+    texts = [" " * 2_000_000, "a" + "\n" * 2_000_000 + "b", ("x" + " " * 99_999) * 3, "x" * 1_000_000, " ".join(rng.choice(["ab", "Cd,", "12"]) for _ in range(400_000))]
+    got = held(ByteEncoder, FILE).encode(texts)
     assert all((a == b[:-1]).all() for a, b in zip(got, library_ids(texts, 0), strict=True))
+
+
+def test_words_are_cut_as_the_library_cuts_them():
+    """Every character that is cut here, in four surroundings each."""
+    encoder = ByteEncoder(FILE, most=1000)
+    plain = [chr(i) for i in range(0x10000) if not 0xD800 <= i < 0xE000 and encoder.plain(chr(i))]
+    assert len(plain) > 30_000
+    texts = ["".join(f"a{c}b {c}1{c}{c}. \n" for c in plain[i : i + 50]) for i in range(0, len(plain), 50)]
+    got = encoder.encode(texts)
+    assert all(encoder.plain(t) for t in texts)
+    assert all((a == b[:-1]).all() for a, b in zip(got, library_ids(texts, 0), strict=True))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.sampled_from("ab'sltvred \n\t\r_1²½é<|>endoftext.,日 \xa0\x85\u3000")))
+def test_encoder_equals_the_library(text):
+    for t in (text, text + "<|endoftext|>" + text):
+        assert (held(ByteEncoder, FILE).encode([t])[0] == library_ids([t], 0)[0][:-1]).all()
+
+
+def test_doc_ids_of_any_type(spark):
+    docs = H.frame(spark).selectExpr("concat('d', doc_id) AS doc_id", "text")
+    path = C.scratch(spark, "test-store")
+    T.write_store(docs, path, FILE, block=64)
+    got = T.read_documents(spark, path)
+    ids = {f"d{i}": x for i, x in enumerate(library_ids(H.odd_texts(), 2))}
+    assert {r.doc_id: r.n_tokens for r in got.collect()} == {d: len(x) for d, x in ids.items()}
+    packed = P.pack(docs, FILE, capacity=128, end=2).collect()
+    assert {d: sum(r.length for r in packed if r.doc_id == d) for d in ids} == {d: len(x) for d, x in ids.items()}
+
+
+def test_store_and_packing_of_a_very_long_text(spark):
+    text = "long text, " * 60_000 + " " * 1_000_000 + "\n" * 1_000_000 + "x" * 1_000_000
+    want = library_ids([text, "b"], 2)
+    path = C.scratch(spark, "test-store")
+    T.write_store(H.frame(spark, [text, "b"]), path, FILE, block=4096)
+    got = T.read_documents(spark, path).orderBy("doc_id").collect()
+    assert [(r.n_tokens, r.ids_crc32) for r in got] == [(len(x), zlib.crc32(x.tobytes())) for x in want]
+    rows = P.pack(H.frame(spark, [text, "b"]), FILE, end=2).filter("doc_id = 0").collect()
+    assert sum(r.length for r in rows) == len(want[0]) and max(r.length for r in rows) == 2048
