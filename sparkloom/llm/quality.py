@@ -1,16 +1,20 @@
 """Operator 8: quality rules by weak supervision.
 
 Each rule looks at one feature of a whole text and votes good (1), bad (-1) or
-abstains (0).  Expectation-maximisation over the counts of vote patterns (at most
-3 ** rules rows, whatever the corpus) estimates how accurate each rule is on good and
-on bad documents and how common good ones are; a document is kept if the posterior
-probability of good is at least ``keep``.  No rule decides alone, save the base
-limits that the caller may ask for.
-
-Cases: a null text has no words; a document without words is bad by its word count;
-ties in the posterior (equal to ``keep``) are kept; repeated rows count as often as
-they come; an empty table gives an empty result; columns with the names of the
-results are replaced, other extra columns are kept.
+abstains (0).  Several rules look at each kind of fault (``FAMILIES``).  A document is
+good or has one kind of fault, and each rule has an accuracy for each of these classes;
+expectation-maximisation over the counts of vote patterns (at most 3 ** rules rows,
+whatever the corpus) estimates the accuracies and how common the classes are.  Nothing
+pins them: a family only says where its class starts.  A document is kept if the
+posterior probability of good is at least ``keep``: one vote of a rule that others do
+not bear out can be outvoted, and one of a rule that proves exact cannot.  No rule
+decides alone, save the base limits that the caller may ask for.
+
+Cases: a null text has no words; in a text without words, or with too few, rules
+abstain, and what is left is how common good documents are; texts of any length are
+measured whole; ties in the posterior (equal to ``keep``) are kept; repeated rows count
+as often as they come; an empty table gives an empty result; columns with the names of
+the results are replaced, other extra columns are kept.
 """
 
 from __future__ import annotations
@@ -33,7 +37,7 @@ DIGIT[48:58] = True
 STOP = np.zeros(256, bool)
 STOP[list(b".!?")] = True
 
-FEATURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters", "n_digits", "n_marks", "n_distinct"]
+FEATURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters", "n_digits", "n_marks", "n_distinct", "n_odd_words"]
 
 
 def features(buf: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
@@ -47,7 +51,10 @@ def features(buf: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
     out["n_symbols"] = B.per_doc(SYMBOL[buf], off)
     for name, table in (("n_upper", UPPERCASE), ("n_letters", LETTER), ("n_digits", DIGIT), ("n_marks", STOP)):
         out[name] = B.per_doc(table[buf], off)
+    letters = np.zeros(len(buf) + 1, np.int64)
+    np.cumsum(LETTER[buf], out=letters[1:])
     docs = len(off) - 1
+    out["n_odd_words"] = np.bincount(B.owner(starts, off)[letters[ends] == letters[starts]], minlength=docs)
     own = np.repeat(np.arange(docs), out["n_words"])
     salt = B.mix(np.arange(docs, dtype=U) + U(1))
     word = B.span_hash(pre, starts, ends)
@@ -101,19 +108,20 @@ def _repeated(key: np.ndarray) -> np.ndarray:
 
 
 @B.tidied
-def _measure(batches):
+def _measure(batches, keep):
     import pyarrow as pa
 
     for batch in batches:
         parts = [features(buf, off) for _, _, buf, off in B.pieces(batch)]
         cols = [np.concatenate([p[f] for p in parts]).astype(np.int64) if parts else np.zeros(0, np.int64) for f in FEATURES]
-        yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, cols)], [*batch.schema.names, *["_" + f for f in FEATURES]])
+        yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in keep], *map(pa.array, cols)], [*[batch.schema.names[i] for i in keep], *["_" + f for f in FEATURES]])
 
 
-def measured(docs: DataFrame) -> DataFrame:
-    """``docs`` with each feature as a column ``_<feature>``."""
-    schema = T.StructType([*docs.schema.fields, *[T.StructField("_" + f, T.LongType()) for f in FEATURES]])
-    return docs.mapInArrow(_measure, schema)
+def measured(docs: DataFrame, texts: bool = True) -> DataFrame:
+    """``docs`` (without the text unless ``texts``) with each feature as ``_<feature>``."""
+    keep = [i for i, c in enumerate(docs.columns) if texts or c != "text"]
+    schema = T.StructType([*[docs.schema.fields[i] for i in keep], *[T.StructField("_" + f, T.LongType()) for f in FEATURES]])
+    return docs.mapInArrow(lambda it: _measure(it, keep), schema)
 
 
 def _ratio(a: str, b: str):
@@ -122,55 +130,57 @@ def _ratio(a: str, b: str):
 
 def rules() -> dict:
     """Votes by name.  Limits are shares of what a text has, so they hold at any
-    length; a rule abstains between its two limits and where a text is too short."""
-    long = F.col("_n_words") >= 20
+    length; a rule abstains between its two limits and where a text is too short.  They
+    are close on purpose: a rule may be wrong at times, and that is estimated."""
+    few, long = F.col("_n_words") >= 5, F.col("_n_words") >= 20
+    size = _ratio("_word_chars", "_n_words")
 
-    def vote(value, good, bad, when=F.lit(True)):
+    def vote(value, good, bad, when):
         low = good < bad
         yes = value <= good if low else value >= good
         no = value >= bad if low else value <= bad
         return F.when(~when, 0).when(no, -1).when(yes, 1).otherwise(0)
 
     return {
-        "length": vote(F.col("_n_words"), 50, 0),
-        "symbols": vote(_ratio("_n_symbols", "_n_words"), 0.05, 0.3, F.col("_n_words") >= 5),
-        "capitals": vote(_ratio("_n_upper", "_n_letters"), 0.2, 0.5, F.col("_n_letters") >= 20),
-        "word_length": F.when(F.col("_n_words") < 5, 0).when(_ratio("_word_chars", "_n_words").between(2.5, 11), 1).otherwise(-1),
-        "letters": vote(_ratio("_n_letters", "_word_chars"), 0.8, 0.6, F.col("_n_words") >= 5),
-        "repeats": vote(_ratio("_n_repeat_words", "_n_words"), 0.25, 0.5, long),
-        "lines": vote(_ratio("_n_dup_lines", "_n_lines"), 0.1, 0.4, F.col("_n_lines") >= 3),
-        "variety": vote(_ratio("_n_distinct", "_n_words"), 0.25, 0.12, long & (F.col("_n_words") <= 2000)),
-        "sentences": vote(_ratio("_n_marks", "_n_words"), 0.2, 0.5, long),
+        "symbols": vote(_ratio("_n_symbols", "_n_words"), 0.02, 0.15, few),
+        "letters": vote(_ratio("_n_letters", "_word_chars"), 0.93, 0.85, few),
+        "odd_words": vote(_ratio("_n_odd_words", "_n_words"), 0.1, 0.3, few),
+        "word_length": F.when(~few, 0).when(size.between(4, 6), 1).when(size.between(3.5, 7), 0).otherwise(-1),
+        "repeats": vote(_ratio("_n_repeat_words", "_n_words"), 0.1, 0.3, long),
+        "lines": vote(_ratio("_n_dup_lines", "_n_lines"), 0.05, 0.25, F.col("_n_lines") >= 3),
+        "variety": vote(_ratio("_n_distinct", "_n_words"), 0.5, 0.35, long & (F.col("_n_words") <= 2000)),
+        "capitals": vote(_ratio("_n_upper", "_n_letters"), 0.08, 0.3, F.col("_n_letters") >= 20),
+        "sentences": vote(_ratio("_n_marks", "_n_words"), 0.15, 0.3, long),
     }
 
 
-def fit(patterns: np.ndarray, counts: np.ndarray, rounds: int = 300, prior: float = 0.85, false_alarm: float = 0.004, power: float = 0.5, steady: float = 1e-6) -> tuple[np.ndarray, np.ndarray]:
+#: Rules that look at the same kind of fault.
+FAMILIES = [["symbols", "letters", "odd_words", "word_length"], ["repeats", "lines", "variety"], ["capitals", "sentences"]]
+
+
+def fit(patterns: np.ndarray, counts: np.ndarray, names: list[str], families: list[list[str]] = FAMILIES, rounds: int = 500, prior: float = 0.85, steady: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
     """Shares of the classes and P(vote against | class, not abstaining) as
-    [class][rule], by expectation-maximisation; abstaining says nothing.
-
-    Each rule names its own fault and a bad document may have only one, so bad is one
-    class for each fault (class k: rule k's) and good is the last class.  A vote against
-    is held to be wrong on at most ``false_alarm`` of good documents, and right on at
-    least ``power`` of those with its fault; how often a fault comes with others, and
-    how common each is, is learnt.  Counts become shares of their sum, so the corpus's
-    size has no say; the start, as a share of ``steady``, steadies rare classes."""
-    m = patterns.shape[1]
-    against, voted = (patterns == -1).astype(float), (patterns != 0).astype(float)
-    start = np.full((m + 1, m), 0.1)
-    start[np.arange(m), np.arange(m)], start[m] = 0.8, false_alarm
-    first = np.append(np.full(m, (1 - prior) / m), prior)
-    shares, table = first, start
+    [class][rule], by expectation-maximisation; abstaining says nothing.  Class 0 is
+    good, class k has the fault of family k - 1.
+
+    At the start a rule is against 6 in 10 documents with its family's fault and 1 in 10
+    others; what it is in truth is learnt.  Counts become shares of their sum, so the
+    corpus's size has no say; the start, as a share of ``steady``, steadies classes that
+    are hardly there."""
+    table = np.full((len(families) + 1, patterns.shape[1]), 0.1)
+    for k, family in enumerate(families):
+        table[k + 1, [names.index(r) for r in family]] = 0.6
+    shares = np.append(prior, np.full(len(families), (1 - prior) / len(families)))
     if not len(counts):
         return shares, table
-    counts = counts / counts.sum()
+    against, voted = (patterns == -1).astype(float), (patterns != 0).astype(float)
+    counts, first, start = counts / counts.sum(), shares, table
     for _ in range(rounds):
         weight = posterior(patterns, shares, table) * counts
-        old = shares
-        shares = (weight.sum(axis=1) + steady * first) / (1 + steady)
-        table = np.clip((weight @ against + steady * start) / (weight @ voted + steady), 1e-4, 0.95)
-        table[np.arange(m), np.arange(m)] = np.maximum(table[np.arange(m), np.arange(m)], power)
-        table[m] = np.minimum(table[m], false_alarm)
-        if np.abs(shares - old).max() < 1e-9:
+        old, hold = table, steady * first
+        shares = (weight.sum(axis=1) + hold) / (1 + steady)
+        table = (weight @ against + hold[:, None] * start) / (weight @ voted + hold[:, None])
+        if np.abs(table - old).max() < 1e-9:
             break
     return shares, table
 
@@ -182,25 +192,32 @@ def posterior(patterns: np.ndarray, shares: np.ndarray, table: np.ndarray) -> np
     return p / p.sum(axis=0)
 
 
-def judge(docs: DataFrame, keep: float = 0.5, min_words: int = 50, max_repeat_percent: int = 50) -> DataFrame:
-    """``docs`` with the counts, ``base_failed``, ``quality`` (the posterior) and ``kept``."""
+def probability_of_good(patterns: np.ndarray, shares: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """The posterior of good.  Against switched labels, a class that rules vote against
+    no more than they do against class 0 is good too."""
+    good = table.mean(axis=1) <= table[0].mean()
+    return posterior(patterns, shares, table)[good].sum(axis=0)
+
+
+def judge(docs: DataFrame, keep: float = 0.5, min_words: int = 50, max_repeat_percent: int = 50, texts: bool = True) -> DataFrame:
+    """``docs`` (without the text unless ``texts``) with the counts, ``base_failed``,
+    ``quality`` (the posterior) and ``kept``."""
     C.text_batches(docs.sparkSession)
     results = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     docs = C.without(docs, *results, "base_failed", "quality", "kept")
     spark, votes = docs.sparkSession, rules()
-    rows = measured(docs)
-    small = measured(docs.select("text")).drop("text").select(*[v.cast("int").alias(k) for k, v in votes.items()])
-    seen = small.groupBy(*votes).count().toPandas()
+    # each text is measured once; the counts of patterns and the result read this table
+    rows = C.stored(measured(docs, texts), "quality-features")
+    own = [c for c in docs.columns if texts or c != "text"]
+    seen = rows.groupBy(*[v.cast("int").alias(k) for k, v in votes.items()]).count().toPandas()
     patterns, counts = seen[list(votes)].to_numpy(int), seen["count"].to_numpy(float)
     order = np.lexsort(patterns.T)
     patterns, counts = patterns[order], counts[order]
-    shares, table = fit(patterns, counts)
     # the posterior of each pattern seen: at most 3 ** rules rows, so it is broadcast
-    good = np.round(posterior(patterns, shares, table)[-1], 9)
+    good = np.round(probability_of_good(patterns, *fit(patterns, counts, list(votes))), 9)
     digits = [3**i for i in range(len(votes))]
     known = spark.createDataFrame([(int(c), float(q)) for c, q in zip((patterns + 1) @ np.array(digits), good)], "_code int, quality double")
     code = sum(((v.cast("int") + 1) * d for v, d in zip(votes.values(), digits)), F.lit(0))
     rows = rows.withColumn("_code", code).join(F.broadcast(known), "_code")
     failed = (F.col("_n_words") < min_words) | (100 * F.col("_n_repeat_words") > max_repeat_percent * F.col("_n_words"))
-    own = [F.col("_" + f).alias(f) for f in results]
-    return rows.select(*docs.columns, *own, failed.alias("base_failed"), "quality", (~failed & (F.col("quality") >= keep)).alias("kept"))
+    return rows.select(*own, *[F.col("_" + f).alias(f) for f in results], failed.alias("base_failed"), "quality", (~failed & (F.col("quality") >= keep)).alias("kept"))
