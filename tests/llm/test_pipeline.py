@@ -7,18 +7,18 @@ from sparkloom.llm import quality as Q
 
 from . import helpers as H
 from .test_lines_and_counts import plain_line_dedup
-from .test_repeats_and_near_copies import plain_components, plain_fingerprint
+from .test_repeats_and_near_copies import plain_groups, plain_wide
 from .test_shards_and_files import library_ids
 from .test_text_models import plain_hits
 
 
 def test_pipeline_matches_brute_force(spark):
     docs = {r.doc_id: r.text for r in H.documents(spark).collect()}
-    kept = {r.doc_id for r in Q.judge(H.documents(spark), min_words=0).filter("kept").collect()}
+    kept = {r.doc_id for r in Q.judge(H.documents(spark), min_words=1, max_repeat_percent=100).filter("kept").collect()}
     assert 0 < len(kept) < len(docs)
     docs = {d: t for d, t in docs.items() if d in kept}
     docs = {d: x[2] for d, x in zip(docs, plain_line_dedup(list(docs.values()), 10))}
-    part = plain_components({d: plain_fingerprint(t) for d, t in docs.items()})
+    part = plain_groups({d: plain_wide(t) for d, t in docs.items()}, 38)
     docs = {d: t for d, t in docs.items() if part[d] == d}
     bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{H.DATA}/benchmark.parquet").collect()]
     docs = {d: t for (d, t), hit in zip(docs.items(), plain_hits(list(docs.values()), bench)) if not hit[1]}
