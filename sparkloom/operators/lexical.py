@@ -2,9 +2,9 @@
 
 A corpus is a table with ``type``, ``id``, ``title``, ``path``, ``category``, ``tags``
 and the text of each weighted field in a column of its own (null: the entity has no
-such field).  A query has few terms, so counts of terms are expressions on each row:
-statistics are one aggregation to one row, ranking one pass and a top-k; nothing is
-exploded or shuffled by term.
+such field).  A query has few terms, so counts of terms are expressions on each row,
+written once; statistics are one aggregation of them to one row, ranking one pass over
+them and a top-k; nothing is exploded or shuffled by term.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ from ..operators import lexical as K
 from ..operators import retrieve as R
 from ..sources import adapters as A
 from ..streaming import queues as S
-from .registry import query
+from .registry import TASKS, query
+from .retrieval import DOC_CORPUS, bm25_parts
 
 
 def _sessions(key: str, gap: str) -> str:
@@ -62,10 +63,24 @@ def _pack_entities(spark, folder):
     return d.unionByName(t.select(F.lit("task").alias("type"), F.col("key").cast("string").alias("id"), "title", F.col("description").alias("content"), life.alias("lifecycle")))
 
 
-@query()
+WORDS = bm25_parts(DOC_CORPUS, {"doc": K.WEIGHTS["doc"]}, "the token account")
+
+
+@query(f"""WITH {WORDS[0]}, {TASKS}, res AS ({WORDS[1]} ORDER BY score DESC, title, id LIMIT 10),
+  ents AS (SELECT 'doc' AS type, path AS id, title, content || ' @task/' || (doc_id % 50) || ' @doc/src1/1' AS content, '' AS life, doc_id FROM docs
+    UNION ALL SELECT 'task', CAST(key AS VARCHAR), title, description, CASE WHEN archived THEN 'archived' WHEN status = 'done' THEN 'done' ELSE 'active' END, NULL FROM tasks),
+  direct AS (SELECT type, id, res.score, ents.title, content, doc_id FROM res JOIN ents USING (type, id)),
+  refs AS (SELECT 'task' AS type, CAST(doc_id % 50 AS VARCHAR) AS id, 'doc:' || id AS origin, score * 0.5 AS score FROM direct UNION ALL SELECT 'doc', 'src1/1', 'doc:' || id, score * 0.5 FROM direct),
+  best AS (SELECT type, id, max(score) AS score, list_sort(list(DISTINCT origin)) AS origins FROM refs GROUP BY 1, 2),
+  more AS (SELECT type, id, best.score, origins, title, content, life FROM best JOIN ents USING (type, id)),
+  found AS (SELECT type, id, d.score, d.title, d.content, '' AS life, true AS direct, coalesce(origins, CAST([] AS VARCHAR[])) AS origins FROM direct d LEFT JOIN (SELECT type, id, origins FROM more) USING (type, id)
+    UNION ALL SELECT type, id, score, title, content, life, false, origins FROM more WHERE NOT EXISTS (SELECT 1 FROM direct d WHERE d.type = more.type AND d.id = more.id))
+  SELECT row_number() OVER o::INTEGER AS place, type, id, round(score, 6) AS score, direct, array_to_string(origins, ',') AS expanded_from, trim(concat_ws(chr(10) || chr(10), nullif(title, ''), nullif(content, '')), ' ') AS text
+  FROM found WINDOW o AS (ORDER BY list_position(['doc', 'decision', 'task', 'memory'], type), list_position(['', 'active', 'done', 'archived'], life), score DESC, title, id) ORDER BY place LIMIT 20""")
 def retrieval_pack(spark, folder):
     """Keyword results, one hop of references, in order, as a pack."""
     results = K.keyword_search(K.corpus(A.docs(spark, folder), "doc"), "the token account", 10)
     entities = _pack_entities(spark, folder)
     direct = R.candidates(results, entities)
-    return R.pack(R.merged(direct, R.expanded(direct, entities)), 20)
+    out = R.pack(R.merged(direct, R.expanded(direct, entities)), 20)
+    return out.select("place", "citation.type", "citation.id", "score", "direct", "expanded_from", "text")

@@ -21,8 +21,31 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: What this driver has written, in order; see forget().
+_written: list[str] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/sparkloom/{name}-{uuid.uuid4().hex}"
+    _written.append(f"{shared_dir(spark)}/sparkloom/{name}-{uuid.uuid4().hex}")
+    return _written[-1]
+
+
+def written() -> int:
+    """How many tables have been written so far: a mark for forget()."""
+    return len(_written)
+
+
+def forget(spark: SparkSession, mark: int = 0, keep: int = 0) -> None:
+    """Delete the tables written since ``mark``, but for the last ``keep``.  Results that
+    are not written or collected yet still read theirs, so this is for their caller."""
+    for path in _written[mark : len(_written) - keep]:
+        delete(spark, path)
+    del _written[mark : len(_written) - keep]
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

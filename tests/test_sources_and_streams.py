@@ -1,6 +1,7 @@
 """Sources, sinks and streams on files of their own."""
 
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -148,3 +149,16 @@ def test_running_stats_by_batch(spark, tmp_path):
     seen = []
     QUEUE.each_batch(QUEUE.running_stats(stream), lambda df, epoch: seen.append({(r.tool_name, r.result): r.n for r in df.collect()}), str(tmp_path / "check"), "complete")
     assert seen[-1] == {(r.tool_name, r.result): r.n for r in QUEUE.running_stats(log).collect()}
+
+
+def test_written_tables(spark):
+    from sparkloom import tables
+
+    mark = tables.written()
+    a, b = (tables.stored(spark.range(n), "test") for n in (3, 5))
+    files = a.inputFiles()
+    tables.forget(spark, mark, keep=1)
+    assert tables.written() == mark + 1 and b.count() == 5
+    assert not any(os.path.exists(f.removeprefix("file://")) for f in files)
+    rows = tables.numbered(spark.createDataFrame([(x % 7, x) for x in range(50)], "a int, b int").repartition(5), [F.desc("a"), "b"], "n").orderBy("n").collect()
+    assert [r.n for r in rows] == list(range(1, 51)) and [(r.a, r.b) for r in rows] == sorted(((x % 7, x) for x in range(50)), key=lambda t: (-t[0], t[1]))
