@@ -39,14 +39,32 @@ def paragraph_split(spark, folder):
     return d.select("doc_id", F.posexplode(C.paragraphs("x")).alias("place", "paragraph")).withColumn("place", F.col("place").cast("long"))
 
 
-@query()
-def document_chunks(spark, folder):
-    """Pages as Markdown, by headings; packing is a fold, so tests hold the oracle."""
-    pages = A.page_markdown(spark, folder).select("path", F.lit("Page").alias("title"), F.lit("").alias("description"), "content")
-    return C.document_chunks(pages, 256)
-
-
 EST = "((strlen({0}) + 3) // 4)"
+NL2 = "chr(10) || chr(10)"
+
+
+@query(rf"""WITH RECURSIVE raw AS (SELECT page_id, unnest(x) AS b, unnest(range(1, len(x) + 1)) AS i FROM (SELECT page_id, regexp_extract_all(html, '(?s)(<h[1-6][^>]*>.*?</h[1-6]>|<p>.*?</p>)', 1) AS x FROM pages)),
+  plain AS (SELECT page_id, i, coalesce(nullif(regexp_extract(b, '^<h([1-6])', 1), ''), '0')::INTEGER AS level, trim(regexp_replace(regexp_replace(b, '(?s)<[^>]*>', '', 'g'), '\s+', ' ', 'g'), ' ') AS t FROM raw),
+  bl AS (SELECT * FROM plain WHERE t != '' OR level > 0),
+  hd AS (SELECT page_id, i, t, lead(i) OVER (PARTITION BY page_id ORDER BY i) AS next FROM bl WHERE level > 0),
+  body AS (SELECT hd.page_id, hd.i, string_agg(bl.t, {NL2} ORDER BY bl.i) AS t FROM hd JOIN bl ON hd.page_id = bl.page_id AND bl.i > hd.i AND (hd.next IS NULL OR bl.i < hd.next) GROUP BY ALL),
+  page AS (SELECT page_id, 'page/' || page_id AS path, (SELECT arg_min(t, i) FROM body WHERE body.page_id = p.page_id) AS lead_, (SELECT arg_max(t, i) FROM hd WHERE hd.page_id = p.page_id) AS top,
+    coalesce((SELECT list(t ORDER BY i) FROM bl WHERE bl.page_id = p.page_id AND level = 0), []) AS p FROM pages p),
+  n AS (SELECT *, '## Notes' || {NL2} || array_to_string(p, {NL2}) AS whole FROM page),
+  f AS (SELECT page_id, p, 0 AS i, 1 AS n, '## Notes' AS content, {EST.format("'## Notes'")} AS tokens FROM n WHERE {EST.format("whole")} > 256
+    UNION ALL SELECT page_id, p, i + 1, CASE WHEN closed THEN n + 1 ELSE n END, CASE WHEN closed THEN '## Notes (continued)' ELSE content END || {NL2} || p[i + 1], CASE WHEN closed THEN {EST.format("'## Notes (continued)' || " + NL2 + " || p[i + 1]")} ELSE tokens + {EST.format("p[i + 1]")} END
+    FROM (SELECT *, i > 0 AND tokens + {EST.format("p[i + 1]")} > 256 AS closed FROM f WHERE i < len(p))),
+  parts AS (SELECT page_id, n AS position, arg_max(content, i) AS content, arg_max(tokens, i) AS tokens FROM f GROUP BY page_id, n UNION ALL SELECT page_id, 1, whole, {EST.format("whole")} FROM n WHERE {EST.format("whole")} <= 256),
+  c AS (SELECT path, 0 AS position, '# Metadata' AS section, '' AS header_path, 1 AS level, concat_ws({NL2}, 'Page', lead_) AS content, {EST.format(f"concat_ws({NL2}, 'Page', lead_)")} AS tokens FROM n
+    UNION ALL SELECT path, position, '## Notes', concat_ws('/', top, 'Notes'), 2, content, tokens FROM parts JOIN n USING (page_id))
+  SELECT path, position, section, header_path, level, content, tokens::INTEGER AS tokens, 'doc:' || path || ':chunk:' || position AS id FROM c""")
+def document_chunks(spark, folder):
+    """Pages as Markdown, by headings, with all paragraphs once more in a deeper section,
+    which is split where it is too large."""
+    pages = A.page_markdown(spark, folder)
+    paras = F.filter(F.split("content", "\n\n"), lambda x: ~x.startswith("# "))
+    text = F.concat("content", F.lit("\n\n## Notes\n\n"), F.array_join(paras, "\n\n"))
+    return C.document_chunks(pages.select("path", F.lit("Page").alias("title"), F.lit("").alias("description"), text.alias("content")), 256)
 
 
 @query(rf"""WITH RECURSIVE {MEMORIES}, m AS (SELECT id, title, replace(content, chr(10), chr(10) || chr(10)) AS x FROM memories),
