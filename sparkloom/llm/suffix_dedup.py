@@ -320,7 +320,8 @@ def _crowded(segments: DataFrame, length: int, keep: str) -> list[DataFrame]:
         out.append(twice.select(*SEG, F.array(F.struct((F.col("at") - F.col("high")).alias("start"), (F.col("at") - F.col("low") + length).alias("end"))).alias("spans")))
         if size == 1:
             return out
-        cores = clips.groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("c1", "c2")
+        # written first, as the shared grams are: a hot block's partition can be split
+        cores = C.stored(clips.groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("c1", "c2"), "open-blocks")
         work = clips.join(cores, ["c1", "c2"]).select("rep.s1", "rep.s2", "rep.low", "rep.high", F.col("total").alias("n"))
         size = -(-size // 7)
 
