@@ -71,39 +71,36 @@ def _weight(name: str) -> Column:
 
 
 def counted(df: DataFrame, terms: list[str]) -> DataFrame:
-    """Each field's length in tokens ``n_<field>`` and count of each term
-    ``t<i>_<field>``; a field that is null has length null."""
+    """Each field's length in tokens ``n_<field>`` and counts of the terms ``c_<field>``,
+    in their order; a field that is null has length null."""
     names = _fields(df)
     df = df.withColumns({f"k_{n}": F.when(F.col(f"f_{n}").isNotNull(), X.tokens(f"f_{n}")) for n in names})
     out = {f"n_{n}": F.when(F.col(f"k_{n}").isNotNull(), F.size(f"k_{n}")) for n in names}
-    for i, t in enumerate(terms):
-        out |= {f"t{i}_{n}": F.coalesce(F.size(f"k_{n}") - F.size(F.array_remove(f"k_{n}", t)), F.lit(0)) for n in names}
+    out |= {f"c_{n}": F.array(*[F.coalesce(F.size(f"k_{n}") - F.size(F.array_remove(f"k_{n}", t)), F.lit(0)) for t in terms]) for n in names}
     return df.withColumns(out).drop(*[f"k_{n}" for n in names])
 
 
 def statistics(rows: DataFrame, terms: list[str]) -> DataFrame:
-    """One row: documents, documents with each term, average length of each field."""
+    """One row: documents, the terms' inverse frequencies, average length of each field."""
     names = _fields(rows)
-    found = [reduce(lambda a, b: a | b, [F.col(f"t{i}_{n}") > 0 for n in names]) for i in range(len(terms))]
-    df = [F.count_if(f).alias(f"df{i}") for i, f in enumerate(found)]
-    avg = [F.avg(f"n_{n}").alias(f"a_{n}") for n in names]
-    return rows.agg(F.count(F.lit(1)).alias("docs"), *df, *[a for a in avg])
+    df = [F.count_if(reduce(lambda a, b: a | b, [F.get(f"c_{n}", F.lit(i)) > 0 for n in names])).alias(f"df{i}") for i in range(len(terms))]
+    counts = rows.agg(F.count(F.lit(1)).alias("docs"), *df, *[F.avg(f"n_{n}").alias(f"a_{n}") for n in names])
+    idf = [F.when(F.col(f"df{i}") > 0, F.log1p((F.col("docs") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5))).otherwise(0.0) for i in range(len(terms))]
+    return counts.select(F.array(*idf).alias("idf"), *[F.when(F.col(f"a_{n}") > 0, F.col(f"a_{n}")).otherwise(1.0).alias(f"a_{n}") for n in names])
 
 
 def bm25(rows: DataFrame, terms: list[str]) -> DataFrame:
     """Adds ``bm25``.  ``rows`` is counted(); what is left of filters is the corpus."""
     names = _fields(rows)
-    stats = statistics(rows, terms)
-    joined = rows.crossJoin(F.broadcast(stats))  # one row
-    score = F.lit(0.0)
-    for i in range(len(terms)):
-        n, df = F.col("docs"), F.col(f"df{i}")
-        idf = F.when(df > 0, F.log1p((n - df + 0.5) / (df + 0.5))).otherwise(0.0)
-        for name in names:
-            tf, avg = F.col(f"t{i}_{name}").cast("double"), F.when(F.col(f"a_{name}") > 0, F.col(f"a_{name}")).otherwise(1.0)
-            part = _weight(name) * idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col(f"n_{name}") / avg))
-            score = score + F.when(tf > 0, part).otherwise(0.0)
-    return joined.withColumn("bm25", score).drop("docs", *[f"df{i}" for i in range(len(terms))], *[f"a_{n}" for n in names])
+    joined = rows.crossJoin(F.broadcast(statistics(rows, terms)))  # one row
+
+    def field(name: str) -> Column:
+        length = K1 * (1 - B + B * F.col(f"n_{name}") / F.col(f"a_{name}"))
+        part = lambda tf, idf: F.when(tf > 0, idf * tf * (K1 + 1) / (tf + length)).otherwise(0.0)
+        return _weight(name) * F.aggregate(F.zip_with(f"c_{name}", "idf", part), F.lit(0.0), lambda a, x: a + x)
+
+    score = sum((F.when(F.exists(f"c_{n}", lambda c: c > 0), field(n)).otherwise(0.0) for n in names), F.lit(0.0))
+    return joined.withColumn("bm25", score).drop("idf", *[f"a_{n}" for n in names])
 
 
 def boosts(query: str, terms: list[str]) -> Column:
