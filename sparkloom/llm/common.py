@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..tables import partitions, scratch, stored  # noqa: F401
+from ..tables import delete, partitions, scratch, stored  # noqa: F401
 from .bytesops import tidied
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -70,11 +70,6 @@ def ranked(df: DataFrame, group: str, order: list[str], rank: str = "rank") -> D
     return out.withColumn(rank, F.col("_at") + F.col("_shift")).drop("_pid", "_at", "_g", "_p", "_shift")
 
 
-def delete(spark: SparkSession, path: str) -> None:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def without(df: DataFrame, *names: str) -> DataFrame:
     """``df`` less the columns whose names an operator gives to its own results."""
     return df.drop(*[c for c in df.columns if c in names])

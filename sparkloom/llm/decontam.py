@@ -13,9 +13,11 @@ Benchmark items come in blocks of at most ``block_words`` words, which is what i
 broadcast at a time.  With one block the index keeps the terms of the benchmark only.
 
 Cases: a null text has no words; items without words match nothing, items shorter
-than a window are one window; rows with the same item_id are one item; repeated
-documents are each searched; long texts are a segment of their own; empty tables give
-no hits; columns with the names of the results are replaced.
+than a window are one window; rows with the same item_id are one item, and what an item
+without an id has counts as hit words only; among equally rare words any may come first,
+with the same matches; repeated documents are each searched; texts of any length are
+taken whole, long ones as a segment of their own; empty tables give no hits; columns
+with the names of the results are replaced.
 """
 
 from __future__ import annotations
@@ -153,7 +155,7 @@ def _blocks(benchmark: DataFrame, window: int, most: int):
     import pyarrow as pa
 
     def block(rows):
-        names = sorted({str(r[0]) for r in rows})
+        names = sorted({str(r[0]) for r in rows if r[0] is not None})
         number = {n: i for i, n in enumerate(names)}
         batch = pa.RecordBatch.from_arrays([pa.array([r[1] or "" for r in rows], pa.string())], ["text"])
         buf, off = B.text_column(batch)
@@ -163,7 +165,7 @@ def _blocks(benchmark: DataFrame, window: int, most: int):
         for k, r in enumerate(rows):
             own = at[first[k] : first[k + 1]].tolist()
             for i in range(max(1, len(own) - window + 1) if own else 0):
-                hosts.setdefault(tuple(own[i : i + window]), set()).add(number[str(r[0])])
+                hosts.setdefault(tuple(own[i : i + window]), set()).update([] if r[0] is None else [number[str(r[0])]])
         grid = np.full((len(hosts), window), -1, np.int64)
         for i, w in enumerate(hosts):
             grid[i, : len(w)] = w
