@@ -8,7 +8,7 @@ one run of the next level.  The sum over all runs says which keys are common.
 
 Cases: a null text counts as empty; an empty text is one empty line, whose key is
 too short to be dropped; every row is a document, repeated rows too; ties do not
-arise; empty tables give empty results; columns named ``n_lines`` or ``n_dropped``
+arise; texts of any length are split whole; empty tables give empty results; columns named ``n_lines`` or ``n_dropped``
 are replaced, other extra columns are kept.
 """
 
@@ -65,10 +65,17 @@ class LineRuns:
     def common(self) -> DataFrame:
         return self.totals().filter(F.col("_n") >= self.min_docs).select(*HASH)
 
-    def add(self, docs: DataFrame) -> None:
+    def keys(self, docs: DataFrame) -> DataFrame:
+        """The hashes of each document's different line keys, one row for each."""
         keys = F.array_distinct(F.transform(lines_of(F.col("text")), line_key))
-        keys = docs.select(F.explode(keys).alias("_key")).filter(F.length("_key") >= self.min_chars)
-        counts = keys.select(*_hashes(F.col("_key"))).groupBy(*HASH).agg(F.count(F.lit(1)).alias("_n"))
+        keys = docs.select(*[c for c in docs.columns if c != "text"], F.explode(keys).alias("_key")).filter(F.length("_key") >= self.min_chars)
+        return keys.select(*[c for c in docs.columns if c != "text"], *_hashes(F.col("_key")))
+
+    def add(self, docs: DataFrame) -> None:
+        self.add_counts(self.keys(docs.select("text")).groupBy(*HASH).agg(F.count(F.lit(1)).alias("_n")))
+
+    def add_counts(self, counts: DataFrame) -> None:
+        """A new batch: its keys and in how many of its documents each is."""
         if self.written:
             counts = counts.join(self.common(), HASH, "left_anti")
         self._write(counts, 0)
@@ -107,8 +114,11 @@ def drop_common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, b
     C.text_batches(docs.sparkSession)
     docs = C.without(docs, "n_lines", "n_dropped")
     runs = LineRuns(spark, C.scratch(spark, "line-runs"), min_docs, min_chars, fanout)
+    # one pass over the texts deals their keys to the batches
+    dealt = runs.keys(docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(batches)).alias("_batch"), "text"))
+    dealt = C.stored(dealt.groupBy("_batch", *HASH).agg(F.count(F.lit(1)).alias("_n")), "line-keys")
     for b in range(batches):
-        runs.add(docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == b))
+        runs.add_counts(dealt.filter(F.col("_batch") == b).drop("_batch"))
     keyed = C.with_row_key(docs, "doc_id", "text")
     each = keyed.select(*C.KEY, F.posexplode(lines_of(F.col("text"))).alias("_pos", "_line"))
     each = each.select(*C.KEY, "_pos", line_key(F.col("_line")).alias("_key")).filter(F.length("_key") >= min_chars)
