@@ -86,6 +86,12 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_documents(spark, sf_dir), tokenizer_path(BYTE_VOCABULARY), capacity=2048, end=0)
 
 
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .merkle import lowered_fifth, manifest
+
+    return manifest(_documents(spark, sf_dir), lowered_fifth())
+
+
 OP1_SQL = r"""
 WITH lines AS (
   SELECT doc_id, unnest(generate_series(1, len(string_split(coalesce(text, ''), chr(10))))) AS i,
@@ -119,11 +125,57 @@ SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(c.n_hit, 0)::BIGINT AS n_
 FROM docs d LEFT JOIN covered c ON d.doc_id = c.doc_id LEFT JOIN found f ON d.doc_id = f.doc_id
 """
 
+def _field(value: str) -> str:
+    return f"coalesce(strlen({value}) || ':' || {value}, '-')"
+
+
+#: The CRC goes bit by bit.  A step of a path holds a run's nodes and the place among them.
+CRC_SQL = """xor(list_reduce([4294967295] || list_transform(range(1, length(doc_id::VARCHAR) + 1), lambda i: ascii(substr(doc_id::VARCHAR, i, 1))::BIGINT),
+           lambda c, b: list_reduce([xor(c, b)] || range(8), lambda x, k: xor(x >> 1, (x & 1) * 3988292384))), 4294967295)"""
+OP12_SQL = f"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, source, text, {' || '.join(map(_field, ('doc_id::VARCHAR', 'source', 'lang', 'n_chars::VARCHAR')))} AS head,
+         CASE WHEN {CRC_SQL} % 5 = 0
+              THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END AS seen FROM documents),
+hashed AS (SELECT doc_id, source, sha256(head || {_field('text')}) AS leaf, sha256(head || {_field('seen')}) AS fold FROM docs),
+leaves AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM hashed),
+lower_levels AS (
+  SELECT 0 AS level, source, pos, leaf AS node, count(*) OVER (PARTITION BY source) AS n FROM leaves
+  UNION ALL
+  SELECT any_value(level) + 1, source, pos // 16, sha256(string_agg(node, '' ORDER BY pos)), any_value((n + 15) // 16)
+  FROM lower_levels WHERE n > 1 GROUP BY source, pos // 16),
+subroots AS (SELECT source, node AS subroot, level AS height, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS up, count(*) OVER () AS n FROM lower_levels WHERE n = 1),
+upper_levels AS (
+  SELECT 0 AS level, up AS pos, subroot AS node, n FROM subroots
+  UNION ALL
+  SELECT any_value(level) + 1, pos // 16, sha256(string_agg(node, '' ORDER BY pos)), any_value((n + 15) // 16)
+  FROM upper_levels WHERE n > 1 GROUP BY pos // 16),
+runs AS (
+  SELECT source, level, pos // 16 AS run, list(node ORDER BY pos) AS nodes FROM lower_levels WHERE n > 1 GROUP BY ALL),
+upper_runs AS (
+  SELECT level, pos // 16 AS run, list(node ORDER BY pos) AS nodes FROM upper_levels WHERE n > 1 GROUP BY ALL),
+steps AS (
+  SELECT l.source, l.pos, r.level, r.nodes, l.pos // (16 ** r.level)::BIGINT % 16 AS nth
+  FROM leaves l JOIN runs r ON l.source IS NOT DISTINCT FROM r.source AND l.pos // (16 ** (r.level + 1))::BIGINT = r.run
+  UNION ALL
+  SELECT l.source, l.pos, 100 + r.level, r.nodes, s.up // (16 ** r.level)::BIGINT % 16
+  FROM leaves l JOIN subroots s ON l.source IS NOT DISTINCT FROM s.source JOIN upper_runs r ON s.up // (16 ** (r.level + 1))::BIGINT = r.run),
+paths AS (
+  SELECT source, pos, list(array_to_string(nodes[:nth], '') || '|' || array_to_string(nodes[nth + 2:], '') ORDER BY level) AS path FROM steps GROUP BY source, pos),
+walked AS (
+  SELECT l.doc_id, l.leaf, s.subroot, (SELECT node FROM upper_levels WHERE n = 1) AS root,
+         sha256(replace(array_to_string(coalesce(p.path, []), ''), '|', '')) AS proof_sha256,
+         list_reduce([l.fold] || coalesce(p.path, []), lambda d, x: sha256(split_part(x, '|', 1) || d || split_part(x, '|', 2))) AS folded_root
+  FROM leaves l JOIN subroots s ON l.source IS NOT DISTINCT FROM s.source
+  LEFT JOIN paths p ON l.source IS NOT DISTINCT FROM p.source AND l.pos = p.pos)
+SELECT *, folded_root = root AS verified FROM walked
+"""
+
 
 def queries() -> dict:
-    own = [op1_line_dedup, op2_token_counts, op3_suffix_dedup, op4_sharding, op5_decontamination, op6_simhash, op7_gru_lm, op8_quality, op9_token_store, op10_packing]
+    own = [op1_line_dedup, op2_token_counts, op3_suffix_dedup, op4_sharding, op5_decontamination, op6_simhash, op7_gru_lm, op8_quality, op9_token_store, op10_packing, op12_merkle]
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": OP1_SQL, "op5_decontamination": OP5_SQL}
+    return {"op1_line_dedup": OP1_SQL, "op5_decontamination": OP5_SQL, "op12_merkle": OP12_SQL}
