@@ -6,7 +6,9 @@ and encodes each word by itself, so each different word goes to the library once
 ids are kept.  The cutting is done here for texts of long-settled characters, whose
 letter, digit and space classes are those of ``\\p{L}``, ``\\p{N}`` and ``\\s`` everywhere
 (``tests/llm`` goes through all of them); a text with any other character or with one of
-the vocabulary's special strings goes to the library whole.
+the vocabulary's special strings goes to the library whole.  ``WordEncoder`` is the same for
+a vocabulary of lower-case words with word ends, which drops white space: what stands between
+white space is encoded by itself.
 """
 
 from __future__ import annotations
@@ -96,3 +98,39 @@ class ByteEncoder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         return [self._ids(t) for t in texts]
+
+
+#: Two of those characters have lower cases that depend on their place or are two characters.
+_CASED = re.compile(f"{_OTHER.pattern}|[Σİ]")
+#: How the library's pre-tokenizer cuts lower-cased text with word ends.
+_ENDED = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
+
+
+class _Chunks(_Words):
+    """The ids of each string between white space, as bytes; kept as words are."""
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self.older.get(chunk)
+        if ids is None:
+            ids = array("I", [t.id for w in _ENDED.findall(chunk.lower()) for t in self.cut(w.encode().decode("latin-1").translate(self.bytes))]).tobytes()
+        if len(chunk) <= 64:
+            if len(self) >= self.most:
+                self.older = dict(self)
+                self.clear()
+            self[chunk] = ids
+        return ids
+
+
+class WordEncoder(ByteEncoder):
+    def __init__(self, path: str, most: int = 500_000):
+        super().__init__(path, most)
+        self.words = _Chunks(self.library, most)
+
+    def plain(self, text: str) -> bool:
+        other = any(c in text for c in "\x1c\x1d\x1e\x1f") if text.isascii() else _CASED.search(text)
+        return not other and not any(s in text for s in self.special)
+
+    def _ids(self, text: str) -> np.ndarray:
+        if self.plain(text):
+            return np.frombuffer(b"".join(map(self.words.__getitem__, text.split())), "<u4")
+        return np.array(self.library.encode([text])[0], "<u4")

@@ -92,6 +92,12 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest(_documents(spark, sf_dir), lowered_fifth())
 
 
+def op13_histogram_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .histogram_packing import pack
+
+    return pack(_documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"), capacity=4096, end=2)
+
+
 OP1_SQL = r"""
 WITH lines AS (
   SELECT doc_id, unnest(generate_series(1, len(string_split(coalesce(text, ''), chr(10))))) AS i,
@@ -173,7 +179,7 @@ SELECT *, folded_root = root AS verified FROM walked
 
 
 def queries() -> dict:
-    own = [op1_line_dedup, op2_token_counts, op3_suffix_dedup, op4_sharding, op5_decontamination, op6_simhash, op7_gru_lm, op8_quality, op9_token_store, op10_packing, op12_merkle]
+    own = [op1_line_dedup, op2_token_counts, op3_suffix_dedup, op4_sharding, op5_decontamination, op6_simhash, op7_gru_lm, op8_quality, op9_token_store, op10_packing, op12_merkle, op13_histogram_packing]
     return {f.__name__: f for f in own}
 
 
