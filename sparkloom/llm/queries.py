@@ -86,6 +86,12 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_documents(spark, sf_dir), tokenizer_path(BYTE_VOCABULARY), capacity=2048, end=0)
 
 
+def op11_tandem_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .tandem import periodic_runs
+
+    return periodic_runs(_documents(spark, sf_dir), times=4, least=6, planted=True).drop("runs")
+
+
 def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .merkle import lowered_fifth, manifest
 
@@ -179,7 +185,7 @@ SELECT *, folded_root = root AS verified FROM walked
 
 
 def queries() -> dict:
-    own = [op1_line_dedup, op2_token_counts, op3_suffix_dedup, op4_sharding, op5_decontamination, op6_simhash, op7_gru_lm, op8_quality, op9_token_store, op10_packing, op12_merkle, op13_histogram_packing]
+    own = [op1_line_dedup, op2_token_counts, op3_suffix_dedup, op4_sharding, op5_decontamination, op6_simhash, op7_gru_lm, op8_quality, op9_token_store, op10_packing, op11_tandem_runs, op12_merkle, op13_histogram_packing]
     return {f.__name__: f for f in own}
 
 
