@@ -16,6 +16,8 @@ near-duplicate stage, where all empty ones are one group.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,15 +32,28 @@ from sparkloom.llm.queries import BYTE_VOCABULARY
 from sparkloom.llm.simhash import similar_documents
 
 
+def keeping_columns(stage):
+    """The stage on tables with any extra columns: it sees them under names of their own."""
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        return C.apart(uses=("doc_id", "text", "n_chars"))(lambda own: stage(spark, own, sf_dir))(docs)
+
+    return run
+
+
+@keeping_columns
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return judge(docs, min_words=1, max_repeat_percent=100).filter("kept").select(*docs.columns)
 
 
+@keeping_columns
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     out = drop_common_lines(docs, min_docs=10, min_chars=1).select(*docs.columns)
     return out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
 
 
+@keeping_columns
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component the row of smallest doc_id stays (null ids last, equal ids by
     row key); repeated rows are one."""
@@ -49,6 +64,7 @@ def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return keyed.join(first, C.KEY, "left_semi").dropDuplicates(C.KEY).select(*docs.columns)
 
 
+@keeping_columns
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), window=10)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -70,9 +72,32 @@ def ranked(df: DataFrame, group: str, order: list[str], rank: str = "rank") -> D
     return out.withColumn(rank, F.col("_at") + F.col("_shift")).drop("_pid", "_at", "_g", "_p", "_shift")
 
 
-def without(df: DataFrame, *names: str) -> DataFrame:
-    """``df`` less the columns whose names an operator gives to its own results."""
-    return df.drop(*[c for c in df.columns if c in names])
+def apart(*results: str, uses: tuple[str, ...] = ("doc_id", "text")):
+    """For operators that return the columns of the table they take, and ``results``.
+
+    Columns that the operator does not use go through it under names that nothing else has
+    and get their own back, so that they may have any names, those of the operator's own
+    working columns and names that differ in case only included.  Columns that have the name
+    of a result, in any case, are replaced by it."""
+    taken = {r.lower() for r in results}
+
+    def wrap(operator):
+        @functools.wraps(operator)
+        def run(docs: DataFrame, *args, **more) -> DataFrame:
+            have = docs.columns
+            place = {}
+            for use in uses:
+                same = [i for i, c in enumerate(have) if c == use] or [i for i, c in enumerate(have) if c.lower() == use]
+                place |= {same[0]: use} if same else {}
+            safe = [place.get(i, f"_x{i}") for i in range(len(have))]
+            gone = [n for i, n in enumerate(safe) if i not in place and have[i].lower() in taken]
+            out = operator(docs.toDF(*safe).drop(*gone), *args, **more)
+            back = dict(zip(safe, have))
+            return out.toDF(*[back.get(c, c) for c in out.columns])
+
+        return run
+
+    return wrap
 
 
 def arrow_schema(schema: T.StructType):

@@ -226,6 +226,7 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, slop
     return found
 
 
+@C.apart()
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """``docs`` less the rows in which a benchmark window occurs."""
     hit = benchmark_hits(docs, benchmark, window).filter("size(spans) > 0").select(*C.KEY).distinct()

@@ -9,7 +9,7 @@ one run of the next level.  The sum over all runs says which keys are common.
 Cases: a null text counts as empty; an empty text is one empty line, whose key is
 too short to be dropped; every row is a document, repeated rows too; ties do not
 arise; texts of any length are split whole; empty tables give empty results; columns named ``n_lines`` or ``n_dropped``
-are replaced, other extra columns are kept.
+in any case are replaced, other extra columns are kept whatever their names.
 """
 
 from __future__ import annotations
@@ -107,12 +107,12 @@ def _keep(batches, at):
         yield pa.RecordBatch.from_arrays([*own, pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())], [*batch.schema.names[:-1], "n_lines", "n_dropped"])
 
 
+@C.apart("n_lines", "n_dropped")
 def drop_common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches: int = 4, fanout: int = 3) -> DataFrame:
     """``docs`` with the lines dropped whose key is in ``min_docs`` documents or more,
     and ``n_lines`` (before), ``n_dropped``."""
     spark = docs.sparkSession
     C.text_batches(docs.sparkSession)
-    docs = C.without(docs, "n_lines", "n_dropped")
     runs = LineRuns(spark, C.scratch(spark, "line-runs"), min_docs, min_chars, fanout)
     # one pass over the texts deals their keys to the batches
     dealt = runs.keys(docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(batches)).alias("_batch"), "text"))

@@ -14,7 +14,7 @@ Cases: a null text has no words; in a text without words, or with too few, rules
 abstain, and what is left is how common good documents are; texts of any length are
 measured whole; ties in the posterior (equal to ``keep``) are kept; repeated rows count
 as often as they come; an empty table gives an empty result; columns with the names of
-the results are replaced, other extra columns are kept.
+the results, in any case, are replaced, other extra columns are kept whatever their names.
 """
 
 from __future__ import annotations
@@ -199,12 +199,14 @@ def probability_of_good(patterns: np.ndarray, shares: np.ndarray, table: np.ndar
     return posterior(patterns, shares, table)[good].sum(axis=0)
 
 
+RESULTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+
+
+@C.apart(*RESULTS, "base_failed", "quality", "kept")
 def judge(docs: DataFrame, keep: float = 0.5, min_words: int = 50, max_repeat_percent: int = 50, texts: bool = True) -> DataFrame:
     """``docs`` (without the text unless ``texts``) with the counts, ``base_failed``,
     ``quality`` (the posterior) and ``kept``."""
     C.text_batches(docs.sparkSession)
-    results = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    docs = C.without(docs, *results, "base_failed", "quality", "kept")
     spark, votes = docs.sparkSession, rules()
     # each text is measured once; the counts of patterns and the result read this table
     rows = C.stored(measured(docs, texts), "quality-features")
@@ -220,4 +222,4 @@ def judge(docs: DataFrame, keep: float = 0.5, min_words: int = 50, max_repeat_pe
     code = sum(((v.cast("int") + 1) * d for v, d in zip(votes.values(), digits)), F.lit(0))
     rows = rows.withColumn("_code", code).join(F.broadcast(known), "_code")
     failed = (F.col("_n_words") < min_words) | (100 * F.col("_n_repeat_words") > max_repeat_percent * F.col("_n_words"))
-    return rows.select(*own, *[F.col("_" + f).alias(f) for f in results], failed.alias("base_failed"), "quality", (~failed & (F.col("quality") >= keep)).alias("kept"))
+    return rows.select(*own, *[F.col("_" + f).alias(f) for f in RESULTS], failed.alias("base_failed"), "quality", (~failed & (F.col("quality") >= keep)).alias("kept"))

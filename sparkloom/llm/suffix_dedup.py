@@ -26,7 +26,8 @@ Cases: a null text is an empty one; texts shorter than ``length`` lose nothing;
 of any length are cut in overlapping slices; repeated rows are copies of each other
 (with ``keep="first"`` rows equal in doc_id and text keep or lose the same bytes); the
 order of copies is doc_id, then row key, then place; empty tables give empty results;
-columns with the names of the results are replaced, other extra columns are kept.
+columns with the names of the results, in any case, are replaced, other extra columns are
+kept whatever their names.
 """
 
 from __future__ import annotations
@@ -348,6 +349,7 @@ def _apply(batches, at):
         yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *own], [*batch.schema.names[:-1], "n_bytes", "n_removed", "n_spans", "spans", "kept"])
 
 
+@C.apart("n_bytes", "n_removed", "n_spans", "spans", "kept")
 def remove_repeats(docs: DataFrame, length: int = 400, keep: str = "none", crowd: int = 512) -> DataFrame:
     """``docs`` with n_bytes, n_removed, n_spans, spans (removed byte ranges) and kept
     (the remaining bytes).  ``length`` is at least 2 * 64."""
@@ -355,7 +357,6 @@ def remove_repeats(docs: DataFrame, length: int = 400, keep: str = "none", crowd
         raise ValueError("length is at least 128 and keep is none or first")
     spark = docs.sparkSession
     C.text_batches(spark)
-    docs = C.without(docs, "n_bytes", "n_removed", "n_spans", "spans", "kept")
     kind = dict(docs.dtypes)["doc_id"]
     keyed = C.with_row_key(docs, "doc_id", "text")
     rows = keyed.select("doc_id", *C.KEY, "text").mapInArrow(lambda it: _anchor_rows(it, length), f"doc_id {kind}, _k1 long, _k2 long, lo long, hi long, at long, gram long, s1 long, s2 long")

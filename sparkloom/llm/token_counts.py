@@ -10,8 +10,9 @@ which no vocabulary that drops white space can tell apart; ``spaces=False`` leav
 as they are, for any other vocabulary.
 
 Cases: a null text is an empty one (0 tokens); repeated rows and copies are encoded
-once and each get their count; empty tables give empty results; columns with the
-names of the results are replaced, other extra columns are kept.
+once and each get their count; ties do not arise; texts of any length are encoded whole;
+empty tables give empty results; columns with the names of the results, in any case, are
+replaced, other extra columns are kept whatever their names.
 """
 
 from __future__ import annotations
@@ -81,12 +82,12 @@ def cached_counts(spark, cache: str, version: str) -> DataFrame:
     return spark.read.schema(schema).parquet(where).groupBy("_digest").agg(F.max("n_tokens").alias("n_tokens"))
 
 
+@C.apart("n_bytes", "n_tokens", "over_limit")
 def count_tokens(docs: DataFrame, tokenizer: str, cache: str, limit: int = 2048, spaces: bool = True, texts: bool = True) -> DataFrame:
     """``docs`` (without the text unless ``texts``) with ``n_bytes``, ``n_tokens`` and
     ``over_limit``; fills ``cache``."""
     spark, version = docs.sparkSession, tokenizer_version(tokenizer)
     C.text_batches(spark)
-    docs = C.without(docs, "n_bytes", "n_tokens", "over_limit")
     contents = docs.select("text").mapInArrow(lambda it: _digested(it, 0, spaces, "norm"), "_digest binary, _norm string")
     known = cached_counts(spark, cache, version)
     misses = contents.join(known, "_digest", "left_anti").dropDuplicates(["_digest"])
