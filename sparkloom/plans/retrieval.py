@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import fusion as H
 from ..operators import lexical as K
+from ..operators import postings as P
 from ..operators import vector as V
 from ..sources import adapters as A
-from ..tables import numbered
+from ..tables import numbered, scratch, shared_dir
 from .registry import CHUNKS, DOCS, MEMORIES, TASKS, query
 
 
@@ -91,6 +94,77 @@ def keyword_boosted(spark, folder):
     return K.keyword_search(_mixed(spark, folder), "preference", 25)
 
 
+def snapshot(spark, paths: list[str]) -> str:
+    """A name for the files at some paths as they are: their names, lengths and times."""
+    seen = []
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        found = where.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(where)
+        seen += [f"{f.getPath()} {f.getLen()} {f.getModificationTime()}" for f in found]
+    return hashlib.sha256("\n".join(sorted(seen)).encode()).hexdigest()[:32]
+
+
+def stored_index(spark, folder: str, name: str, corpus, tables: list[str]) -> P.Index:
+    """The index of a corpus in the shared folder, built where the tables have none as they are."""
+    index = P.Index(spark, f"{shared_dir(spark)}/sparkloom/index-{name}-{snapshot(spark, [f'{folder}/{t}.parquet' for t in tables])}")
+    if not index.complete():
+        index.update(corpus(spark, folder))
+    return index
+
+
+@query(_bm25_sql(DOC_CORPUS, {"doc": K.WEIGHTS["doc"]}, "the token account"))
+def indexed_bm25_docs(spark, folder):
+    """The flagship's rows from the stored inverted index."""
+    return stored_index(spark, folder, "docs", _docs, ["documents"]).search("the token account")
+
+
+@query(_bm25_sql(MIXED_CORPUS, {k: K.WEIGHTS[k] for k in ("doc", "task", "memory")}, "building order urgent", 30))
+def indexed_bm25_mixed(spark, folder):
+    return stored_index(spark, folder, "mixed", _mixed, ["documents", "orders", "customer", "conversations"]).search("building order urgent", 30)
+
+
+@query(_bm25_sql(DOC_CORPUS, {"doc": K.WEIGHTS["doc"]}, "en src3"))
+def indexed_after_updates(spark, folder):
+    """An index of older documents after two updates and a compaction is that of the documents."""
+    now = _docs(spark, folder)
+    turn = F.pmod(F.xxhash64("id"), F.lit(10))
+    old = now.filter(turn != 0).withColumn("f_content", F.when(turn == 1, F.lit("en src3 as it was")).otherwise(F.col("f_content")))
+    gone = now.filter(turn == 2).withColumns({"id": F.concat("id", F.lit("-gone")), "path": F.concat("path", F.lit("-gone"))})
+    index = P.Index(spark, scratch(spark, "index"))
+    index.update(old.unionByName(gone))
+    index.update(now.filter(turn <= 1), gone.select("type", "id"))
+    index.compact()
+    return index.search("en src3")
+
+
+MANY = DOCS + """, q AS (SELECT item_id AS qid, lower(trim(text)) AS q, regexp_extract_all(lower(text), '[a-z0-9]+') AS every FROM benchmark WHERE len(regexp_extract_all(lower(text), '[a-z0-9]+')) > 0),
+  words AS (SELECT DISTINCT qid, unnest(every) AS term FROM q),
+  k AS (SELECT path, title, tags, unnest(['title', 'path', 'tags', 'description', 'content']) AS f, unnest([4.0, 3.2, 2.2, 1.6, 1.0]) AS w,
+    unnest([title, path, array_to_string(tags, ' '), description, content]) AS t FROM docs),
+  cut AS (SELECT path, f, w, regexp_extract_all(lower(t), '[a-z0-9]+') AS k FROM k),
+  st AS (SELECT f, CASE WHEN avg(len(k)) > 0 THEN avg(len(k)) ELSE 1 END AS a FROM cut GROUP BY f),
+  tf AS (SELECT path, f, w, n, term, count(*) AS tf FROM (SELECT path, f, w, len(k) AS n, unnest(k) AS term FROM cut) GROUP BY ALL),
+  df AS (SELECT term, ln(1 + ((SELECT count(*) FROM docs) - count(DISTINCT path) + 0.5) / (count(DISTINCT path) + 0.5)) AS idf FROM tf GROUP BY term),
+  bm AS (SELECT qid, path, sum(w * idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / a))) AS bm25 FROM words JOIN tf USING (term) JOIN df USING (term) JOIN st USING (f) GROUP BY qid, path),
+  bo AS (SELECT q.qid, d.path, d.title, coalesce(bm25, 0.0) AS bm25,
+    CASE WHEN lower(title) = q THEN 8.0 WHEN contains(' ' || regexp_replace(lower(title), '[^0-9a-z_]', ' ', 'g') || ' ', ' ' || q || ' ') THEN 4.0 ELSE 0.0 END
+    + CASE WHEN lower(d.path) = q THEN 7.0 WHEN contains(lower(d.path), q) THEN 3.0 ELSE 0.0 END + CASE WHEN list_contains(list_transform(tags, lambda t: lower(t)), q) THEN 3.0 ELSE 0.0 END
+    + CASE WHEN len(every) > 1 THEN len(list_intersect(list_distinct(every), regexp_extract_all(lower(title), '[0-9a-z_]+'))) / len(list_distinct(every))::DOUBLE * 6.0 ELSE 0.0 END
+    + CASE WHEN bm25 > 0 THEN 0.2 ELSE 0.0 END AS boost
+    FROM q CROSS JOIN docs d LEFT JOIN bm ON bm.qid = q.qid AND bm.path = d.path),
+  sc AS (SELECT qid, path AS id, title, round(bm25 + boost, 6) AS score FROM bo WHERE round(bm25 + boost, 6) > 0)
+  SELECT qid, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, title, id) AS INTEGER) AS place, id, score FROM sc
+  QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, title, id) <= 3"""
+
+
+@query("WITH " + MANY)
+def benchmark_searches(spark, folder):
+    """Every benchmark text as a query, the best three docs of each, in one plan."""
+    asked = A.table(spark, folder, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
+    found = stored_index(spark, folder, "docs", _docs, ["documents"]).search_many(asked, 3)
+    return found.select("qid", "place", "id", "score")
+
+
 WORD_TITLE = r"regexp_matches(lower(title), '(^|[^0-9a-z_]){}([^0-9a-z_]|$)')"
 WORD_DESC = r"regexp_matches(lower(description), '(^|[^0-9a-z_]){}([^0-9a-z_]|$)')"
 
