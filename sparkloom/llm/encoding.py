@@ -134,3 +134,16 @@ class WordEncoder(ByteEncoder):
         if self.plain(text):
             return np.frombuffer(b"".join(map(self.words.__getitem__, text.split())), "<u4")
         return np.array(self.library.encode([text])[0], "<u4")
+
+
+def encoder_of(path: str):
+    """The encoder for a vocabulary file: ``WordEncoder`` where the file says that it lower-cases,
+    drops white space and cuts words as that does, else the library alone."""
+    with open(path) as f:
+        kind = json.load(f)
+    steps = kind.get("pre_tokenizer") or {}
+    cut = [s.get("pattern", {}).get("Regex") for s in steps.get("pretokenizers", ())]
+    lower = [s["type"] for s in (kind.get("normalizer") or {}).get("normalizers", ())]
+    own = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+    same = kind["model"].get("end_of_word_suffix") == "</w>" and lower == ["NFC", "Replace", "Lowercase"] and cut[:1] == [own]
+    return held(WordEncoder if same else LibraryEncoder, path)

@@ -3,7 +3,8 @@
 The cache is a table (digest of the normalised content, tokens), one folder for each
 tokenizer version, a digest of the vocabulary file and the library version.
 Documents are joined to it by digest; only distinct contents that it lacks are
-encoded, whole, by the ``tokenizers`` library, and appended.
+encoded, whole, and appended.  Ids are those of the ``tokenizers`` library; for a vocabulary of
+lower-case words each string between white space goes to its model once a worker (see ``encoding``).
 
 The normal form puts one space for each run of ASCII white space and none at the ends,
 which no vocabulary that drops white space can tell apart; ``spaces=False`` leaves texts
@@ -25,7 +26,7 @@ from pyspark.sql import types as T
 
 from . import common as C
 from .bytesops import pieces, tidied
-from .encoding import LibraryEncoder, held
+from .encoding import encoder_of
 
 
 def tokenizer_version(path: str) -> str:
@@ -39,7 +40,7 @@ def tokenizer_version(path: str) -> str:
 def _count(batches, path):
     import pyarrow as pa
 
-    encoder = held(LibraryEncoder, path)
+    encoder = encoder_of(path)
     for batch in batches:
         for first, n, _, _ in pieces(batch, "_norm", 1 << 20):
             texts = batch.column(1).slice(first, n).to_pylist()
