@@ -7,12 +7,13 @@ import hashlib
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..operators import cells as B
 from ..operators import fusion as H
 from ..operators import lexical as K
 from ..operators import postings as P
 from ..operators import vector as V
 from ..sources import adapters as A
-from ..tables import numbered, scratch, shared_dir
+from ..tables import delete, numbered, scratch, shared_dir
 from .registry import CHUNKS, DOCS, MEMORIES, TASKS, query
 
 
@@ -219,6 +220,29 @@ def cosine_topk_of_type(spark, folder):
     return V.top_k(c, V.query_of(c, 0), 15, 0.05, "doc").select("vec_id", "source", "score")
 
 
+def stored_cells(spark, folder: str) -> B.Cells:
+    """The cells of the chunks in the shared folder, built where the table has none as it is."""
+    path = f"{shared_dir(spark)}/sparkloom/cells-{snapshot(spark, [f'{folder}/embeddings.parquet'])}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/cells/_SUCCESS")
+    cells = B.Cells(spark, path)
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        delete(spark, path)
+        cells.build(A.chunks(spark, folder))
+    return cells
+
+
+EACH = "WITH " + CHUNKS + """, s AS (SELECT q.vec_id AS qid, c.vec_id, c.type, c.source, round(list_cosine_similarity(CAST(c.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS score
+  FROM chunks c, embeddings q WHERE q.vec_id % 100 = 0)"""
+
+
+@query(EACH + """ SELECT qid, vec_id, source, score, CAST(row_number() OVER o AS INTEGER) AS place FROM s WHERE score >= 0.2 QUALIFY row_number() OVER o <= 10
+  WINDOW o AS (PARTITION BY qid ORDER BY score DESC, vec_id)""")
+def cosine_topk_many(spark, folder):
+    """The ten chunks most like each chunk whose id is divisible by 100, from cells."""
+    asked = A.chunks(spark, folder).filter("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("query"))
+    return stored_cells(spark, folder).top_k(asked, 10, 0.2).select("qid", "place", "vec_id", "source", "score")
+
+
 ROLLUP = COSINE + """, h AS (SELECT vec_id, type, source, score + CASE WHEN type = 'doc' THEN (CASE WHEN contains(header_path, 'part') THEN 1 ELSE 0 END + CASE WHEN contains(header_path, '2') THEN 1 ELSE 0 END) / 2.0 * 0.15 ELSE 0 END AS score
   FROM s WHERE score >= 0.0),
   n AS (SELECT *, row_number() OVER (PARTITION BY type, source ORDER BY score DESC, vec_id) AS n FROM h),
