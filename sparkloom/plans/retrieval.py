@@ -235,8 +235,8 @@ EACH = "WITH " + CHUNKS + """, s AS (SELECT q.vec_id AS qid, c.vec_id, c.type, c
   FROM chunks c, embeddings q WHERE q.vec_id % 100 = 0)"""
 
 
-@query(EACH + """ SELECT qid, vec_id, source, score, CAST(row_number() OVER o AS INTEGER) AS place FROM s WHERE score >= 0.2 QUALIFY row_number() OVER o <= 10
-  WINDOW o AS (PARTITION BY qid ORDER BY score DESC, vec_id)""")
+@query(EACH + """ SELECT qid, vec_id, source, score, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS INTEGER) AS place FROM s WHERE score >= 0.2
+  QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) <= 10""")
 def cosine_topk_many(spark, folder):
     """The ten chunks most like each chunk whose id is divisible by 100, from cells."""
     asked = A.chunks(spark, folder).filter("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("query"))

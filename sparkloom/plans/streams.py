@@ -8,6 +8,8 @@ from ..operators import lexical as K
 from ..operators import retrieve as R
 from ..sources import adapters as A
 from ..streaming import queues as S
+from ..streaming import stateful as M
+from ..tables import scratch
 from .registry import TASKS, query
 from .retrieval import DOC_CORPUS, bm25_parts
 
@@ -43,6 +45,40 @@ def queue_coalesce(spark, folder):
     return S.coalesced(jobs).select("kind", "target", "id", "run_after", "requests")
 
 
+#: What a stream over the events has passed when it ends: its watermark, in milliseconds.
+PASSED = "(SELECT max(epoch_us(ts)) // 1000 - 600000 FROM events)"
+
+
+@query(f"""WITH j AS (SELECT event_type || '/' || (user_id % 20) AS key, CAST(event_id AS VARCHAR) AS id, epoch_us(ts) // 1000 AS t0,
+    epoch_us(ts) // 1000 + CASE event_type WHEN 'click' THEN 600000 WHEN 'error' THEN 0 ELSE 3600000 END AS run FROM events WHERE epoch_us(ts) // 1000 <= {PASSED}),
+  g AS (SELECT *, CASE WHEN t0 < max(run) OVER (PARTITION BY key ORDER BY t0, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM j),
+  s AS (SELECT *, sum(fresh) OVER (PARTITION BY key ORDER BY t0, id ROWS UNBOUNDED PRECEDING) AS n FROM g)
+  SELECT key, min_by(id, {{t: t0, i: id}}) AS id, min(t0) AS requested_at, max(run) AS run_after, count(*) AS requests FROM s GROUP BY key, n HAVING max(run) <= {PASSED}""")
+def queue_stream(spark, folder):
+    """Jobs that a stream over the events has let go, by state and timers."""
+    schema = A.table(spark, folder, "events").schema
+    # as the file has them, times without a zone count as UTC
+    rows = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)
+    delay = F.when(F.col("event_type") == "click", 600000).when(F.col("event_type") == "error", 0).otherwise(3600000).cast("long")
+    key = F.concat_ws("/", "event_type", (F.col("user_id") % 20).cast("string"))
+    jobs = rows.select(key.alias("key"), F.col("ts").cast("timestamp").alias("at"), F.col("event_id").cast("string").alias("id"), delay.alias("delay_ms"))
+    sink = scratch(spark, "queue-sink")
+    S.to_end(M.streamed(jobs, M.Coalescing()), sink, scratch(spark, "queue-checkpoint"))
+    out = spark.read.schema("key string, id string, requested_at timestamp, run_after timestamp, requests long").parquet(sink)
+    return out.select("key", "id", F.unix_millis("requested_at").alias("requested_at"), F.unix_millis("run_after").alias("run_after"), "requests")
+
+
+@query("""WITH b AS (SELECT event_type AS key, epoch_us(ts) // 1000 AS t0 FROM events WHERE ts <= TIMESTAMP '2024-01-20'),
+  g AS (SELECT *, CASE WHEN t0 - lag(t0) OVER (PARTITION BY key ORDER BY t0) < 900000 THEN 0 ELSE 1 END AS fresh FROM b),
+  s AS (SELECT *, sum(fresh) OVER (PARTITION BY key ORDER BY t0 ROWS UNBOUNDED PRECEDING) AS n FROM g)
+  SELECT key, min(t0) AS since, max(t0) + 900000 AS expires, count(*) AS beats FROM s GROUP BY key, n HAVING max(t0) + 900000 <= epoch_ms(TIMESTAMP '2024-01-20')""")
+def lease_replay(spark, folder):
+    """Leases that have ended by a day, replayed through the machine."""
+    beats = A.table(spark, folder, "events").select(F.col("event_type").alias("key"), F.col("ts").cast("timestamp").alias("at"))
+    out = M.replayed(beats, M.Leases(900_000), "2024-01-20")
+    return out.select("key", F.unix_millis("since").alias("since"), F.unix_millis("expires").alias("expires"), "beats")
+
+
 @query("SELECT event_type, date_trunc('hour', ts) AS start, count(*) AS events FROM events GROUP BY 1, 2")
 def windowed_counts(spark, folder):
     e = A.table(spark, folder, "events").withColumn("ts", F.col("ts").cast("timestamp"))
