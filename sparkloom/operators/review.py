@@ -65,6 +65,20 @@ def equal_pairs(heads: DataFrame, column: str) -> DataFrame:
     return a.join(b, (F.col(f"a.{column}") == F.col(f"b.{column}")) & (F.col("a.id") < F.col("b.id"))).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
 
 
+def _scored(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """a, b, score, reasons of pairs at ``threshold`` or more."""
+    side = lambda s: sets.drop("head").select([F.col(c).alias(f"{s}_{c}") if c != "id" else F.col("id").alias(s) for c in sets.columns if c != "head"])
+    rows = pairs.join(side("a"), "a").join(side("b"), "b")
+    title, content, all_ = (jaccard(F.col(f"a_{c}"), F.col(f"b_{c}")) for c in ("s_title", "s_content", "s_all"))
+    same_title = (F.col("a_title") != "") & (F.col("a_title") == F.col("b_title"))
+    same_content = (F.col("a_content") != "") & (F.col("a_content") == F.col("b_content"))
+    best = F.greatest(F.when(same_title, 0.98).otherwise(0.0), F.when(same_content, 1.0).otherwise(0.0), title, content, all_)
+    same_kind = (F.col("a_category") != "") & (F.col("a_category") == F.col("b_category")) & (best > 0)
+    score = F.when(same_kind, F.least(F.lit(1.0), best + CATEGORY_BONUS)).otherwise(best)
+    reasons = F.array_compact(F.array(F.when(same_title, "title"), F.when(same_content, "content"), F.when(title >= threshold, "title_tokens"), F.when(content >= threshold, "content_tokens"), F.when(all_ >= threshold, "combined"), F.when(same_kind, "category")))
+    return rows.select("a", "b", F.round(score, 6).alias("score"), F.array_join(reasons, ",").alias("reasons")).filter(F.col("score") >= threshold)
+
+
 def review_pairs(entries: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """a, b, score, reasons of all pairs at ``threshold`` or more.  Entries that say the
     same are one class: pairs are between the heads of classes, and between a head and
@@ -76,23 +90,45 @@ def review_pairs(entries: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     for c in ("s_title", "s_content", "s_all"):
         pairs = pairs.unionByName(prefix_pairs(heads, c, least))
     pairs = pairs.distinct().unionByName(sets.filter("id != head").select(F.col("head").alias("a"), F.col("id").alias("b")))
-    side = lambda s: sets.drop("head").select([F.col(c).alias(f"{s}_{c}") if c != "id" else F.col("id").alias(s) for c in sets.columns if c != "head"])
-    rows = pairs.join(side("a"), "a").join(side("b"), "b")
-    title, content, all_ = (jaccard(F.col(f"a_{c}"), F.col(f"b_{c}")) for c in ("s_title", "s_content", "s_all"))
-    same_title = (F.col("a_title") != "") & (F.col("a_title") == F.col("b_title"))
-    same_content = (F.col("a_content") != "") & (F.col("a_content") == F.col("b_content"))
-    best = F.greatest(F.when(same_title, 0.98).otherwise(0.0), F.when(same_content, 1.0).otherwise(0.0), title, content, all_)
-    same_kind = (F.col("a_category") != "") & (F.col("a_category") == F.col("b_category")) & (best > 0)
-    score = F.when(same_kind, F.least(F.lit(1.0), best + CATEGORY_BONUS)).otherwise(best)
-    reasons = F.array_compact(F.array(F.when(same_title, "title"), F.when(same_content, "content"), F.when(title >= threshold, "title_tokens"), F.when(content >= threshold, "content_tokens"), F.when(all_ >= threshold, "combined"), F.when(same_kind, "category")))
-    return rows.select("a", "b", F.round(score, 6).alias("score"), F.array_join(reasons, ",").alias("reasons")).filter(F.col("score") >= threshold)
+    return _scored(pairs, sets, threshold)
+
+
+def _first_of(sets: DataFrame, columns: list[str], n: int) -> DataFrame:
+    """(a, b): each entry with the n + 1 smallest ids of those that agree with it in some columns."""
+    some = sets.filter(F.coalesce(F.length(columns[0]) if columns[0] != "words" else F.size("words"), F.lit(0)) > 0).select("id", *columns)
+    low = some.withColumn("n", F.row_number().over(Window.partitionBy(*columns).orderBy("id"))).filter(F.col("n") <= n + 1)
+    low = low.select(F.col("id").alias("b"), *columns)
+    return some.withColumnRenamed("id", "a").join(low, columns).filter("a != b").select("a", "b")
 
 
-def best_matches(pairs: DataFrame, n: int = 5) -> DataFrame:
-    """For each entry its n best, from either side of a pair."""
-    both = pairs.select(F.col("a").alias("id"), F.col("b").alias("match"), "score").unionByName(pairs.select(F.col("b").alias("id"), F.col("a").alias("match"), "score"))
+def _best(rows: DataFrame, n: int) -> DataFrame:
     w = Window.partitionBy("id").orderBy(F.desc("score"), "match")
-    return both.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= n)
+    return rows.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= n)
+
+
+def best_matches(entries: DataFrame, n: int = 5, threshold: float = THRESHOLD) -> DataFrame:
+    """id, match, score, n: the n best matches of each entry among all others.
+
+    No group of equals is paired out.  Entries of equal title, equal content or equal words score
+    the same with each other but for the category, so of these only the n + 1 smallest
+    ids of each group can count where nothing else tells them apart; what does is a
+    similarity of token sets, which the prefix join of one entry of each class finds, and a class
+    found so stands for its n + 1 smallest ids."""
+    sets = with_heads(prepared(entries)).withColumn("words", F.array_sort("s_all"))
+    sets = T.stored(sets, "review-sets")
+    equal = [_first_of(sets, c, n) for c in (["content"], ["title"], ["title", "category"], ["words"])]
+    equal = equal[0].unionByName(equal[1]).unionByName(equal[2]).unionByName(equal[3]).distinct()
+    equal = _scored(equal, sets.drop("words"), threshold).select(F.col("a").alias("id"), F.col("b").alias("match"), "score")
+
+    heads = sets.filter("id = head").drop("words")
+    near = [prefix_pairs(heads, c, threshold - CATEGORY_BONUS) for c in ("s_title", "s_content", "s_all")]
+    near = _scored(near[0].unionByName(near[1]).unionByName(near[2]).distinct(), heads, threshold)
+    near = near.select(F.col("a").alias("head"), F.col("b").alias("other"), "score").unionByName(near.select(F.col("b").alias("head"), F.col("a").alias("other"), "score"))
+    members = sets.select(F.col("head").alias("other"), F.col("id").alias("match"))
+    low = members.withColumn("n", F.row_number().over(Window.partitionBy("other").orderBy("match"))).filter(F.col("n") <= n).drop("n")
+    found = _best(near.join(low, "other").select(F.col("head").alias("id"), "match", "score"), n).select(F.col("id").alias("head"), "match", "score")
+    near = found.join(sets.select("head", "id"), "head").select("id", "match", "score")
+    return _best(equal.unionByName(near).groupBy("id", "match").agg(F.max("score").alias("score")), n)
 
 
 def topic_conflicts(decisions: DataFrame) -> DataFrame:

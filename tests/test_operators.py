@@ -1,5 +1,6 @@
 """Operators on small inline tables."""
 
+import random
 import datetime as dt
 
 import pytest
@@ -369,3 +370,26 @@ def test_embedding_falls_back_to_single_texts(spark):
     got = {r.i: r.embedding for r in EMBED.embedded(d, "t", EMBED.hashing_provider(384), "multilingual-e5-small", query=True).collect()}
     assert len(got) == 3 and got[1] == got[3] != got[2] and len(got[1]) == 384 and sum(map(abs, got[2])) == 1
     assert EMBED.embedded(d, "t", EMBED.hashing_provider(5), "gte-base").count() == 0
+
+
+def test_best_matches_of_all_pairs(spark):
+    """Copies, one title for many, and near copies, against all pairs."""
+    rng = random.Random(4)
+    words = [f"word{i}" for i in range(30)]
+    rows = []
+    for i in range(40):
+        base = rng.sample(words, 8)
+        rows.append((f"m{i:03d}", " ".join(base[:3]), rng.choice(["a", "b"]), " ".join(base), []))
+    rows += [(f"c{i:03d}", *rows[i % 3][1:]) for i in range(25)]
+    rows += [(f"t{i:03d}", "one title", rng.choice(["a", "b"]), " ".join(rng.sample(words, 6)), []) for i in range(30)]
+    rows += [(f"e{i}", "", "", "", []) for i in range(3)]
+    entries = spark.createDataFrame(rows, "id string, title string, category string, content string, tags array<string>")
+    sets = D.with_heads(D.prepared(entries))
+    ids = spark.createDataFrame([(a[0], b[0]) for a in rows for b in rows if a[0] < b[0]], "a string, b string")
+    every = D._scored(ids, sets, D.THRESHOLD)
+    both = [(r.a, r.b, r.score) for r in every.collect()]
+    want = {}
+    for a, b, score in both + [(b, a, s) for a, b, s in both]:
+        want.setdefault(a, []).append((-score, b))
+    want = {(a, b, -s, n) for a, found in want.items() for n, (s, b) in enumerate(sorted(found)[:5], 1)}
+    assert {(r.id, r.match, r.score, r.n) for r in D.best_matches(entries).collect()} == want
