@@ -76,12 +76,23 @@ def vectors_ready(chunks: DataFrame, metadata: dict, model: str, dimensions: int
     return same and not chunks.limit(1).isEmpty()
 
 
-def search(corpus: DataFrame, chunks: DataFrame | None, query: str, query_vector: list[float] | None, mode: str = "hybrid", kind: str = "all", limit: int = LIMIT) -> DataFrame:
+def reranked(fused: DataFrame, entities: DataFrame, query: str, as_of: str) -> DataFrame:
+    """Fused results with what titles, labels or tags, text and recency of the tasks and docs
+    among them add, over the largest again.  ``entities``: type, source, title, tags, content,
+    updated_at; a result that is none of them gains nothing."""
+    text = lambda weight, content: H.rerank_bonus(query, as_of, "tags", weight, content)
+    bonus = F.when(F.col("type") == "task", text(0.05, None)).when(F.col("type") == "doc", text(0.08, "content"))
+    rows = fused.join(entities.select("type", "source", "title", "tags", "content", "updated_at"), ["type", "source"], "left")
+    return H.rerank(rows.withColumn("bonus", F.coalesce(F.when(F.col("title").isNotNull(), bonus), F.lit(0.0)))).select(*fused.columns)
+
+
+def search(corpus: DataFrame, chunks: DataFrame | None, query: str, query_vector: list[float] | None, mode: str = "hybrid", kind: str = "all", limit: int = LIMIT, entities: DataFrame | None = None, as_of: str = "") -> DataFrame:
     """type, source, score, matched_by.  Blank queries match nothing; without vectors,
     or for an unknown mode, the search is by keyword.  The type filter comes before any
     limit, on the keyword side after the statistics of the whole corpus.  Where tasks may
     turn up, all chunks over the threshold count, else the 2 * limit best; a hybrid
-    search takes all keyword matches."""
+    search takes all keyword matches.  A hybrid list of any kind but memories is reranked with
+    ``entities`` as of a time, where they are given."""
     if mode not in ("semantic", "hybrid") or chunks is None or query_vector is None:
         mode = "keyword"
     of_kind = lambda df: df.filter(F.col("type") == kind) if kind != "all" else df
@@ -94,6 +105,8 @@ def search(corpus: DataFrame, chunks: DataFrame | None, query: str, query_vector
         near = semantic_results(chunks, query_vector, query, None if kind in ("all", "task") else 2 * limit, None if kind == "all" else kind)
         near = near.select("type", "source", "score")
         out = near.withColumn("matched_by", F.lit("semantic")) if mode == "semantic" else H.reciprocal_rank_fusion(near, words, ["type", "source"])
+        if mode == "hybrid" and entities is not None and kind != "memory":
+            out = reranked(out, entities, query, as_of)
     return out.orderBy(F.desc("score"), "type", "source").limit(limit)
 
 

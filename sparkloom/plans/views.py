@@ -22,12 +22,15 @@ def _vectors(spark, folder):
 WORDS = bm25_parts(MIXED_CORPUS, {k: K.WEIGHTS[k] for k in ("doc", "task", "memory")}, "building order urgent")
 
 
-@query(f"""WITH {WORDS[0]}, kw AS (SELECT type, id AS source, score FROM ({WORDS[1]})), {COSINE.removeprefix("WITH ")},
+HYBRID = f"""WITH {WORDS[0]}, kw AS (SELECT type, id AS source, score FROM ({WORDS[1]})), {COSINE.removeprefix("WITH ")},
   n AS (SELECT *, row_number() OVER (PARTITION BY type, source ORDER BY score DESC, vec_id) AS n FROM s WHERE score >= 0.3),
   rolled AS (SELECT type, source, round(sum(CASE WHEN n = 1 THEN score ELSE score * 0.1 END), 7) AS score FROM n WHERE n <= 3 GROUP BY type, source),
   a AS (SELECT type, source, row_number() OVER (ORDER BY score DESC, type, source) AS s FROM rolled), b AS (SELECT type, source, row_number() OVER (ORDER BY score DESC, type, source) AS k FROM kw),
   f AS (SELECT type, source, s, k, coalesce(1.0 / (60 + s), 0) + coalesce(1.0 / (60 + k), 0) AS raw FROM a FULL JOIN b USING (type, source)),
-  g AS (SELECT type, source, round(raw / (SELECT max(raw) FROM f), 6) AS score, CASE WHEN s IS NOT NULL AND k IS NOT NULL THEN 'semantic,keyword' WHEN s IS NOT NULL THEN 'semantic' ELSE 'keyword' END AS matched_by FROM f)
+  g AS (SELECT type, source, round(raw / (SELECT max(raw) FROM f), 6) AS score, CASE WHEN s IS NOT NULL AND k IS NOT NULL THEN 'semantic,keyword' WHEN s IS NOT NULL THEN 'semantic' ELSE 'keyword' END AS matched_by FROM f)"""
+
+
+@query(HYBRID + """
   SELECT type, source, score, matched_by, row_number() OVER (ORDER BY score DESC, type, source)::INTEGER AS place FROM g ORDER BY score DESC, type, source LIMIT 20""")
 def hybrid_search(spark, folder):
     """Keyword and vector results of all kinds as one list."""
@@ -36,6 +39,29 @@ def hybrid_search(spark, folder):
     return S.numbered(S.search(corpus, c, "building order urgent", q, "hybrid"))
 
 
+def _count(text: str, most: int) -> str:
+    """Words of the query in a text, each counted up to a limit."""
+    return " + ".join(f"least({most}, len(list_filter(regexp_extract_all(lower({text}), '[0-9a-z_]+'), lambda x: x = '{w}')))" for w in ("building", "order", "urgent"))
+
+
+@query(HYBRID + f""", e AS (SELECT 'task' AS type, id AS source, title, labels AS tags, NULL AS content, updated_at FROM tasks UNION ALL SELECT 'doc', path, title, tags, content, NULL FROM docs),
+  j AS (SELECT g.*, CASE WHEN title IS NULL THEN 0 ELSE least(0.3, ({_count("title", 1000)}) * 0.03 + CASE WHEN contains(' ' || regexp_replace(lower(title), '[^0-9a-z_]', ' ', 'g') || ' ', ' building order urgent ') THEN 0.15 WHEN contains(lower(title), 'building order urgent') THEN 0.05 ELSE 0 END
+    + len(list_filter(tags, lambda t: lower(t) IN ('building', 'order', 'urgent'))) * CASE WHEN type = 'doc' THEN 0.08 ELSE 0.05 END
+    + CASE WHEN type = 'doc' THEN ({_count("content", 10)}) * 0.005 ELSE 0 END
+    + CASE WHEN epoch_us(TIMESTAMP '1998-06-01') - epoch_us(updated_at) < 7 * 86400000000 THEN 0.05 * (1 - (epoch_us(TIMESTAMP '1998-06-01') - epoch_us(updated_at)) / 86400000000.0 / 7) ELSE 0 END)::DOUBLE END AS bonus
+    FROM g LEFT JOIN e USING (type, source)),
+  r AS (SELECT type, source, matched_by, score + coalesce(bonus, 0) AS raw FROM j)
+  SELECT type, source, round(raw / (SELECT max(raw) FROM r), 6) AS score, matched_by FROM r ORDER BY score DESC, type, source LIMIT 20""")
+def hybrid_reranked(spark, folder):
+    """The hybrid list after reranking by what the tasks and docs themselves say."""
+    c, q = _vectors(spark, folder)
+    docs, tasks = A.docs(spark, folder), A.tasks(spark, folder)
+    said = tasks.select(F.lit("task").alias("type"), F.col("id").alias("source"), "title", F.col("labels").alias("tags"), F.lit(None).cast("string").alias("content"), F.col("updated_at").cast("timestamp").alias("updated_at"))
+    said = said.unionByName(docs.select(F.lit("doc").alias("type"), F.col("path").alias("source"), "title", "tags", "content", F.lit(None).cast("timestamp").alias("updated_at")))
+    corpus = S.corpora(docs, tasks, A.memories(spark, folder), None, "human")
+    return S.search(corpus, c, "building order urgent", q, "hybrid", entities=said, as_of="1998-06-01")
+
+
 @query(FUSED.split(", kw AS")[0].rsplit(", a AS", 1)[0].replace("score >= 0.0", "score >= 0.3") + " SELECT type, source, score, 'semantic' AS matched_by FROM rolled WHERE type = 'doc' ORDER BY score DESC, type, source LIMIT 20")
 def semantic_search(spark, folder):
     c, q = _vectors(spark, folder)
