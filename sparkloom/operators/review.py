@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from .. import tables as T
 from ..functions import text as X
+from . import refs as REFS
 
 THRESHOLD, CATEGORY_BONUS = 0.72, 0.05
 #: Title words that say nothing of the topic.
@@ -165,6 +166,46 @@ def inbox(entries: DataFrame, sources: DataFrame, as_of: str) -> DataFrame:
     return own.unionByName(lost)
 
 
+def review_items(entries: DataFrame, known: DataFrame, decisions: DataFrame, matched: DataFrame, as_of: str) -> DataFrame:
+    """id, reasons, issues, repairs of every entry that wants a look.
+
+    ``entries``: id, status, updated_at, ttl_days, sources (references); ``known``: type and id of
+    tasks, docs and memories; ``decisions``: id, status, superseded_by; ``matched``: ids of entries with
+    a near duplicate.  Reasons come in the order proposed, duplicate_review (of proposals only),
+    stale_ttl, then missing_source or what is wrong with the sources, by place: source_missing and
+    source_decision_superseded.  A repair names the decision that replaces a superseded one.
+    Sources that are no reference, or of another kind, are let be; null lists are empty."""
+    refs = entries.select("id", F.posexplode("sources").alias("place", "source")).withColumn("r", REFS.parse(F.col("source")))
+    refs = refs.filter(F.col("source").startswith("@") & F.col("r.valid")).select("id", "place", "source", F.col("r.type").alias("type"), F.col("r.target").alias("target"))
+    # one row for each target that is there, so that no source is counted twice
+    there = known.select("type", F.col("id").alias("target")).distinct().withColumn("_there", F.lit(True))
+    made = decisions.groupBy(F.col("id").alias("target")).agg(F.first("status").alias("_status"), F.first("superseded_by").alias("_by")).withColumn("type", F.lit("decision"))
+    refs = refs.filter(F.col("type").isin("task", "doc", "memory", "decision")).join(there, ["type", "target"], "left").join(made, ["type", "target"], "left")
+    decision = F.col("type") == "decision"
+    lost = F.when(decision, F.col("_status").isNull()).otherwise(F.col("_there").isNull())
+    superseded = decision & ((F.col("_status") == "superseded") | (F.size("_by") > 0))
+    code = F.when(lost, "source_missing").when(superseded, "source_decision_superseded")
+    following = F.when(superseded, F.get("_by", F.lit(0)))
+    issue = F.struct("place", code.alias("code"), "source", "target", following.alias("replacement"))
+    found = refs.withColumn("issue", issue).filter("issue.code IS NOT NULL").groupBy("id").agg(F.sort_array(F.collect_list("issue")).alias("_issues"))
+    rows = entries.join(found, "id", "left").join(matched.select("id").distinct().withColumn("_matched", F.lit(True)), "id", "left")
+    issues = F.coalesce("_issues", F.array().cast("array<struct<place: int, code: string, source: string, target: string, replacement: string>>"))
+    expired = F.col("ttl_days").isNotNull() & (F.col("updated_at").cast("timestamp") + F.expr("make_interval(0, 0, 0, ttl_days)") < F.lit(as_of).cast("timestamp"))
+    proposed = F.col("status") == "proposed"
+    own = F.array(
+        F.when(proposed, "proposed"), F.when(proposed & F.col("_matched"), "duplicate_review"), F.when((F.col("status") == "stale") | expired, "stale_ttl"),
+        F.when(F.coalesce(F.size("sources"), F.lit(0)) <= 0, "missing_source"),
+    )
+    reasons = F.array_distinct(F.concat(F.array_compact(own), F.transform(issues, lambda i: i["code"])))
+    repairs = F.transform(F.filter(issues, lambda i: i["replacement"].isNotNull()), lambda i: F.struct(i["source"].alias("source"), F.concat(F.lit("@decision/"), i["replacement"]).alias("replacement")))
+    return rows.select("id", reasons.alias("reasons"), issues.alias("issues"), repairs.alias("repairs")).filter(F.size("reasons") > 0)
+
+
+def reason_counts(items: DataFrame) -> DataFrame:
+    """How many entries have each reason."""
+    return items.select(F.explode("reasons").alias("reason")).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
 def resolve(rows: DataFrame) -> DataFrame:
     """The state after a resolution: update, create, propose, reject or merge."""
     r = F.col("resolution")

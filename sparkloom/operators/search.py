@@ -110,6 +110,19 @@ def search(corpus: DataFrame, chunks: DataFrame | None, query: str, query_vector
     return out.orderBy(F.desc("score"), "type", "source").limit(limit)
 
 
+def answered(corpus: DataFrame, chunks: DataFrame | None, query: str, query_vector: list[float] | None, mode: str = "hybrid", ready: bool = True, **more) -> tuple[DataFrame, str]:
+    """The results of search() and why they are less than asked for, empty if they are not.
+
+    ``ready``: whether the vectors are of the model that is asked for (see vectors_ready()).  A
+    hybrid search without them is one by keyword and says so; a semantic one is an error."""
+    lacks = "the vector index is empty or of another model" if not ready else "there is no vector index" if chunks is None else "the query has no vector" if query_vector is None else ""
+    if mode == "semantic" and lacks:
+        raise RuntimeError(f"semantic search is not available: {lacks}")
+    if mode == "hybrid" and lacks:
+        return search(corpus, None, query, None, "keyword", **more), f"searched by keyword only: {lacks}"
+    return search(corpus, chunks, query, query_vector, mode, **more), ""
+
+
 def numbered(results: DataFrame) -> DataFrame:
     w = Window.orderBy(F.desc("score"), "type", "source")
     return results.withColumn("place", F.row_number().over(w))

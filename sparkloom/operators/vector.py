@@ -63,8 +63,10 @@ def roll_up(scored: DataFrame) -> DataFrame:
 
 
 def merge_stores(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Results of two stores by type and source; the higher score stays."""
-    return a.unionByName(b).groupBy("type", "source").agg(F.max("score").alias("score"), F.max_by("best_chunk", "score").alias("best_chunk"))
+    """Results of two stores by type, source and, where results name their ``store``, that; the
+    higher score stays.  Memories of one id in two stores are two results."""
+    keys = [c for c in ("type", "source", "store") if c in a.columns and c in b.columns]
+    return a.unionByName(b).groupBy(*keys).agg(F.max("score").alias("score"), F.max_by("best_chunk", "score").alias("best_chunk"))
 
 
 def hashed_embedding(c, size: int = 64) -> Column:

@@ -363,3 +363,34 @@ def graph_filter(spark, folder):
     e = A.edges(spark, folder)
     nodes = e.select(F.col("source").alias("node")).unionByName(e.select(F.col("target").alias("node"))).distinct().withColumn("kind", F.split_part("node", F.lit("/"), F.lit(1)))
     return G.filtered_graph(nodes, e, ["customer", "nation"], ["parent"]).filter("kind = 'nation'").select("node")
+
+
+@query(f"""WITH {MEMORIES}, {TASKS}, {DOCS}, i AS (SELECT id, CASE WHEN turn = 1 THEN 'stale' ELSE status END AS status, updated_at, CASE WHEN turn % 2 = 0 THEN 45 END AS ttl_days, conv_id % 2 = 0 AS matched,
+    CASE conv_id % 6 WHEN 0 THEN CAST([] AS VARCHAR[]) WHEN 1 THEN ['@doc/src1/' || conv_id, '@task/task-' || conv_id] WHEN 2 THEN ['@decision/' || (conv_id % 90)] WHEN 3 THEN ['@decision/' || (conv_id % 90), '@doc/none', 'plain']
+      WHEN 4 THEN ['@memory/' || conv_id || '-0', '@decision/' || (conv_id % 7 + 1)] ELSE ['@task/task-1'] END AS sources FROM memories),
+  d AS (SELECT CAST(s_suppkey AS VARCHAR) AS id, CASE WHEN s_suppkey % 5 = 0 THEN 'superseded' ELSE 'accepted' END AS status, CASE WHEN s_suppkey % 3 = 0 THEN CAST(s_suppkey + 1 AS VARCHAR) END AS follower FROM supplier),
+  e AS (SELECT id, unnest(sources) AS source, generate_subscripts(sources, 1) AS place FROM i),
+  r AS (SELECT *, regexp_extract(source, '^@([a-z]+)/(.*)$', 1) AS type, regexp_extract(source, '^@([a-z]+)/(.*)$', 2) AS target FROM e),
+  x AS (SELECT r.*, d.follower, CASE WHEN type = 'decision' AND d.id IS NULL OR type = 'doc' AND target NOT IN (SELECT path FROM docs) OR type = 'task' AND target NOT IN (SELECT id FROM tasks)
+      OR type = 'memory' AND target NOT IN (SELECT id FROM memories) THEN 'source_missing' WHEN type = 'decision' AND (d.status = 'superseded' OR d.follower IS NOT NULL) THEN 'source_decision_superseded' END AS code
+    FROM r LEFT JOIN d ON r.type = 'decision' AND d.id = r.target),
+  g AS (SELECT id, list(code ORDER BY place) AS codes, string_agg(source || '>@decision/' || follower, ',' ORDER BY place) FILTER (code = 'source_decision_superseded' AND follower IS NOT NULL) AS repairs FROM x WHERE code IS NOT NULL GROUP BY id),
+  o AS (SELECT i.id, list_filter([CASE WHEN status = 'proposed' THEN 'proposed' END, CASE WHEN status = 'proposed' AND matched THEN 'duplicate_review' END,
+      CASE WHEN status = 'stale' OR ttl_days IS NOT NULL AND updated_at + to_days(ttl_days) < TIMESTAMP '2024-04-01' THEN 'stale_ttl' END, CASE WHEN len(sources) = 0 THEN 'missing_source' END], lambda z: z IS NOT NULL) AS own, coalesce(codes, []) AS codes, coalesce(repairs, '') AS repairs
+    FROM i LEFT JOIN g ON i.id = g.id)
+  SELECT id, array_to_string(own, ',') || CASE WHEN len(own) > 0 AND len(codes) > 0 THEN ',' ELSE '' END || array_to_string(list_filter(codes, lambda z, k: list_position(codes, z) = k), ',') AS reasons, repairs FROM o WHERE len(own) + len(codes) > 0""")
+def review_items(spark, folder):
+    """The review inbox with all six reasons and repairs."""
+    c, name = F.col("conv_id"), lambda prefix, x: F.concat(F.lit(prefix), x.cast("string"))
+    six = c % 6
+    sources = F.when(six == 0, F.array().cast("array<string>")).when(six == 1, F.array(name("@doc/src1/", c), name("@task/task-", c))).when(six == 2, F.array(name("@decision/", c % 90)))
+    sources = sources.when(six == 3, F.array(name("@decision/", c % 90), F.lit("@doc/none"), F.lit("plain"))).when(six == 4, F.array(F.concat(name("@memory/", c), F.lit("-0")), name("@decision/", c % 7 + 1))).otherwise(F.array(F.lit("@task/task-1")))
+    m = A.memories(spark, folder)
+    entries = m.select("id", F.when(F.col("turn") == 1, "stale").otherwise(F.col("status")).alias("status"), "updated_at", F.when(F.col("turn") % 2 == 0, 45).cast("int").alias("ttl_days"), sources.alias("sources"))
+    kinds = [A.tasks(spark, folder).select(F.lit("task").alias("type"), "id"), A.docs(spark, folder).select(F.lit("doc").alias("type"), F.col("path").alias("id")), m.select(F.lit("memory").alias("type"), "id")]
+    s = A.table(spark, folder, "supplier")
+    key = F.col("s_suppkey")
+    decisions = s.select(key.cast("string").alias("id"), F.when(key % 5 == 0, "superseded").otherwise("accepted").alias("status"), F.when(key % 3 == 0, F.array((key + 1).cast("string"))).otherwise(F.array().cast("array<string>")).alias("superseded_by"))
+    items = D.review_items(entries, kinds[0].unionByName(kinds[1]).unionByName(kinds[2]), decisions, m.filter("conv_id % 2 = 0").select("id"), "2024-04-01")
+    said = F.array_join(F.transform("repairs", lambda r: F.concat(r["source"], F.lit(">"), r["replacement"])), ",")
+    return items.select("id", F.array_join("reasons", ",").alias("reasons"), said.alias("repairs"))

@@ -393,3 +393,41 @@ def test_best_matches_of_all_pairs(spark):
         want.setdefault(a, []).append((-score, b))
     want = {(a, b, -s, n) for a, found in want.items() for n, (s, b) in enumerate(sorted(found)[:5], 1)}
     assert {(r.id, r.match, r.score, r.n) for r in D.best_matches(entries).collect()} == want
+
+
+def test_memories_of_two_stores_stay_apart(spark):
+    kind = "type string, source string, store string, score double, best_chunk long"
+    a = spark.createDataFrame([("memory", "m1", "project", 0.5, 1), ("doc", "d", None, 0.4, 2)], kind)
+    b = spark.createDataFrame([("memory", "m1", "global", 0.7, 3), ("memory", "m1", "project", 0.6, 4), ("doc", "d", None, 0.3, 5)], kind)
+    got = sorted(map(tuple, VEC.merge_stores(a, b).collect()), key=repr)
+    assert got == sorted([("memory", "m1", "project", 0.6, 4), ("memory", "m1", "global", 0.7, 3), ("doc", "d", None, 0.4, 2)], key=repr)
+    fused = H.reciprocal_rank_fusion(a.fillna("", ["store"]), b.fillna("", ["store"]), ["type", "source", "store"])
+    assert {(r.source, r.store) for r in fused.collect()} == {("m1", "project"), ("m1", "global"), ("d", "")}
+
+
+def test_a_search_says_what_it_lacks(spark):
+    from sparkloom.operators import search as SEARCH
+
+    docs = spark.createDataFrame([("d1", "alpha beta", "", "alpha text", ["x"])], "path string, title string, description string, content string, tags array<string>")
+    corpus = K.corpus(docs, "doc")
+    chunks = spark.createDataFrame([(1, "doc", "d1", "", [1.0, 0.0])], "vec_id long, type string, source string, header_path string, embedding array<float>")
+    for args, why in (((None, "alpha", [1.0, 0.0]), "no vector index"), ((chunks, "alpha", None), "no vector"), ((chunks, "alpha", [1.0, 0.0]), "")):
+        rows, said = SEARCH.answered(corpus, *args)
+        assert why in said and bool(why) == bool(said) and [r.source for r in rows.collect()] == ["d1"]
+    rows, said = SEARCH.answered(corpus, chunks, "alpha", [1.0, 0.0], ready=False)
+    assert "another model" in said and [r.matched_by for r in rows.collect()] == ["keyword"]
+    with pytest.raises(RuntimeError):
+        SEARCH.answered(corpus, None, "alpha", None, "semantic")
+    assert SEARCH.answered(corpus, None, "alpha", None, "keyword")[1] == ""
+
+
+def test_review_items_by_hand(spark):
+    entries = spark.createDataFrame(
+        [("a", "proposed", "2024-03-01", None, ["@doc/x", "@decision/old", "@decision/lost", "plain", "@doc/gone"]), ("b", "active", "2024-01-01", 30, []), ("c", "active", "2024-03-30", 30, ["@task/t"]), ("d", "stale", "2024-03-30", None, None)],
+        "id string, status string, updated_at string, ttl_days int, sources array<string>")
+    known = spark.createDataFrame([("doc", "x"), ("doc", "x"), ("task", "t")], "type string, id string")
+    decisions = spark.createDataFrame([("old", "accepted", ["new", "newer"])], "id string, status string, superseded_by array<string>")
+    got = {r.id: r for r in D.review_items(entries, known, decisions, entries.filter("id = 'a'").select("id"), "2024-04-01").collect()}
+    assert {k: r.reasons for k, r in got.items()} == {"a": ["proposed", "duplicate_review", "source_decision_superseded", "source_missing"], "b": ["stale_ttl", "missing_source"], "d": ["stale_ttl", "missing_source"]}
+    assert [tuple(x) for x in got["a"].repairs] == [("@decision/old", "@decision/new")] and [x.source for x in got["a"].issues] == ["@decision/old", "@decision/lost", "@doc/gone"]
+    assert {r.reason: r.n for r in D.reason_counts(D.review_items(entries, known, decisions, entries.select("id").limit(0), "2024-04-01")).collect()}["stale_ttl"] == 2
