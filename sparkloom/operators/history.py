@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import tables as T
+
 from .chunking import headings
 
 
@@ -92,3 +94,46 @@ def identities(paths: DataFrame) -> DataFrame:
 
     own = roots(paths.select(F.col("old").alias("id"), F.col("new").alias("parent"))).select(F.col("node").alias("path"), F.col("root").alias("history"))
     return own.unionByName(own.select(F.col("history").alias("path"), "history").distinct())
+
+
+def path_intervals(events: DataFrame) -> DataFrame:
+    """Which history each path belonged to, and when: path, starts, ends, history.
+
+    ``events``: at, seq (their order within a time, and a name for each event), op (create,
+    rename or delete), path, new_path.  A rename takes the history of a path to another one and
+    frees the first; creating a path, or renaming to it, ends what was there.  So a path that is
+    used again belongs to another history, and swaps and cycles of paths are told apart.  A path
+    whose first event ends it has been there before (starts is null); one that is open has no
+    end; renaming a path that is free begins a history.  A history is named by its first path and
+    the number of the event that began it.
+
+    Each interval of a path starts with an event and ends with the next one on that path; two are
+    one history where the same rename ends the one and starts the other.  Chains of these are
+    walked by doubling."""
+    from .graph import roots
+
+    rename = (F.col("op") == "rename") & (F.col("path") != F.col("new_path"))
+    kept = events.filter((F.col("op") != "rename") | rename)
+    into = F.struct(F.when(F.col("op") == "rename", F.col("new_path")).otherwise(F.col("path")).alias("path"), F.lit(True).alias("begins"))
+    out = F.struct(F.col("path").alias("path"), F.lit(False).alias("begins"))
+    sides = F.when(F.col("op") == "create", F.array(into)).when(F.col("op") == "delete", F.array(out)).otherwise(F.array(out, into))
+    touch = kept.select("at", "seq", (F.col("op") == "rename").alias("moves"), F.explode(sides).alias("x")).select("at", "seq", "moves", "x.*")
+    w = Window.partitionBy("path").orderBy("at", "seq")
+    touch = touch.withColumns({"first": F.lag("seq").over(w).isNull(), "ends": F.lead("at").over(w), "_by": F.lead("seq").over(w), "_out": F.lead("moves").over(w) & ~F.lead("begins").over(w)})
+    moved = F.when(F.col("_out"), F.col("_by"))
+    own = touch.filter("begins").select("path", F.col("at").alias("starts"), "ends", F.col("seq").alias("began"), F.when(F.col("moves"), F.col("seq")).alias("from"), moved.alias("to"))
+    before = touch.filter("first AND NOT begins").select("path", F.lit(None).cast(touch.schema["at"].dataType).alias("starts"), F.col("at").alias("ends"), F.lit(None).cast(touch.schema["seq"].dataType).alias("began"), F.lit(None).cast(touch.schema["seq"].dataType).alias("from"), F.when(F.col("moves"), F.col("seq")).alias("to"))
+    name = F.concat("path", F.lit("#"), F.coalesce(F.col("began").cast("string"), F.lit("")))
+    rows = T.stored(own.unionByName(before).withColumn("node", name), "path-intervals")
+    links = rows.filter("`from` IS NOT NULL").select(F.col("node").alias("id"), F.col("from").alias("by")).join(rows.filter("`to` IS NOT NULL").select(F.col("node").alias("parent"), F.col("to").alias("by")), "by").select("id", "parent")
+    found = roots(links).select(F.col("node"), F.col("root"))
+    out_ = rows.join(found, "node", "left")
+    return out_.select("path", "starts", "ends", F.coalesce("root", "node").alias("history"))
+
+
+def history_at(wanted: DataFrame, intervals: DataFrame) -> DataFrame:
+    """``wanted`` (path, at, ...) with the history that the path belonged to at that time, null
+    for a path that was free or is not known: an as-of join."""
+    i = intervals.select(F.col("path").alias("_path"), "starts", "ends", "history")
+    within = (F.col("path") == F.col("_path")) & (F.col("starts").isNull() | (F.col("starts") <= F.col("at"))) & (F.col("ends").isNull() | (F.col("at") < F.col("ends")))
+    return wanted.join(i, within, "left").drop("_path", "starts", "ends")

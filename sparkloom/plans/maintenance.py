@@ -201,3 +201,20 @@ def section_replace(spark, folder):
     """A section with a deeper one and a blank line at its end, in every document."""
     d = A.docs(spark, folder).select("path", F.concat_ws("\n", F.concat(F.lit("# "), "title"), F.lit("intro"), F.lit("## My notes"), F.col("path"), F.lit("### Deeper"), F.lit("x"), F.lit(""), F.lit("## Later"), F.lit("end")).alias("body"))
     return C.replace_section(d, "body", "## notes", "## Notes\nnew of all")
+
+
+@query("""WITH RECURSIVE e AS (SELECT event_id AS seq, ts AS t0, CASE event_type WHEN 'signup' THEN 'create' WHEN 'error' THEN 'delete' ELSE 'rename' END AS op, 'p' || (user_id % 90) AS path, 'p' || (event_id * 7 % 90) AS new_path FROM events),
+  k AS (SELECT * FROM e WHERE op != 'rename' OR path != new_path),
+  h AS (SELECT seq, t0, op = 'rename' AS moves, path, false AS begins FROM k WHERE op != 'create' UNION ALL SELECT seq, t0, op = 'rename', CASE WHEN op = 'rename' THEN new_path ELSE path END, true FROM k WHERE op != 'delete'),
+  w AS (SELECT *, lag(seq) OVER o AS prev, lead(t0) OVER o AS ends, lead(seq) OVER o AS nxt, lead(moves) OVER o AND NOT lead(begins) OVER o AS away FROM h WINDOW o AS (PARTITION BY path ORDER BY t0, seq)),
+  i AS (SELECT path, t0 AS starts, ends, path || '#' || seq AS node, CASE WHEN moves THEN seq END AS born, CASE WHEN away THEN nxt END AS gone FROM w WHERE begins
+    UNION ALL SELECT path, NULL, t0, path || '#', NULL, CASE WHEN moves THEN seq END FROM w WHERE prev IS NULL AND NOT begins),
+  c AS (SELECT a.node, b.node AS parent FROM i a LEFT JOIN i b ON a.born = b.gone),
+  walk AS (SELECT node, node AS history FROM c WHERE parent IS NULL UNION ALL SELECT c.node, walk.history FROM walk JOIN c ON c.parent = walk.node)
+  SELECT path, starts, ends, history FROM i JOIN walk USING (node)""")
+def path_histories(spark, folder):
+    """Paths that are created, renamed and deleted, used again and swapped: who held them when."""
+    e = A.table(spark, folder, "events")
+    op = F.when(F.col("event_type") == "signup", "create").when(F.col("event_type") == "error", "delete").otherwise("rename")
+    name = lambda c: F.concat(F.lit("p"), c.cast("string"))
+    return H.path_intervals(e.select(F.col("event_id").alias("seq"), F.col("ts").alias("at"), op.alias("op"), name(F.col("user_id") % 90).alias("path"), name(F.col("event_id") * 7 % 90).alias("new_path")))

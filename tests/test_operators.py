@@ -431,3 +431,34 @@ def test_review_items_by_hand(spark):
     assert {k: r.reasons for k, r in got.items()} == {"a": ["proposed", "duplicate_review", "source_decision_superseded", "source_missing"], "b": ["stale_ttl", "missing_source"], "d": ["stale_ttl", "missing_source"]}
     assert [tuple(x) for x in got["a"].repairs] == [("@decision/old", "@decision/new")] and [x.source for x in got["a"].issues] == ["@decision/old", "@decision/lost", "@doc/gone"]
     assert {r.reason: r.n for r in D.reason_counts(D.review_items(entries, known, decisions, entries.select("id").limit(0), "2024-04-01")).collect()}["stale_ttl"] == 2
+
+
+def test_path_histories_against_a_loop(spark):
+    rng = random.Random(8)
+    events = [(1, 1, "create", "a", None), (2, 2, "create", "b", None), (3, 3, "rename", "a", "tmp"), (4, 4, "rename", "b", "a"), (5, 5, "rename", "tmp", "b"),  # a swap
+              (6, 6, "delete", "a", None), (7, 7, "create", "a", None), (8, 8, "rename", "old", "c"), (9, 9, "rename", "c", "c"), (9, 10, "rename", "free", "d")]
+    events += [(10 + i // 2, 11 + i, rng.choice(["create", "rename", "rename", "rename", "delete"]), f"p{rng.randrange(8)}", f"p{rng.randrange(8)}") for i in range(250)]
+    rows = spark.createDataFrame(events, "`at` long, seq long, op string, path string, new_path string").repartition(3)
+    held, seen, at_time = {}, set(), {}
+    for at, seq, op, path, new in events:
+        if op == "rename" and path == new:
+            continue
+        if op != "create" and path not in seen:
+            held[path] = f"{path}#"
+            at_time.setdefault(0, {})[path] = held[path]
+        mine = held.pop(path, None)
+        if op == "create":
+            held[path] = f"{path}#{seq}"
+        elif op == "rename":
+            held[new] = mine or f"{new}#{seq}"
+        seen |= {path, new} if op == "rename" else {path}
+        at_time[at] = dict(held)
+    paths = sorted({e[3] for e in events} | {e[4] for e in events if e[4]}) + ["never"]
+    # a path that has been there before its first event is there at all earlier times
+    early = at_time.pop(0, {})
+    first = {p: min(e[0] for e in events if p in (e[3], e[4]) and not (e[2] == "rename" and e[3] == e[4])) for p in paths[:-1]}
+    wanted = [(p, t) for p in paths for t in sorted(at_time)]
+    want = {(p, t): early.get(p) if t < first.get(p, 0) else at_time[t].get(p) for p, t in wanted}
+    got = V.history_at(spark.createDataFrame(wanted, "path string, `at` long"), V.path_intervals(rows)).collect()
+    assert {(r["path"], r["at"]): r["history"] for r in got} == want and len(got) == len(wanted)
+    assert want[("b", 5)] == "a#1" and want[("a", 5)] == "b#2" and want[("a", 7)] == "a#7" and want[("c", 8)] == "old#"
