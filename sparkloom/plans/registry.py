@@ -7,7 +7,7 @@ from importlib import import_module
 
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
-MODULES = ["retrieval", "reports", "knowledge", "scalars", "maintenance", "streams", "views"]
+MODULES = ["retrieval", "reports", "knowledge", "scalars", "maintenance", "streams", "views", "upkeep"]
 
 
 def query(sql: str | None = None) -> Callable:
