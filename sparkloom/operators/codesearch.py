@@ -28,8 +28,19 @@ def code_search(symbols: DataFrame, query: str, limit: int = 20) -> DataFrame:
     once = list(dict.fromkeys(terms))
     if not terms:
         return symbols.withColumn("score", F.lit(0.0)).limit(0)
-    everything = F.lower(F.concat_ws(" ", *[F.coalesce(F.col(c), F.lit("")) for c in ("name", "kind", "container", "signature", "path", "package", "comments", "relationships")]))
-    stats = symbols.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(everything.contains(t)).alias(f"df{i}") for i, t in enumerate(once)])
+    stats = symbols.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(everything().contains(t)).alias(f"df{i}") for i, t in enumerate(once)])
+    return scored(symbols, terms, stats, limit)
+
+
+def everything() -> Column:
+    """All that is searched of a symbol, as one text."""
+    return F.lower(F.concat_ws(" ", *[F.coalesce(F.col(c), F.lit("")) for c in ("name", "kind", "container", "signature", "path", "package", "comments", "relationships")]))
+
+
+def scored(symbols: DataFrame, terms: list[str], stats: DataFrame, limit: int) -> DataFrame:
+    """The best symbols; ``stats`` is one row: n, the number of all, and for each different
+    term in order df0, df1, ..., how many contain it."""
+    once = list(dict.fromkeys(terms))
     s = symbols.crossJoin(F.broadcast(stats))  # one row
     for name in WEIGHTS:
         s = s.withColumn(f"k_{name}", X.tokens(name))

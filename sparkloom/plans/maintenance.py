@@ -9,7 +9,9 @@ from ..operators import chunking as C
 from ..operators import codesearch as Q
 from ..operators import history as H
 from ..operators import index as I
+from ..operators import trigrams
 from ..sources import adapters as A
+from ..tables import scratch
 from .registry import AUDIT, DOCS, MEMORIES, TASKS, query
 
 
@@ -188,12 +190,21 @@ def _code_sql(terms: list[str]) -> str:
     return f"WITH {SYMBOLS}, s AS (SELECT count(*) AS n, {stats} FROM symbols), k AS (SELECT symbols.*, s.*, {toks} FROM symbols, s), r AS (SELECT id, path, name, round({score} + {boost}, 6) AS score FROM k) SELECT id, score FROM r WHERE score > 0 ORDER BY score DESC, path, name, id LIMIT 20"
 
 
-@query(_code_sql(["ring", "token"]))
-def code_search(spark, folder):
+def _symbols(spark, folder):
     p = A.table(spark, folder, "part")
     kind = F.lower("p_type")
-    s = p.select(F.col("p_partkey").alias("id"), F.replace("p_name", F.lit(" "), F.lit("_")).alias("name"), F.when(F.col("p_size") % 2 == 0, "function").otherwise("struct").alias("kind"), kind.alias("container"), F.concat("p_name", F.lit("("), F.lower("p_brand"), F.lit(")")).alias("signature"), F.concat(F.lit("pkg/"), kind, F.lit("/file"), (F.col("p_partkey") % 50).cast("string"), F.lit(".go")).alias("path"), kind.alias("package"), F.when(F.col("p_partkey") % 9 == 0, "checks the session token").otherwise("").alias("comments"), F.when(F.col("p_partkey") % 4 == 0, "calls ring").otherwise("").alias("relationships"))
-    return Q.code_search(s, "ring token", 20).select("id", "score")
+    return p.select(F.col("p_partkey").alias("id"), F.replace("p_name", F.lit(" "), F.lit("_")).alias("name"), F.when(F.col("p_size") % 2 == 0, "function").otherwise("struct").alias("kind"), kind.alias("container"), F.concat("p_name", F.lit("("), F.lower("p_brand"), F.lit(")")).alias("signature"), F.concat(F.lit("pkg/"), kind, F.lit("/file"), (F.col("p_partkey") % 50).cast("string"), F.lit(".go")).alias("path"), kind.alias("package"), F.when(F.col("p_partkey") % 9 == 0, "checks the session token").otherwise("").alias("comments"), F.when(F.col("p_partkey") % 4 == 0, "calls ring").otherwise("").alias("relationships"))
+
+
+@query(_code_sql(["ring", "token"]))
+def code_search(spark, folder):
+    return Q.code_search(_symbols(spark, folder), "ring token", 20).select("id", "score")
+
+
+@query(_code_sql(["steel", "e", "token"]))
+def code_search_indexed(spark, folder):
+    """Symbols by a stored index of parts of words."""
+    return trigrams.Index(spark, scratch(spark, "symbols")).build(_symbols(spark, folder)).search("steel e token", 20).select("id", "score")
 
 
 @query(f"""WITH {DOCS} SELECT path, '# ' || title || chr(10) || 'intro' || chr(10) || '## Notes' || chr(10) || 'new of all' || chr(10) || chr(10) || '## Later' || chr(10) || 'end' AS body, true AS replaced FROM docs""")
