@@ -54,7 +54,8 @@ def scored(symbols: DataFrame, terms: list[str], stats: DataFrame, limit: int) -
             denominator = tf + K1 * (1 - B + B * F.size(f"k_{name}") / float(len(terms)))
             score += F.when(tf > 0, weight * idf * tf * (K1 + 1) / denominator).otherwise(0.0)
     s = s.withColumn("score", F.round(score + boost(terms), 6))
-    return s.filter("score > 0").orderBy(F.desc("score"), "path", "name").limit(limit).drop("n", *[f"df{i}" for i in range(len(once))], *[f"k_{n}" for n in WEIGHTS])
+    order = [F.desc("score"), "path", "name", *(["id"] if "id" in symbols.columns else [])]
+    return s.filter("score > 0").orderBy(*order).limit(limit).drop("n", *[f"df{i}" for i in range(len(once))], *[f"k_{n}" for n in WEIGHTS])
 
 
 def _equals(term: str):
