@@ -28,6 +28,15 @@ def normalised(a) -> Column:
     return F.when(n > 0, F.transform(a, lambda x: x.cast("double") / n)).otherwise(F.transform(a, lambda x: x.cast("double")))
 
 
+def rounded(x: Column, places: int = 6) -> Column:
+    """Halves away from zero in binary, as SQL engines round; what is too small and negative is
+    -0.0, where Spark's own round goes through decimals and loses the sign."""
+    scaled = F.abs(x * 10.0**places)
+    down = F.floor(scaled).cast("double")
+    near = F.signum(x) * (down + F.when(scaled - down >= 0.5, 1.0).otherwise(0.0)) / 10.0**places
+    return F.when(scaled < 2.0**52, near).otherwise(x)
+
+
 def top_k(chunks: DataFrame, query: list[float], k: int | None = TOP, threshold: float = THRESHOLD, kind: str | None = None) -> DataFrame:
     """The k chunks most like ``query``, or all over the threshold (k None).  The vector
     is a literal, so this is a scan, a filter and a top-k; no join."""

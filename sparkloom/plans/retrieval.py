@@ -263,7 +263,7 @@ def chunk_rollup(spark, folder):
 @query("SELECT vec_id, list_transform(embedding, lambda x: round(x / sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 6)) AS unit FROM embeddings")
 def vector_normalise(spark, folder):
     v = A.table(spark, folder, "embeddings").withColumn("u", V.normalised(F.col("embedding")))
-    return v.select("vec_id", F.transform("u", lambda x: F.round(x, 6)).alias("unit"))
+    return v.select("vec_id", F.transform("u", lambda x: V.rounded(x)).alias("unit"))
 
 
 FUSED = ROLLUP + """, a AS (SELECT type, source, row_number() OVER (ORDER BY score DESC, type, source) AS s FROM rolled),
